@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import language, mixing, neardup, sharding
 
 QUERIES = {
+    "op1_language": language.op1_language,
+    "op4_neardup": neardup.op4_neardup,
     "op7_sharding": sharding.op7_sharding,
     "op10_mixing": mixing.op10_mixing,
 }
