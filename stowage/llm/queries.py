@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neardup, sharding
+from . import decontaminate, language, media, mixing, neardup, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
+    "op2_media": media.op2_media,
     "op4_neardup": neardup.op4_neardup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_repeats": repeats.op9_repeats,
     "op10_mixing": mixing.op10_mixing,
 }
 
