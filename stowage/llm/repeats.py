@@ -34,16 +34,15 @@ empty result; matches never cross documents.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .kernels import blocks, gram_hashes, mix, span_hashes, text_bytes
+from .packing import pack, unpack
 
 LENGTH, Q = 50, 16
 REACH = LENGTH - Q  # strings of an anchor start at most this far before it
@@ -53,14 +52,6 @@ _U = np.uint64
 _BLOCK = "kind int, part int, body binary"
 
 
-def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
-
-
-def unpack(body: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(body))
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per anchor: its place, the first and last start of its strings, its q-gram's hash, its text's number."""
     none = np.zeros(0, np.int64)
