@@ -10,11 +10,12 @@
    candidates.  At a similarity of 0.75 a pair misses every band with a
    probability of (1 - 0.75^4)^40 = 2.5e-7.
 4. First each class is compared with the best connected member of its bands
-   only (one pair a class), and the links give first components.  Then all
-   candidate pairs of different components are looked at, unless the shingles
-   that no other candidate holds already rule the pair out: with i = the
-   lesser number of non-unique shingles, similarity is at most
-   i / (n_a + n_b - i).  So a group of thousands of copies costs thousands of
+   only (one pair a class), and the links give first components.  Where a band
+   still holds several, its members are compared with the one that shares most
+   of its shingles with others, ``HUB_ROUNDS`` times over.  Then all pairs of
+   different components in such bands are searched by prefix, length and
+   positional filter over shingles in order of rarity, which no pair of 0.75
+   or more fails.  So a group of thousands of copies costs thousands of
    comparisons, and no cap is needed.
 5. Those pairs' similarity is estimated jointly by likelihood from the
    registers; a pair is dropped where a similarity of 0.75 is ``ODDS`` times
@@ -42,11 +43,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .graph import components
 from .kernels import blocks, mix, shingle_sets, text_bytes
+from .rarity import slot_counts, slot_of
 
 M, ROWS, BASE = 160, 4, 1.001
 BANDS = M // ROWS
 SHINGLE, NEED = 5, 75
 ODDS = math.exp(20)
+HUB_ROUNDS = 2
 TOP = 2**16 - 2
 #: The register scale is anchored so that sets of 1 to 10^12 elements fit.
 ANCHOR = 20.0
@@ -234,28 +237,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.keep(verified(first, sets))
     labels = components(links, scratch)
 
-    # pairs of different components: what no other candidate holds bounds them
-    labelled = banded.join(labels, banded["rep"] == labels["node"], "left").select("rep", "band", F.coalesce("label", "rep").alias("label"))
-    open_bands = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    labelled = scratch.keep(labelled.join(open_bands, "band"))
-    own = unique_shares(sets.join(labelled.select("rep").distinct(), "rep", "left_semi"))
-    sized = scratch.keep(labelled.join(classes.select("rep", "n_shingles"), "rep").join(own, "rep").select("rep", "band", "label", F.col("n_shingles").alias("n"), "common"))
-    sized = sized.where(F.col("common") * 100 >= F.col("n") * NEED)
-    x, y = sized.alias("x"), sized.alias("y")
-    i = F.least("x.common", "y.common")
-    second = (
-        x.join(
-            y,
-            (F.col("x.band") == F.col("y.band"))
-            & (F.col("x.rep") > F.col("y.rep"))
-            & (F.col("x.label") != F.col("y.label"))
-            & (i * 100 >= (F.col("x.n") + F.col("y.n") - i) * NEED),
+    # bands that hold several components still: nearer hubs, then whatever the filters can't rule out
+    opened = scratch.keep(open_rows(banded, labels))
+    sets = scratch.keep(sets.join(opened.select("rep").distinct(), "rep", "left_semi"))
+    counts = docs.sparkSession.sparkContext.broadcast(slot_counts(sets, _elements))
+    nearness = scratch.keep(central(sets, counts))
+    for _ in range(HUB_ROUNDS):
+        hub = opened.join(nearness, "rep").groupBy("band").agg(F.max(F.struct("nearness", (-F.col("rep")).alias("rep"), "label")).alias("hub"))
+        tries = (
+            opened.join(hub, "band")
+            .where(F.col("label") != F.col("hub.label"))
+            .groupBy("rep")
+            .agg(F.max("hub").alias("hub"))
+            .select(F.greatest("rep", -F.col("hub.rep")).alias("a"), F.least("rep", -F.col("hub.rep")).alias("b"))
+            .distinct()
         )
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-    )
-    more = verified(plausible(second, classes), sets)
-    labels = components(links.unionAll(scratch.keep(more)), scratch)
+        links = scratch.keep(links.unionAll(verified(tries, sets)))
+        labels = components(links, scratch)
+        opened = scratch.keep(open_rows(opened.select("rep", "band"), labels))
+    pairs = prefix_pairs(sets, opened.select("rep", "label").distinct(), counts)
+    links = scratch.keep(links.unionAll(verified(plausible(pairs, classes), sets)))
+    labels = components(links, scratch)
 
     found = members.join(labels, members["rep"] == labels["node"], "left").select("h1", "h2", F.coalesce("label", "rep").alias("label"))
     return (
@@ -267,19 +269,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def unique_shares(sets: DataFrame) -> DataFrame:
-    """rep, common: how many elements of a set occur in another of these sets too."""
+def open_rows(banded: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep, band, label of the bands that hold several components."""
+    rows = banded.join(labels, banded["rep"] == labels["node"], "left").select("rep", "band", F.coalesce("label", "rep").alias("label"))
+    several = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    return rows.join(several, "band")
+
+
+def _elements(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for blob in batch.column(1):
+        yield np.frombuffer(blob.as_buffer(), _U)
+
+
+def central(sets: DataFrame, counts) -> DataFrame:
+    """rep, nearness: the mean count of a set's elements, highest for what others were copied from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        for b in batches:
+            mean = [float(often[slot_of(e)].mean()) for e in _elements(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mean, pa.float64())], names=["rep", "nearness"])
+
+    return sets.select("rep", "elements").mapInArrow(run, "rep long, nearness double")
+
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix_pairs(sets: DataFrame, labels: DataFrame, counts) -> DataFrame:
+    """The pairs (a, b) of different labels that prefix, length and positional filter leave."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
         for b in batches:
-            for rep, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                e = np.frombuffer(blob.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), rep)), pa.array(e)], names=["rep", "e"])
-
-    rows = sets.select("rep", "elements").mapInArrow(spread, "rep long, e long")
-    alone = rows.groupBy("e").agg(F.min("rep").alias("rep"), F.count("*").alias("times")).where("times = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    sizes = sets.select("rep", F.expr("octet_length(elements) DIV 8").alias("n"))
-    return sizes.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+            for rep, label, e in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), _elements(b), strict=True):
+                n = len(e)
+                c = often[slot_of(e)]
+                first = np.lexsort((e, c))[: n - -(-NEED * n // 100) + 1]
+                place = np.flatnonzero(c[first] > 1)
+                e = e[first[place]].view(np.int64)
+                k = len(e)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(e), pa.array(np.full(k, rep)), pa.array(np.full(k, label)), pa.array(np.full(k, n)), pa.array(n - place)], names=["e", "rep", "label", "n", "rest"]
+                )
+
+    rows = sets.join(labels, "rep").select("rep", "elements", "label").mapInArrow(prefixes, "e long, rep long, label long, n long, rest long")
+    met = rows.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e")
+    rows = rows.join(met, "e")
+    x, y = rows.alias("x"), rows.alias("y")
+    # intersection >= need/(100+need) of both sizes; at the first element shared, that many must be left in each
+    return (
+        x.join(
+            y,
+            (F.col("x.e") == F.col("y.e"))
+            & (F.col("x.rep") > F.col("y.rep"))
+            & (F.col("x.label") != F.col("y.label"))
+            & (F.least("x.rest", "y.rest") * (100 + NEED) >= (F.col("x.n") + F.col("y.n")) * NEED),
+        )
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .distinct()
+    )
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
