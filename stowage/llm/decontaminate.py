@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
 from .kernels import LOWER, SPACE, blocks, gram_hashes, text_bytes
@@ -170,7 +171,6 @@ def align(item: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, in
     return (int(cost[k]), int(start[k]), int(len(item) + j[k])) if cost[k] <= most else None
 
 
-_HIT = "array<struct<item_id:long,start:long,stop:long,edits:int>>"
 _HIT_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())]))
 
 
@@ -201,15 +201,8 @@ def matches(docs: DataFrame, items: Items, text_col: str, out: str) -> DataFrame
                     hits[first + d].append({"item_id": known.ids[i], "start": start, "stop": stop, "edits": edits})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, _HIT_TYPE)], names=[*names, out])
 
-    schema = docs.schema.add(out, _hit_type(docs.sparkSession))
-    return docs.mapInArrow(run, schema)
-
-
-def _hit_type(spark: SparkSession):
-    from pyspark.sql import types as T
-
     item = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("edits", T.IntegerType())])
-    return T.ArrayType(item)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(item))]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "hits") -> DataFrame:
