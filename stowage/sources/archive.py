@@ -165,7 +165,7 @@ class Reader(DataSourceReader):
     def _archives(self, part: Part, c: Catalog, size: int):
         h = c.header
         start = self.base + h.trailer
-        yield (part.archive_id, part.uri, self.base, size, h.version, h.external, h.escapes, h.alignment, signed(h.trailer), size - start, c.dictionary, len(c.paths or ()), len(c.blocks or ()))
+        yield (part.archive_id, part.uri, self.base, size, h.version, h.external, h.escapes, h.alignment, signed(h.trailer), size - start, c.dictionary, *(0 if i is None else signed(i.entries) for i in (c.paths, c.blocks)))
 
     def _paths(self, part: Part, c: Catalog, size: int):
         for path, index in self._items(c):

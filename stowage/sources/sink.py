@@ -330,6 +330,7 @@ def extract(spark: SparkSession, path: str, to: str, members: list[str] | None =
         if i in seen:
             raise ExtractError(f"the record is {seen[i]!r} too", path=p)
         seen[i] = p
+    os.makedirs(to, exist_ok=True)
     stats = {"directories": 0, "files": 0, "links": 0, "bytes": 0, "checksum_failures": 0}
     where = lambda p: os.path.join(to, *p.split(SEP))
     names = {n: k for k, (n, _) in enumerate(catalog.keys)}

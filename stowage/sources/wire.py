@@ -84,11 +84,11 @@ class Catalog:
         """(path, record index) of all entries: from the stored tree if there is one, else from the index."""
         if self.root:
             return _tree(self)
-        return [(k.decode(), v) for k, v in self.paths.items()] if self.paths else []
+        return [(k.decode(), v) for k, v in self.paths.items()] if self.paths is not None else []
 
     def block_items(self) -> list[tuple[int, int, int]]:
         """(record index, logical offset, physical offset); keys of another length are passed over."""
-        if not self.blocks:
+        if self.blocks is None:
             return []
         return [(*struct.unpack(">QQ", k), v) for k, v in self.blocks.items() if len(k) == 16]
 
