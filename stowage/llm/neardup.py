@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .graph import components
 from .kernels import blocks, mix, shingle_sets, text_bytes
+from .packing import release
 from .rarity import slot_counts, slot_of
 
 M, ROWS, BASE = 160, 4, 1.001
@@ -112,6 +113,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     ],
                     names=["doc_id", "h1", "h2", "n_shingles", "registers"],
                 )
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, {_SIGNATURE}")
 
@@ -125,6 +127,7 @@ def bands(classes: DataFrame) -> DataFrame:
             hashed = band_hashes(regs).reshape(-1).view(np.int64)
             rep = np.repeat(b.column(0).to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(hashed)], names=["rep", "band"])
+        release()
 
     return classes.select("rep", "registers").mapInArrow(run, "rep long, band long")
 
@@ -166,6 +169,7 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             regs = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, M) for k in (2, 3)]
             ok = possible(*regs, b.column(4).to_numpy().astype(float), b.column(5).to_numpy().astype(float))
             yield b.select(["a", "b"]).filter(pa.array(ok))
+        release()
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -179,6 +183,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for first, part, at in blocks(data, offsets):
                 sets = [s.tobytes() for s in shingle_sets(part, at, SHINGLE)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), pa.array(sets, pa.binary())], names=["rep", "elements"])
+        release()
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "rep long, elements binary")
 
@@ -197,6 +202,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok.append(100 * common >= NEED * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     return joined.mapInArrow(run, "a long, b long")
 

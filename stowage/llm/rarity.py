@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .packing import pack, unpack
+from .packing import pack, release, unpack
 
 #: 4 bytes each on the driver and in a broadcast.
 SLOTS = 1 << 21
@@ -36,10 +36,18 @@ def slot_counts(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
+        pending, size = [], 0
         for b in batches:
             for token in tokens(b):
-                total += np.bincount(slot_of(token), minlength=SLOTS)
+                pending.append(slot_of(token).astype(np.int32))
+                size += len(token)
+                if size >= 1 << 20:
+                    total += np.bincount(np.concatenate(pending), minlength=SLOTS)
+                    pending, size = [], 0
+        if pending:
+            total += np.bincount(np.concatenate(pending), minlength=SLOTS)
         yield _packed(total)
+        release()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -48,6 +56,7 @@ def slot_counts(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.nd
                 used, n = unpack(body)
                 total[used] += n
         yield _packed(total)
+        release()
 
     total = np.zeros(SLOTS, np.int64)
     for r in df.mapInArrow(count, "body binary").repartition(ADDERS).mapInArrow(add, "body binary").toLocalIterator():
