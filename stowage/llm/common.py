@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts as a regular expression; a word is a run of anything else.
@@ -53,9 +53,18 @@ def fold(column: str, parts: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def named(df: DataFrame, prefix: str) -> str:
-    """A column name that the table doesn't have."""
-    taken, name = {c.lower() for c in df.columns}, f"_{prefix}"
-    while name.lower() in taken:
-        name += "_"
-    return name
+def row_key(id_col: str, source_col: str, text_hash: Column) -> Column:
+    """One value that equal rows share and that is never null, so that a window and a join use the same partitioning."""
+    return F.struct(F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), F.col(source_col).isNull(), F.coalesce(F.col(source_col), F.lit("")), text_hash)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the table has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -34,8 +34,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, read
+from .common import fold, fresh, read
 from .kernels import blocks, text_bytes
 
 ORDER = 3
@@ -164,14 +165,12 @@ def sample(docs: DataFrame, rows: int = ROWS) -> dict[str, list[str]]:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, then lang_pred, score and bits_per_byte."""
+    """All columns of docs, then lang_pred, score and bits_per_byte (lengthened where docs has such names)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = ["lang_pred", "score", "bits_per_byte"]
-    rest = [c for c in docs.columns if c not in names]
-    schema = docs.select(*rest).schema
-    for name, kind in zip(names, ("string", "double", "double"), strict=True):
-        schema = schema.add(name, kind)
+    names, rest = fresh(docs, "lang_pred", "score", "bits_per_byte"), docs.columns
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -196,7 +195,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=rest + names,
             )
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, rows: int = ROWS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORDS, Scratch, read
+from .common import WORDS, Scratch, fresh, read, row_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -120,14 +120,14 @@ def training_order(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_
         .select("doc_id", "source", "text_hash", F.explode(F.when(F.col("size") == 0, F.array(F.lit(2.0))).otherwise(F.slice("positions", F.lit(1), F.col("times")))).alias("position"))
     )
     # equal rows stand for each other: one entry holds the positions of all
-    mixed = mixed.groupBy("doc_id", "source", "text_hash").agg(F.collect_list("position").alias("all"))
-    kind = W.partitionBy("_id", "_source", "_hash")
-    left = docs.select("*", F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), text.alias("_hash"))
-    left = left.withColumn("_turn", F.row_number().over(kind.orderBy(F.lit(1)))).withColumn("_of", F.count(F.lit(1)).over(kind))
-    on = left["_id"].eqNullSafe(mixed["doc_id"]) & left["_source"].eqNullSafe(mixed["source"]) & (left["_hash"] == mixed["text_hash"])
-    share = F.filter(F.array_sort(mixed["all"]), lambda x, i: i % left["_of"] == left["_turn"] - 1)
-    out = left.join(mixed, on).select(*[left[c] for c in docs.columns], F.explode(share).alias("_position"))
-    return out.repartitionByRange("_position").sortWithinPartitions("_position", id_col).drop("_position")
+    key, turn, of, every, at = fresh(docs, "_key", "_turn", "_of", "_all", "_position")
+    mixed = mixed.groupBy(row_key("doc_id", "source", F.col("text_hash")).alias(key)).agg(F.array_sort(F.collect_list("position")).alias(every))
+    kind = W.partitionBy(key)
+    left = docs.select("*", row_key(id_col, source_col, text).alias(key))
+    left = left.withColumn(turn, F.row_number().over(kind.orderBy(F.lit(1)))).withColumn(of, F.count(F.lit(1)).over(kind))
+    share = F.filter(every, lambda x, i: i % F.col(of) == F.col(turn) - 1)
+    out = left.join(mixed, key).select(*docs.columns, F.explode(share).alias(at))
+    return out.repartitionByRange(at).sortWithinPartitions(at, id_col).drop(at)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, fresh, read
 
 OVERHEAD = 8
 SLACK = 64
@@ -97,22 +97,13 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with shard and slot; equal rows take the places of their kind in turn."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kind = ["_id", "_hash", "_size"]
-    turn = lambda *by: F.row_number().over(W.partitionBy(*kind).orderBy(*by))
-    left = docs.select(
-        "*", F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), (F.octet_length(text) + OVERHEAD).cast("long").alias("_size")
-    ).withColumn("_turn", turn(F.lit(1)))
-    right = (
-        assign(docs, shards, id_col, text_col)
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), "shard", "slot")
-        .withColumn("_turn", turn("shard", "slot"))
-    )
-    l, r = left.alias("l"), right.alias("r")
-    on = F.col("l._id").eqNullSafe(F.col("r._id"))
-    for c in ("_hash", "_size", "_turn"):
-        on = on & (F.col(f"l.{c}") == F.col(f"r.{c}"))
-    return l.join(r, on).select(*[F.col(f"l.`{c}`") for c in docs.columns], "r.shard", "r.slot")
+    key, turn, every, at, shard, slot = fresh(docs, "_key", "_turn", "_all", "_at", "shard", "slot")
+    kind = lambda i, h: F.struct(F.col(i).isNull(), F.coalesce(F.col(i).cast("long"), F.lit(0).cast("long")), h).alias(key)
+    places = assign(docs, shards, id_col, text_col).groupBy(kind("doc_id", F.col("text_hash"))).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias(every))
+    left = docs.select("*", kind(id_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    left = left.withColumn(turn, F.row_number().over(W.partitionBy(key).orderBy(F.lit(1))))
+    found = left.join(places, key).withColumn(at, F.element_at(every, F.col(turn)))
+    return found.select(*docs.columns, F.col(at)["shard"].alias(shard), F.col(at)["slot"].alias(slot))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
