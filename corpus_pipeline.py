@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import decontaminate, language, mixing, neardup, sharding
-from stowage.llm.common import Scratch, read
+from stowage.llm.common import Scratch, fresh, read
 
 #: Texts whose language is less certain than this go, with those without a letter.
 LEAST_SCORE = 0.5
@@ -20,8 +20,9 @@ SHARDS = 24
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language, lang set to it."""
-    found = language.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    pred, score = fresh(docs, "lang_pred", "score")
+    found = language.identify(docs).where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE))
+    return found.select(*[F.col(pred).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"), out="_hits")
-    return found.where(F.size("_hits") == 0).select(*docs.columns)
+    (hits,) = fresh(docs, "_hits")
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"), out=hits)
+    return found.where(F.size(hits) == 0).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
