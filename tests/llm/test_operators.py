@@ -1,0 +1,466 @@
+"""Each operator against a plain version, on edge cases and on the smallest tables."""
+
+import hashlib
+import math
+import zlib
+
+import numpy as np
+import pytest
+from helpers import LOWER, SCHEMA, WORD, docs_of, edge_rows, shingles, table
+from pyspark.sql import functions as F
+
+from stowage.llm import decontaminate, language, lines, media, mixing, neardup, repeats, secrets, sharding, toxicity
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return table(spark, edge_rows())
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def clash(edge):
+    """Extra columns named like what operators use inside."""
+    out = edge
+    for c in ("score", "lang_pred", "part", "_key", "shard", "size", "rep", "hits", "_hits", "h1", "position"):
+        out = out.withColumn(c, F.lit(1))
+    return out
+
+
+# --- 1
+
+
+def test_language_learns_and_sums_to_one(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.Model(language.sample(docs))
+    weight = np.ones(model.size)
+    weight[0] = 256 - (model.size - 1)
+    total = (np.exp2(-model.bits.astype(float)) * weight[None, :, None]).sum(1)
+    assert np.allclose(total, 1, atol=1e-4)  # each context's code is a whole distribution
+    rows = language.op1_language(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_language_code_length_is_that_of_a_plain_walk():
+    model = language.Model({"a": ["abab abcab"], "b": ["zzyzx zy"]})
+    from collections import Counter
+
+    def plain(text, sample):
+        raw, out = sample.encode(), 0.0
+        count = [Counter() for _ in range(4)]
+        for o in range(4):
+            for k in range(o, len(raw)):
+                count[o][raw[k - o : k], raw[k]] += 1
+        data = text.encode()
+        for k, s in enumerate(data):
+            gone, done = set(), False
+            for o in range(min(3, k), -1, -1):
+                ctx = data[k - o : k]
+                seen = {c: n for (x, c), n in count[o].items() if x == ctx}
+                if not seen:
+                    continue
+                left = {c: n for c, n in seen.items() if c not in gone}
+                if left:
+                    whole = sum(left.values()) + len(left)
+                    if s in left:
+                        out, done = out + math.log2(whole / left[s]), True
+                        break
+                    out += math.log2(whole / len(left))
+                gone |= set(seen)
+            if not done:
+                out += math.log2(256 - len(gone))
+        return out
+
+    for text in ("abcabq", "zzy", "ba", ""):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got = model.lengths(raw, np.array([0, len(raw)]))[0]
+        assert np.allclose(got, [plain(text, "abab abcab"), plain(text, "zzyzx zy")], atol=1e-4)
+
+
+def test_language_edges(spark, edge, empty, clash):
+    model = language.Model({"en": ["the quick brown fox"], "de": ["der schnelle braune fuchs"]})
+    rows = {r["doc_id"]: r for r in language.predict(edge, model).collect()}
+    assert rows[4]["lang_pred"] == rows[5]["lang_pred"] == rows[14]["lang_pred"] == "und" and rows[4]["score"] == 0
+    assert rows[1]["lang_pred"] == "en" and 0 < rows[1]["score"] <= 1
+    assert language.predict(edge, language.Model({})).where("lang_pred <> 'und'").count() == 0
+    assert language.identify(empty).count() == 0
+    out = language.predict(clash, model)
+    assert out.columns[: len(clash.columns)] == clash.columns and "lang_pred_" in out.columns
+
+
+# --- 2
+
+
+def test_media_round_trip(spark, edge, empty):
+    want = sorted((r[0], r[1]) for r in edge_rows() if r[0] is not None)
+    for form in ("pgm", "bmp"):
+        got = media.features(media.store(edge, form)).where("doc_id IS NOT NULL").collect()
+        by = {}
+        for r in got:
+            by.setdefault(r["doc_id"], r)
+        for i, text in want:
+            raw = (text or "").encode()
+            pay = raw + b"\xff" * (-len(raw) % 576) if raw else b"\xff" * 576
+            r = by[i]
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
+    assert media.features(media.store(empty)).count() == 0
+
+
+def test_media_formats_and_resize():
+    rng = np.random.default_rng(0)
+    image = rng.integers(0, 256, (37, 24), dtype=np.uint8)
+    assert (media.decode(media.write_pgm(image)) == image).all() and (media.decode(media.write_bmp(image)) == image).all()
+    colour = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    assert (media.decode(media.write_pgm(colour)) == colour).all() and media.grey(colour).shape == (5, 7)
+    assert media.decode(b"P2\n# note\n2 1\n255\n7 9").tolist() == [[7, 9]] and media.decode(b"P1 2 1\n1 0").tolist() == [[0, 255]]
+    # the mean over fractional rectangles, by repeating samples
+    fine = np.repeat(np.repeat(image, 8, 0), 9, 1).astype(np.int64)
+    plain = fine.reshape(8, 37, 9, 24).sum((1, 3))
+    assert (media.area_resize(image, 9, 8) == (2 * plain + 37 * 24) // (2 * 37 * 24)).all()
+    assert np.load(__import__("io").BytesIO(media.npy(image))).tolist() == image.tolist()
+
+
+# --- 3
+
+
+def plain_lines(rows):
+    seen = {}
+    docs = sorted(((-(2**63) if i is None else i, t) for i, t in rows), key=lambda r: r[0])
+    for i, t in docs:
+        for n, line in enumerate(("" if t is None else t).encode().split(b"\n")):
+            s = frozenset(WORD.findall(line.translate(LOWER)))
+            if s:
+                seen[s] = min(seen.get(s, (i, n)), (i, n))
+    out = {}
+    for i, t in docs:
+        raw = ("" if t is None else t).encode().split(b"\n")
+        kept = []
+        for n, line in enumerate(raw):
+            s = frozenset(WORD.findall(line.translate(LOWER)))
+            gone = s and (seen[s] < (i, n) or any(p < seen[s] and 100 * len(s & o) >= 75 * len(s | o) for o, p in seen.items()))
+            if not gone:
+                kept.append(line)
+        out.setdefault(i, []).append((0 if t is None else len(raw), len(raw) - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("which", ["edge", "table"])
+def test_lines(spark, sf_dir, edge, which):
+    rows = [r[:2] for r in edge_rows()] if which == "edge" else [r[:2] for r in docs_of(spark, sf_dir, 60)]
+    got = {}
+    for r in lines.dedup_lines(edge if which == "edge" else table(spark, rows)).collect():
+        got.setdefault(-(2**63) if r["doc_id"] is None else r["doc_id"], []).append((r["n_lines"], r["n_removed"], r["kept_sha256"]))
+    assert {k: sorted(v) for k, v in got.items()} == plain_lines(rows)
+
+
+def test_lines_empty(empty):
+    assert lines.dedup_lines(empty).count() == 0
+
+
+# --- 4
+
+
+def plain_neardup(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    label = list(range(len(rows)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and sets[a][0] is not None and sets[b][0] is not None and 100 * len(x & y) >= 75 * len(x | y):
+                label[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return sorted(((i, len(s), None if i is None else least[root(k)], i is None or least[root(k)] == i) for k, (i, s) in enumerate(sets)), key=str)
+
+
+@pytest.mark.parametrize("which", ["edge", "table"])
+def test_neardup(spark, sf_dir, edge, which):
+    rows = [r[:2] for r in edge_rows()] if which == "edge" else [r[:2] for r in docs_of(spark, sf_dir)]
+    got = neardup.near_duplicates(edge if which == "edge" else table(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_neardup(rows)
+
+
+def test_neardup_chain_and_large_group(spark):
+    rng = np.random.default_rng(7)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 200)]
+    rows, text = [], list(base)
+    for i in range(120):  # each copy differs from the one before: ends of the chain don't match, the component is one
+        text = list(text)
+        text[int(rng.integers(200))] = f"new{i}"
+        rows.append((i, " ".join(text)))
+    for i in range(200, 400):  # copies of one text with 2 to 12 changed words
+        copy = list(base)
+        for k in rng.integers(0, 200, int(rng.integers(2, 12))):
+            copy[k] = f"c{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    got = neardup.near_duplicates(table(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_neardup(rows)
+
+
+def test_neardup_empty(empty, clash):
+    assert neardup.near_duplicates(empty).count() == 0
+    assert neardup.near_duplicates(clash).count() == clash.count()
+
+
+def test_registers_merge_and_estimate():
+    rng = np.random.default_rng(1)
+    a, b = (np.sort(rng.integers(0, 2**63, 400).astype(np.uint64)) for _ in "ab")
+    both = neardup.registers([a, b, np.union1d(a, b)])
+    assert (np.maximum(both[0], both[1]) == both[2]).all()
+    assert not neardup.possible(both[:1], both[1:2], np.array([400.0]), np.array([400.0]))[0]
+    assert neardup.possible(both[:1], both[:1], np.array([400.0]), np.array([400.0]))[0]
+
+
+# --- 5
+
+
+def test_secrets(spark, empty):
+    rng = np.random.default_rng(2)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
+    rows = [(i, f'some plain words here then token = "{h}" and more of the same words follow here') for i, h in enumerate(hexes[:40])]
+    rows += [(100 + i, f"call +1 (262) 555-3752 or card 4451718024887{i:03d} some plain words here and release-2024-notes{i} follow") for i in range(40)]
+    rows += [(200 + i, f"password={h[:18]} plain words") for i, h in enumerate(hexes[40:])]
+    rows += [(300, None), (301, ""), (None, "token = abcdef0123456789abcdef01")]
+    got = secrets.scan(table(spark, rows)).collect()
+    found = {r["doc_id"] for r in got if r["secret"]}
+    assert found >= set(range(40)) | set(range(200, 220)) and not found & set(range(100, 140))
+    again = sorted((str(r["doc_id"]), r["nth"], r["score"]) for r in secrets.scan(table(spark, rows)).collect())
+    assert again == sorted((str(r["doc_id"]), r["nth"], r["score"]) for r in got)
+    assert secrets.scan(empty).count() == 0
+    plan = secrets.scan(table(spark, rows))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- 6
+
+
+def test_toxicity_grammar():
+    w = lambda k: f"w{chr(97 + k % 26)}{chr(97 + k // 26)}"
+    toxic = [f"{w(k)} {w(k + 1)}. you are {w(k)} scum {w(k + 3)} lowei{'abcdefghij'[k % 10]}x" for k in range(60)]
+    clean = [f"{w(k)} {w(k + 1)}. they are {w(k)} fine {w(k + 3)} and so on" for k in range(60)]
+    model = toxicity.Model(toxic, clean, 0.0)
+    assert "scum" in model.words and "lowei" in model.stems
+    for text, want in (("total scum.", True), ("loweizzz", True), ("nothing here", False), ("", False)):
+        assert (model.score(text)[0] >= 0.5) == want
+    assert model.score("he said scum")[1] == "told+target" and model.score("not scum")[1] == "denied"
+    assert model.score("you scum")[1] == "insult+target"
+    none = toxicity.Model([], [], -2.0)
+    assert 0 <= none.score("anything")[0] < 0.5
+
+
+def test_transducers_compose():
+    a, b = toxicity.Transducer(), toxicity.Transducer()
+    a.arc(0, "x", "y", 1, 1.0)
+    a.arc(1, "x", "z", 0, 2.0)
+    b.arc(0, "y", "p", 0, 0.5)
+    b.arc(0, "z", "q", 0, 0.25)
+    assert a.compose(b).best(["x", "x", "x"]) == (1.5 + 2.25 + 1.5, ["p", "q", "p"])
+
+
+def test_toxicity_edges(spark, edge, empty):
+    rows = toxicity.scored(edge, toxicity.Model([], [], -2.0)).collect()
+    assert len(rows) == len(edge_rows()) and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in rows)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(empty, toxicity.learn(empty, labels)).count() == 0
+
+
+# --- 7
+
+
+def test_sharding(spark, sf_dir, edge, empty, clash):
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), edge):
+        rows = sharding.assign(docs, 24).collect()
+        assert len(rows) == docs.count()
+        total = sum(r["size"] for r in rows)
+        by = {}
+        for r in rows:
+            by.setdefault(r["shard"], []).append(r)
+        assert set(by) <= set(range(24))
+        for rs in by.values():
+            assert sorted(r["slot"] for r in rs) == list(range(len(rs)))
+            most = max(r["size"] for r in rows)
+            assert sum(r["size"] for r in rs) <= total / 24 * (1 + 2 / sharding.SLACK) + most
+        texts = {}
+        for r in rows:
+            texts.setdefault(r["text_hash"], set()).add(r["shard"])
+        assert all(len(s) == 1 or sum(r["size"] for r in rows if r["text_hash"] == t) > total / 24 / sharding.SLACK for t, s in texts.items())
+    out = sharding.shard_documents(clash)
+    assert out.count() == clash.count() and "shard_" in out.columns
+    assert sharding.assign(empty).count() == 0
+
+
+# --- 8
+
+
+def plain_distance(item, text):
+    prev = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        cur = [i]
+        for j, d in enumerate(text, 1):
+            cur.append(min(prev[j - 1] + (c != d), prev[j] + 1, cur[-1] + 1))
+        prev = cur
+    return min(prev)
+
+
+def test_decontaminate(spark, edge, empty):
+    rng = np.random.default_rng(4)
+    items = [(k, " ".join(f"item{k}w{int(x)}" for x in rng.integers(0, 1000, 14))) for k in range(8)] + [(8, "tiny"), (9, ""), (10, None)]
+    rows, want = [], {}
+    for i in range(60):
+        k = int(rng.integers(8))
+        text = list(items[k][1])
+        for _ in range(int(rng.integers(0, 22))):
+            p, op = int(rng.integers(len(text))), int(rng.integers(3))
+            text[p : p + 1] = [["#"], [], [text[p], "#"]][op]
+        rows.append((i, "words  before\n" + "".join(text).upper() + " words after"))
+        clean = decontaminate.trimmed(rows[-1][1]).decode()
+        want[i] = {j for j, t in items if t and j != 8 and plain_distance(decontaminate.trimmed(t).decode(), clean) <= int(len(decontaminate.trimmed(t)) * decontaminate.RATE)}
+    rows += [(100, "this is a TINY one"), (101, None)]
+    want |= {100: {8}, 101: set()}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: {h["item_id"] for h in r["hits"]} for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert got == want
+    assert decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.contaminated(edge, bench.limit(0)).where(F.size("hits") > 0).count() == 0
+
+
+def test_decontaminate_in_blocks(spark):
+    bench = spark.createDataFrame([(k, f"passage number {k} of the benchmark set with words") for k in range(20)], "item_id long, text string")
+    parts = list(decontaminate.item_blocks(bench, most=200))
+    assert len(parts) > 3 and sum(map(len, parts)) == 20
+
+
+# --- 9
+
+
+def plain_repeats(rows):
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            raw = (t or "").encode()
+            for s in range(len(raw) - 49):
+                w = raw[s : s + 50]
+                first[w] = min(first.get(w, i), i)
+    out = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        if i is not None:
+            for s in range(len(raw) - 49):
+                if first[raw[s : s + 50]] < i:
+                    gone[s : s + 50] = True
+        spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        out.append((i, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("which", ["edge", "table", "passages"])
+def test_repeats(spark, sf_dir, which):
+    if which == "edge":
+        rows = [r[:2] for r in edge_rows() if r[0] not in (10, 11)] + [(20, "ab" * 80), (21, "ab" * 60 + "c"), (22, "x" * 49), (23, "x" * 49), (24, "é" * 60), (25, "y" + "é" * 40)]
+    elif which == "table":
+        rows = [r[:2] for r in docs_of(spark, sf_dir, 100)]
+    else:
+        rng = np.random.default_rng(9)
+        letters = np.frombuffer(b"abcd efgh", np.uint8)
+        passages = ["".join(map(chr, rng.choice(letters, int(n)))) for n in rng.integers(45, 120, 6)]
+        rows = []
+        for i in rng.permutation(80).tolist():
+            parts = ["".join(map(chr, rng.choice(letters, int(rng.integers(0, 90))))) for _ in range(4)]
+            cut = [p[int(rng.integers(0, 20)) : len(p) - int(rng.integers(0, 20))] for p in (passages[int(rng.integers(6))] for _ in range(3))]
+            rows.append((i, "".join(a + b for a, b in zip(parts, [*cut, ""], strict=True))))
+    got = repeats.repeated_spans(table(spark, rows)).drop("spans").collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_repeats(rows)
+
+
+def test_repeats_empty(empty):
+    assert repeats.repeated_spans(empty).count() == 0
+
+
+def test_bucket_refinement_equals_strings():
+    rng = np.random.default_rng(3)
+    data = rng.choice(np.frombuffer(b"ab", np.uint8), 40 * repeats.AROUND)
+    data[: 4 * repeats.AROUND] = np.tile(data[: repeats.AROUND], 4)
+    start = np.concatenate([r * repeats.AROUND + np.arange(repeats.REACH + 1) for r in range(40)])
+    got = repeats.refine(data, start)
+    strings = [data[s : s + 50].tobytes() for s in start]
+    assert len(set(zip(got.tolist(), strings, strict=True))) == len(set(strings)) == len(set(got.tolist()))
+
+
+# --- 10
+
+
+def test_mixing(spark, sf_dir, edge, empty, clash):
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), edge):
+        rows = mixing.mix(docs).collect()
+        assert len(rows) == docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+        sizes = {}
+        for r in rows:
+            sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+        left, target, open_ = 1.5 * sum(sizes.values()), {}, set(order)
+        while open_:
+            level = left / sum(weight[s] for s in open_)
+            over = {s for s in open_ if weight[s] * level > 2 * sizes[s]}
+            if not over:
+                target |= {s: weight[s] * level for s in open_}
+                break
+            target |= {s: 2.0 * sizes[s] for s in over}
+            left -= sum(2 * sizes[s] for s in over)
+            open_ -= over
+        for s in order:
+            mine = [r for r in rows if r["source"] == s]
+            assert math.isclose(mine[0]["target"], target[s], abs_tol=1e-6)
+            assert abs(sum(r["taken"] for r in mine) - target[s]) <= 1
+    ordered = mixing.training_order(clash)
+    assert ordered.columns == clash.columns and ordered.count() > 0
+    assert mixing.mix(empty).count() == 0 and mixing.training_order(empty).count() == 0
+    plan = mixing.mix(edge)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_mixing_inverse(spark):
+    df = spark.range(101).select((F.col("id") / 100).alias("y"))
+    for b in mixing.SLOPES:
+        t = mixing.inverse(F.lit(b), F.col("y"))
+        assert df.select(F.max(F.abs(t + F.lit(b) * (t * t - t) - F.col("y")))).first()[0] < 1e-9
+
+
+# --- pipeline
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline as c
+
+    out = c.run(spark, sf_dir)
+    assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} and out.count() > 0
+    kept = neardup.op4_neardup(spark, sf_dir).where("kept")
+    dirty = decontaminate.op8_decontaminate(spark, sf_dir).where("contaminated").select("doc_id")
+    good = kept.join(dirty, "doc_id", "left_anti").select("doc_id")
+    assert out.select("doc_id").distinct().join(good, "doc_id", "left_anti").count() == 0
+
+
+def test_pipeline_stages_on_edges(spark, sf_dir, clash, empty):
+    import corpus_pipeline as c
+
+    for name, stage in c.STAGES:
+        for docs in (clash, empty):
+            out = stage(spark, docs, sf_dir)
+            assert out.columns[: len(docs.columns)] == docs.columns, name
+            out.count()
