@@ -6,10 +6,10 @@ many times the input, so only strings that can repeat are sorted:
 
 1. Each string of LENGTH bytes has one anchor, the q-gram in it of least hash
    (leftmost on ties).  Equal strings have equal anchors at equal places.
-   Anchors (one in about 17 positions) are dealt by q-gram; a q-gram found in
+   Anchors (one in about 15 positions) are dealt by q-gram; a q-gram found in
    one text only rules out all strings of its anchor.
 2. For the anchors left, the bytes around each (all strings it anchors lie in
-   84 bytes) are dealt by q-gram again, each distinct piece once for a part
+   80 bytes) are dealt by q-gram again, each distinct piece once for a part
    of the texts.
 3. Bucket-pointer refinement sorts them: positions are bucketed by their
    first 8 bytes, then each bucket is refined by the bucket identifiers 8, 16
@@ -38,13 +38,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .kernels import blocks, gram_hashes, mix, span_hashes, text_bytes
-from .packing import pack, unpack
+from .packing import pack, planes, release, unpack, unplaned
 
-LENGTH, Q = 50, 16
+LENGTH, Q = 50, 20
 REACH = LENGTH - Q  # strings of an anchor start at most this far before it
 AROUND = LENGTH + REACH
 
@@ -81,8 +82,28 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def content_ids(texts: list[bytes]) -> np.ndarray:
-    """Two 64-bit words a text."""
-    return np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
+    """Two 64-bit words a text: the first tells its part, 56 bits of the second name it there."""
+    return np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts), _U).reshape(-1, 2)
+
+
+def _name(content: np.ndarray) -> np.ndarray:
+    return content[:, 1] >> _U(8)
+
+
+#: Bytes of text worked on together before a shuffle, and pieces sorted together after one.
+PORTION, PIECES = 8 << 20, 8192
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most PORTION bytes (or one text)."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            stop = int(np.searchsorted(size, (size[at - 1] if at else 0) + PORTION, "right"))
+            stop = max(stop, at + 1)
+            yield b.slice(at, stop - at)
+            at = stop
 
 
 def _distinct(batch: pa.RecordBatch) -> tuple[list[bytes], list[list]]:
@@ -93,15 +114,14 @@ def _distinct(batch: pa.RecordBatch) -> tuple[list[bytes], list[list]]:
     return list(found), list(found.values())
 
 
-def _deal(part: np.ndarray, kind: int, columns: list[np.ndarray]) -> Iterator[dict]:
-    """The entries of each part as one row."""
+def _deal(part: np.ndarray, kind: int, columns: list[np.ndarray], encode) -> list[dict]:
+    """The entries of each part as one row, their columns encoded."""
     if not len(part):
-        return
+        return []
     order = np.argsort(part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
-        yield {"kind": kind, "part": int(part[a]), "body": pack(*(c[a:b] for c in columns))}
+    return [{"kind": kind, "part": int(part[a]), "body": encode(*(c[a:b] for c in columns))} for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True)]
 
 
 _BLOCK_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("body", pa.binary())])
@@ -121,28 +141,27 @@ def _tabled(f, schema: pa.Schema):
 
 
 def _parts_of(words: np.ndarray, parts: int) -> np.ndarray:
-    return (words.view(_U) % _U(parts)).astype(np.int32)
+    return (words % _U(parts)).astype(np.int32)
 
 
-def _compact(ids: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Content ids as a table and numbers into it."""
-    if not len(ids):
-        return (ids, np.zeros(0, np.int32), *rest)
-    key, number = np.unique(np.ascontiguousarray(ids).view("V16").reshape(-1), return_inverse=True)
-    return (key.view(np.int64).reshape(-1, 2), number.astype(np.int32), *rest)
+def _anchor_block(text, place, gram, shared, part_of_text, name) -> bytes:
+    """Anchors in order of their q-gram: 32 bits of it (besides what the bucket tells) as steps, the texts as a table."""
+    table, number = np.unique(text, return_inverse=True)
+    step = np.diff(gram >> _U(32), prepend=_U(0))
+    return pack(planes(part_of_text[table], 4), planes(name[table], 7), planes(number, 4), planes(place, 4), planes(step, 4), np.packbits(shared))
 
 
 def _send_anchors(parts: int):
-    """Kind 0: anchors by q-gram, each q-gram once for a batch. Kind 1: the others of q-grams that repeat in the batch, by content."""
+    """Kind 0: anchors by q-gram, each q-gram once for a portion. Kind 1: the others of q-grams that repeat in it, by content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _portions(batches):
             texts, ids = _distinct(b)
-            keep = [k for k, t in enumerate(texts) if len(t) >= LENGTH and any(i is not None for i in ids[k])]
-            texts = [texts[k] for k in keep]
+            texts = [t for t, i in zip(texts, ids, strict=True) if len(t) >= LENGTH and any(x is not None for x in i)]
             if not texts:
                 continue
             content = content_ids(texts)
+            dealt, name = _parts_of(content[:, 0], parts), _name(content)
             data, offsets = text_bytes(pa.array(texts, pa.large_binary()))
             got = []
             for first, part, at in blocks(data, offsets):
@@ -152,29 +171,16 @@ def _send_anchors(parts: int):
             order = np.argsort(gram, kind="stable")
             gram, text, place = gram[order], text[order], place[order]
             new = np.r_[True, gram[1:] != gram[:-1]]
-            run_of = np.cumsum(new) - 1
             edge = np.flatnonzero(new)
             last = np.append(edge[1:], len(gram)) - 1
-            shared = (text[edge] != text[last])[run_of]  # texts ascend inside a run
+            shared = (text[edge] != text[last])[np.cumsum(new) - 1]  # texts ascend inside a run
             send = new | ~shared
-            rows = []
             k = np.flatnonzero(send)
-            bucket = _parts_of(gram[k], parts)
-            order = np.argsort(bucket, kind="stable")
-            k, bucket = k[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            for a, e in zip(cut, np.append(cut[1:], len(k)), strict=True):
-                s = k[a:e]
-                table, number = np.unique(text[s], return_inverse=True)
-                g48 = (gram[s] >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits, besides those the bucket tells
-                kind = np.uint16 if len(table) < 65536 else np.int32
-                rows.append({"kind": 0, "part": int(bucket[a]), "body": pack(content[table], number.astype(kind), place[s], np.ascontiguousarray(g48.T), np.packbits(shared[s]))})
+            rows = _deal(_parts_of(gram[k], parts), 0, [text[k], place[k], gram[k], shared[k]], lambda *c: _anchor_block(*c, dealt, name))  # noqa: B023
             k = np.flatnonzero(~send)
-            if len(k):
-                owner = content[text[k]]
-                dealt = _parts_of(owner[:, 0].copy(), parts)
-                rows += list(_deal(dealt, 1, [owner, place[k]]))
+            rows += _deal(dealt[text[k]], 1, [name[text[k]], place[k]], lambda n, p: pack(planes(n, 7), planes(p, 4)))
             yield _rows(rows)
+        release()
 
     return run
 
@@ -183,30 +189,35 @@ def _shared_anchors(parts: int):
     """Of a q-gram bucket, the anchors of q-grams in more than one text, by content."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # key values arrive as Arrow scalars
         if key[0].as_py() == 1:
             for b in batches:
                 yield b.select(["kind", "part", "body"])
             return
-        ids, place, gram, flag = [], [], [], []
+        tables, number, place, gram, flag, shift = [], [], [], [], [], 0
         for b in batches:
             for body in b.column("body").to_pylist():
-                table, number, p, g48, bits = unpack(body)
-                ids.append(table[number])
-                place.append(p)
-                g = np.zeros((len(p), 8), np.uint8)
-                g[:, :6] = g48.T
-                gram.append(g.reshape(-1).view(_U))
-                flag.append(np.unpackbits(bits, count=len(p)).astype(bool))
-        ids, place, gram, flag = (np.concatenate(x) for x in (ids, place, gram, flag))
+                part, name, k, p, step, bits = unpack(body)
+                tables.append((unplaned(part), unplaned(name)))
+                number.append(unplaned(k).astype(np.int64) + shift)
+                shift += part.shape[1]
+                place.append(unplaned(p).astype(np.int32))
+                gram.append(np.cumsum(unplaned(step), dtype=_U).astype(np.uint32))
+                flag.append(np.unpackbits(bits, count=k.shape[1]).astype(bool))
+        number, place, gram, flag = (np.concatenate(x) for x in (number, place, gram, flag))
+        part, name = (np.concatenate(x) for x in zip(*tables, strict=True))
+        # one number for each content
+        order = np.lexsort((name, part))
+        fresh = np.r_[True, (name[order][1:] != name[order][:-1]) | (part[order][1:] != part[order][:-1])]
+        content = np.empty(len(order), np.int32)
+        content[order] = np.cumsum(fresh) - 1
+        owner = content[number]
         order = np.argsort(gram, kind="stable")
-        gram, ids, place, flag = gram[order], ids[order], place[order], flag[order]
-        edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        lo, hi = np.minimum.reduceat(ids[:, 0], edge), np.maximum.reduceat(ids[:, 0], edge)
-        shared = (lo < hi) | np.logical_or.reduceat(flag, edge)
-        keep = np.repeat(shared, np.diff(np.append(edge, len(gram))))
-        ids, place = ids[keep], place[keep]
-        yield _rows(list(_deal(_parts_of(ids[:, 0].copy(), parts), 1, [ids, place])))
+        edge = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]])
+        shared = (np.minimum.reduceat(owner[order], edge) < np.maximum.reduceat(owner[order], edge)) | np.logical_or.reduceat(flag[order], edge)
+        keep = order[np.repeat(shared, np.diff(np.append(edge, len(order))))]
+        number = number[keep]
+        yield _rows(_deal(part[number].astype(np.int32), 1, [name[number], place[keep]], lambda n, p: pack(planes(n, 7), planes(p, 4))))
+        release()
 
     return run
 
@@ -215,21 +226,22 @@ def _send_texts(parts: int):
     """Each distinct text of a batch once, with its ids, by content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _portions(batches):
             texts, ids = _distinct(b)
             content = content_ids(texts)
-            dealt = _parts_of(content[:, 0].copy(), parts) if texts else np.zeros(0, np.int32)
+            dealt = _parts_of(content[:, 0], parts)
             rows = []
             for p in np.unique(dealt):
                 k = np.flatnonzero(dealt == p).tolist()
                 rows.append({"kind": 1, "part": int(p), "body": pack(content[k], [texts[i] for i in k], [ids[i] for i in k])})
             yield _rows(rows)
+        release()
 
     return run
 
 
-def _contents(batches: list[pa.RecordBatch]) -> dict[bytes, tuple[bytes, list]]:
-    """Content id to text and all ids."""
+def _contents(batches: list[pa.RecordBatch]) -> list[tuple[np.ndarray, tuple[bytes, list]]]:
+    """Content id, (text, all ids) of a part's contents, in order of content id: a content's place there is its number."""
     found: dict[bytes, tuple[bytes, list]] = {}
     for b in batches:
         for body in b.column("body").to_pylist():
@@ -239,44 +251,47 @@ def _contents(batches: list[pa.RecordBatch]) -> dict[bytes, tuple[bytes, list]]:
                     old[1].extend(i)
                 else:
                     found[c.tobytes()] = (t, list(i))
-    return found
+    return [(np.frombuffer(k, _U), found[k]) for k in sorted(found)]
 
 
 def _first(ids: list) -> int | None:
     return min((i for i in ids if i is not None), default=None)
 
 
-def _by_content(batches: list[pa.RecordBatch], width: int) -> dict[bytes, list[np.ndarray]]:
-    """Content id to its entries of each column."""
-    got = [unpack(body) for b in batches for body in b.column("body").to_pylist()]
+def _grouped(batches: list[pa.RecordBatch], decode) -> dict[int, list[np.ndarray]]:
+    """First column's value to its entries of the other columns."""
+    got = [decode(*unpack(body)) for b in batches for body in b.column("body").to_pylist()]
     if not got:
         return {}
-    ids, *columns = (np.concatenate([g[k] for g in got]) for k in range(width))
-    key = np.ascontiguousarray(ids).view("V16").reshape(-1)
+    key, *columns = (np.concatenate(c) for c in zip(*got, strict=True))
     table, number = np.unique(key, return_inverse=True)
     order = np.argsort(number, kind="stable")
     at = np.searchsorted(number[order], np.arange(len(table) + 1))
     columns = [c[order] for c in columns]
-    return {k.tobytes(): [c[at[i] : at[i + 1]] for c in columns] for i, k in enumerate(table)}
+    return {int(k): [c[at[i] : at[i + 1]] for c in columns] for i, k in enumerate(table)}
+
+
+def _mask_block(number, place, a, mask) -> bytes:
+    return pack(planes(number, 4), planes(place, 4), a, mask)
 
 
 def _send_pieces(parts: int):
     """Kind 0: the bytes around shared anchors, each distinct piece once, by q-gram. Kind 1: masks of pieces that an earlier text of this part holds."""
 
     def run(key: tuple, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = _by_content(list(right), 2)
+        marked = _grouped(list(right), lambda n, p: (unplaned(n), unplaned(p).astype(np.int64)))
         if not marked:
             return
-        found = _contents(list(left))
-        names = [k for k in marked if k in found]
-        texts = [found[k][0] for k in names]
-        doc = np.array([_first(found[k][1]) for k in names], np.int64)
-        data, offsets = text_bytes(pa.array(texts, pa.large_binary()))
+        here = key[0].as_py()
+        chosen = [(k, marked[name], text, ids) for k, (c, (text, ids)) in enumerate(_contents(list(left))) if (name := int(c[1] >> _U(8))) in marked]
+        number = np.array([c[0] for c in chosen], np.int64)
+        doc = np.array([_first(c[3]) for c in chosen], np.int64)
+        data, offsets = text_bytes(pa.array([c[2] for c in chosen], pa.large_binary()))
         out: list[list[np.ndarray]] = []
         for first, part, at in blocks(data, offsets):
             place, lo, hi, gram, text = anchors(part, at)
-            wanted = np.concatenate([marked[names[first + i]][0].astype(np.int64) + at[i] for i in range(len(at) - 1)])
-            keep = np.isin(place, wanted, assume_unique=False)
+            wanted = np.concatenate([chosen[first + i][1][0] + at[i] for i in range(len(at) - 1)])
+            keep = np.isin(place, wanted)
             place, lo, hi, gram, text = (x[keep] for x in (place, lo, hi, gram, text))
             if not len(place):
                 continue
@@ -286,28 +301,25 @@ def _send_pieces(parts: int):
             a, e = lo - place + REACH, hi + LENGTH - place + REACH
             piece = np.where((col >= a[:, None]) & (col < e[:, None]), piece, 0).astype(np.uint8)
             same = mix(span_hashes(part, lo, hi + LENGTH) ^ mix(a.astype(_U) * _U(128) + (hi - lo).astype(_U)))
-            out.append([gram, same, doc[text + first], text + first, place - at[text], a, hi - lo + 1, piece])
+            out.append([gram, same, doc[text + first], number[text + first], (place - at[text]).astype(np.int32), a.astype(np.uint8), (hi - lo + 1).astype(np.uint8), piece])
         if not out:
             return
         gram, same, owner, text, place, a, n, piece = (np.concatenate(x) for x in zip(*out, strict=True))
+        del out, data
         order = np.lexsort((owner, same))
-        same_o, owner_o = same[order], owner[order]
-        new = np.r_[True, same_o[1:] != same_o[:-1]]
-        least = owner_o[np.flatnonzero(new)][np.cumsum(new) - 1]
+        new = np.r_[True, same[order][1:] != same[order][:-1]]
+        least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
         later = np.zeros(len(order), bool)
-        later[order] = owner_o > least
-        content = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+        later[order] = owner[order] > least
         rows = []
         k = np.flatnonzero(later)
         if len(k):
-            rows.append({"kind": 1, "part": key[0].as_py(), "body": pack(content[text[k]], place[k].astype(np.int32), a[k].astype(np.uint8), _full(n[k]))})
+            rows.append({"kind": 1, "part": here, "body": _mask_block(text[k], place[k], a[k], _full(n[k]))})
         k = np.flatnonzero(~later)
-        if len(k):
-            bucket = _parts_of(gram[k], parts)
-            order = np.lexsort((same[k], gram[k], bucket))
-            k, bucket = k[order], bucket[order]
-            rows += list(_deal(bucket, 0, [content[text[k]], place[k].astype(np.int32), owner[k], gram[k], same[k], a[k].astype(np.uint8), n[k].astype(np.uint8), piece[k]]))
+        k = k[np.lexsort((same[k], gram[k]))]
+        rows += _deal(_parts_of(gram[k], parts), 0, [text[k], place[k], owner[k], a[k], n[k], piece[k]], lambda t, p, o, a, n, x: pack(here, planes(t, 4), planes(p, 4), planes(o, 8), a, n, x))
         yield _rows(rows)
+        release()
 
     return run
 
@@ -342,6 +354,31 @@ def refine(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     return bucket[start]
 
 
+def _share(which, edge, n, a, piece, least, kind, owner, mask) -> None:
+    """Adds to the masks of the entries of distinct pieces ``which`` what they share with each other."""
+    rows = edge[which]
+    count = n[rows].astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    bucket = refine(piece[rows].reshape(-1), row * AROUND + a[rows].astype(np.int64)[row] + nth)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
+    lowest = np.minimum.reduceat(least[which][row][order], cut)
+    first = np.empty(len(row), np.int64)
+    first[order] = np.repeat(lowest, np.diff(np.append(cut, len(order))))
+    # entries compare their document with the least of each string; equal pieces' later entries are settled
+    lo, hi = int(edge[which[0]]), int(edge[which[-1] + 1]) if which[-1] + 1 < len(edge) else len(kind)
+    todo = lo + np.flatnonzero(mask[lo:hi] == 0)
+    back = np.searchsorted(which, kind[todo])
+    real = (back < len(which)) & (which[np.minimum(back, len(which) - 1)] == kind[todo])
+    todo, w = todo[real], back[real]
+    begin, m = np.cumsum(count) - count, count[w]
+    entry = np.repeat(np.arange(len(todo)), m)
+    bit = np.arange(len(entry)) - np.repeat(np.cumsum(m) - m, m)
+    hit = first[begin[w][entry] + bit] < owner[todo][entry]
+    np.bitwise_or.at(mask, todo[entry[hit]], _U(1) << bit[hit].astype(_U))
+
+
 def _settle(parts: int):
     """Masks of the strings of each piece that an earlier text holds too, by content."""
 
@@ -351,10 +388,24 @@ def _settle(parts: int):
                 yield b.select(["kind", "part", "body"])
             return
         got = [unpack(body) for b in batches for body in b.column("body").to_pylist()]
-        ids, place, owner, gram, same, a, n, piece = (np.concatenate([g[k] for g in got]) for k in range(8))
+        part = np.concatenate([np.full(g[4].shape, g[0], np.int32) for g in got])
+        text, place = (np.concatenate([unplaned(g[k]) for g in got]).astype(np.int64) for k in (1, 2))
+        owner = np.concatenate([unplaned(g[3]).view(np.int64) for g in got])
+        a, n, piece = (np.concatenate([g[k] for g in got]) for k in (4, 5, 6))
         del got
+        # the q-gram's hash, and the piece's, from its bytes
+        flat, row = piece.reshape(-1), np.arange(len(piece)) * AROUND
+        gram = np.empty(len(piece), _U)
+        same = np.empty(len(piece), _U)
+        for lo in range(0, len(piece), PIECES):
+            k = slice(lo, lo + PIECES)
+            block = flat[row[k][0] : row[k][-1] + AROUND]
+            at = row[k] - row[k][0]
+            gram[k] = span_hashes(block, at + REACH, at + REACH + Q)
+            same[k] = mix(span_hashes(block, at + a[k], at + a[k] + n[k] - 1 + LENGTH) ^ mix(a[k].astype(_U) * _U(128) + (n[k].astype(_U) - _U(1))))
         order = np.lexsort((owner, same, gram))
-        ids, place, owner, gram, same, a, n, piece = (x[order] for x in (ids, place, owner, gram, same, a, n, piece))
+        part, text, place, owner, gram, same, a, n = (x[order] for x in (part, text, place, owner, gram, same, a, n))
+        piece = piece[order]
         new = np.r_[True, (same[1:] != same[:-1]) | (gram[1:] != gram[:-1])]
         edge, kind = np.flatnonzero(new), np.cumsum(new) - 1
         least = owner[edge]  # of each distinct piece
@@ -367,30 +418,19 @@ def _settle(parts: int):
             several[1:] |= eq
             several[:-1] |= eq
         which = np.flatnonzero(several)
-        if len(which):
-            rows = edge[which]
-            count = n[rows].astype(np.int64)
-            row = np.repeat(np.arange(len(rows)), count)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            bucket = refine(piece[rows].reshape(-1), row * AROUND + a[rows].astype(np.int64)[row] + nth)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
-            lowest = np.minimum.reduceat(least[which][row][order], cut)
-            first = np.empty(len(row), np.int64)
-            first[order] = np.repeat(lowest, np.diff(np.append(cut, len(order))))
-            # every piece's own entries compare their document with the least of each string
-            back = np.full(len(edge), -1)
-            back[which] = np.arange(len(which))
-            begin = np.cumsum(count) - count
-            todo = np.flatnonzero((back[kind] >= 0) & (mask == 0))
-            w = back[kind[todo]]
-            m = count[w]
-            entry = np.repeat(np.arange(len(todo)), m)
-            bit = np.arange(len(entry)) - np.repeat(np.cumsum(m) - m, m)
-            hit = first[begin[w][entry] + bit] < owner[todo][entry]
-            np.bitwise_or.at(mask, todo[entry[hit]], _U(1) << bit[hit].astype(_U))
+        # q-grams are independent of each other: sort a bounded number of pieces at a time, whole q-grams always
+        heads = np.flatnonzero(np.r_[True, grams[which][1:] != grams[which][:-1]]) if len(which) else which
+        at = 0
+        while at < len(which):
+            nxt = int(np.searchsorted(heads, at + PIECES, "right")) - 1
+            stop = int(heads[nxt]) if nxt >= 0 and heads[nxt] > at else (int(heads[nxt + 1]) if nxt + 1 < len(heads) else len(which))
+            if len(which) - at <= PIECES:
+                stop = len(which)
+            _share(which[at:stop], edge, n, a, piece, least, kind, owner, mask)
+            at = stop
         keep = mask > 0
-        yield _rows(list(_deal(_parts_of(ids[keep][:, 0].copy(), parts), 1, [ids[keep], place[keep], a[keep], mask[keep]])))
+        yield _rows(_deal(part[keep], 1, [text[keep], place[keep], a[keep], mask[keep]], _mask_block))
+        release()
 
     return run
 
@@ -403,20 +443,20 @@ _RESULT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha
 
 def _cut(key: tuple, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each row of the input."""
-    marked = _by_content(list(right), 4)
+    marked = _grouped(list(right), lambda t, p, a, m: (unplaned(t), unplaned(p).astype(np.int64), a, m))
     rows = []
 
     def row(i, n: int, spans: list[tuple[int, int]], digest: str) -> dict:
         return {"doc_id": i, "n_bytes": n, "n_removed": sum(b - a for a, b in spans), "n_spans": len(spans), "kept_sha256": digest, "spans": [{"start": a, "stop": b} for a, b in spans]}
 
     nothing = hashlib.sha256(b"").hexdigest()
-    for k, (text, ids) in _contents(list(left)).items():
+    for k, (_, (text, ids)) in enumerate(_contents(list(left))):
         first, spans, digest = _first(ids), [], hashlib.sha256(text).hexdigest()
         kept = digest
         if k in marked:
             place, a, mask = marked[k]
             hit = ((mask[:, None] >> np.arange(REACH + 1, dtype=_U)) & _U(1)).astype(bool)
-            base = place.astype(np.int64) - REACH + a
+            base = place - REACH + a.astype(np.int64)
             starts = np.sort((base[:, None] + np.arange(REACH + 1))[hit])
             edge = np.flatnonzero(np.r_[True, starts[1:] - starts[:-1] > LENGTH])
             spans = [(int(starts[x]), int(starts[y]) + LENGTH) for x, y in zip(edge, np.append(edge[1:], len(starts)) - 1, strict=True)]
