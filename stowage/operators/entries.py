@@ -8,10 +8,10 @@ descendants right after it.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SEP, depth, glob_regex, name, parent
+from ..plans.stage import filled
 
 
 def with_path_parts(entries: DataFrame) -> DataFrame:
@@ -142,8 +142,8 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 def operand_config(operands: DataFrame) -> DataFrame:
     """operands(position, path, codec): the codec named last before each operand holds for it."""
-    w = W.orderBy("position").rowsBetween(W.unboundedPreceding, 0)
-    return operands.withColumn("codec", F.coalesce(F.last("codec", ignorenulls=True).over(w), F.lit("zstd"))).where("path IS NOT NULL")
+    held = filled(operands, ["position"], "codec")
+    return held.withColumn("codec", F.coalesce("codec", F.lit("zstd"))).where("path IS NOT NULL")
 
 
 def classify(entries: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SEP, align_up, name, parent
-from ..plans.stage import running_sums
+from ..plans.stage import lagged, running_sums
 from .blocks import KEY
 
 HEADER = 32
@@ -88,9 +88,8 @@ def directories_to_make(paths: DataFrame, existing: DataFrame) -> DataFrame:
 
 def index_faults(keys: DataFrame, order: str) -> DataFrame:
     """Of keys in insertion order: duplicates and keys out of byte order."""
-    w = W.orderBy(order)
     fault = F.when(F.col("path") == F.col("_prev"), "duplicate").when(F.col("path") < F.col("_prev"), "out of order")
-    return keys.withColumn("_prev", F.lag("path").over(w)).withColumn("fault", fault).where("fault IS NOT NULL").drop("_prev")
+    return lagged(keys, [order], "path", "_prev").withColumn("fault", fault).where("fault IS NOT NULL").drop("_prev")
 
 
 def upserted(entries: DataFrame, order: str) -> DataFrame:

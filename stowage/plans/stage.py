@@ -48,3 +48,32 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataF
 def numbered(df: DataFrame, order: list[str], name: str = "record_index") -> DataFrame:
     """df with each row's place, from 1, in the order given (which should be total)."""
     return running_sums(df.withColumn("_one", F.lit(1).cast("long")), order, {name: "_one"}).drop("_one")
+
+
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return staged(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def lagged(df: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
+    """df with the column's value in the row before, over all rows in order; partitions hand on their last row."""
+    ranged = _ranged(df, order)
+    key = F.struct(*order)
+    tails = ranged.groupBy("_part").agg(F.max_by(F.struct(column), key).alias("_tail"))
+    tails = tails.select("_part", F.lag("_tail").over(W.orderBy("_part"))[column].alias("_before"))
+    inside = W.partitionBy("_part").orderBy(*order)
+    out = ranged.withColumns({"_nth": F.row_number().over(inside), "_lag": F.lag(column).over(inside)}).join(F.broadcast(tails), "_part")
+    return out.select(*df.columns, F.when(F.col("_nth") == 1, F.col("_before")).otherwise(F.col("_lag")).alias(name))
+
+
+def filled(df: DataFrame, order: list[str], column: str) -> DataFrame:
+    """df with the column's nulls replaced by the last value before them, over all rows in order."""
+    ranged = _ranged(df, order)
+    key = F.struct(*order)
+    tails = ranged.where(F.col(column).isNotNull()).groupBy("_part").agg(F.max_by(column, key).alias("_tail"))
+    tails = ranged.select("_part").distinct().join(tails, "_part", "left")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    tails = tails.select("_part", F.last("_tail", ignorenulls=True).over(before).alias("_before"))
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = ranged.withColumn("_seen", F.last(column, ignorenulls=True).over(inside)).join(F.broadcast(tails), "_part")
+    return out.select(*[F.coalesce("_seen", "_before").alias(c) if c == column else F.col(c) for c in df.columns])

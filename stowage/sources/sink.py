@@ -10,6 +10,7 @@ is visible before that, and an abort leaves nothing.
 
 from __future__ import annotations
 
+import base64
 import os
 import uuid
 from collections.abc import Iterator
@@ -65,7 +66,7 @@ def prepare(content: bytes, codec: str, chunked: bool, block: int, level: int |
         raise WriteError("chunked content needs bytes and a block size")
     out, blocks, at = [], [], 0
     for logical in range(0, len(content), block):
-        body = compress(content[logical : logical + block], codec)
+        body = compress(content[logical : logical + block], codec)  # default options, no dictionary
         blocks.append((logical, at))
         out.append(body)
         at += len(body)
@@ -73,7 +74,7 @@ def prepare(content: bytes, codec: str, chunked: bool, block: int, level: int |
 
 
 class Writer(DataSourceWriter):
-    """Options: path, alignment (0), codec (zstd), level, chunked (false), block_size, checksum (true), allow_escapes, allow_external_symlinks, create (false: replace or append by mode)."""
+    """Options: path, alignment (0), codec (zstd), level, chunked (false), block_size, checksum (true), allow_escapes, allow_external_symlinks, dictionary (base64, for whole zstd files), create (false: replace or append by mode)."""
 
     def __init__(self, options: dict[str, str], schema, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
@@ -84,6 +85,7 @@ class Writer(DataSourceWriter):
         self.checksum, self.escapes, self.external = flag("checksum", "true"), flag("allow_escapes", "false"), flag("allow_external_symlinks", "false")
         system, inner = open_file(self.path)
         self.exists = system.get_file_info(inner).type == fs.FileType.File
+        self.dictionary = base64.b64decode(options["dictionary"]) if options.get("dictionary") else None
         if flag("create", "false") and self.exists:
             raise WriteError("the archive exists already", path=self.path)
         if not 0 <= self.alignment <= U32:
@@ -105,7 +107,7 @@ class Writer(DataSourceWriter):
                     content = bytes(r.get("content") or b"")
                     wanted = r.get("chunked")
                     cut = bool(content) and (kind == "chunked_file" or (self.chunked if wanted is None else wanted))
-                    body, e.codec, e.blocks = prepare(content, r.get("codec") or self.codec, cut, self.block, self.level, None)
+                    body, e.codec, e.blocks = prepare(content, r.get("codec") or self.codec, cut, self.block, self.level, self.dictionary)
                     if cut:
                         e.kind, e.block_size = "chunked_file", self.block
                     e.part, e.at, e.length, e.size = part, at, len(body), len(content)
@@ -123,6 +125,9 @@ class Writer(DataSourceWriter):
         old = Catalog(Header(1))
         if self.exists and not self.overwrite:
             old, _ = open_archive(self.path)
+            if self.dictionary != old.dictionary:
+                raise WriteError("an archive has one dictionary; append with the one it has", path=self.path)
+        old.dictionary = self.dictionary
         draft = f"{inner}.draft-{uuid.uuid4().hex}"
         try:
             with system.open_output_stream(draft) as out:

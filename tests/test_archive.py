@@ -143,3 +143,56 @@ def test_walk_and_probe(spark, made, tmp_path):
     (src / ".hidden").write_text("no")
     assert {r["path"] for r in sink.walk(spark, str(src)).select("path").collect()} == {"a\x1fx.txt"}
     assert {os.path.basename(r["path"]): r["is_archive"] for r in archive.probe(spark, path).collect()} == {"one.arc": True}
+
+
+def test_ranges(spark, made):
+    from stowage.sources import ranges
+
+    path, files = made
+    index = {r["path"]: r["record_index"] for r in archive.load(spark, path, "paths").collect()}
+    asked = [(path, index[p], o, n, p) for p in ("dir\x1fbig.bin", "dir\x1finner\x1fdeep.txt", "empty.txt") for o, n in ((0, 10), (65530, 20), (131072, 1), (300000, 5000), (10**7, 3), (5, 0))]
+    got = ranges.read_ranges(spark.createDataFrame(asked, "uri string, record_index long, offset long, n long, path string")).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        assert bytes(r["content"]) == files[r["path"]][r["offset"] : r["offset"] + r["n"]]
+    with ranges.SeekReader(path, index["dir\x1fbig.bin"]) as f:
+        f.seek(-7, 2)
+        assert f.read() == files["dir\x1fbig.bin"][-7:] and f.seek(65536) == 65536 and f.read(3) == files["dir\x1fbig.bin"][65536:65539]
+        with pytest.raises(ArchiveError):
+            f.seek(-1)
+        assert f.file.block(1) == files["dir\x1fbig.bin"][65536:131072]
+    with pytest.raises(ArchiveError):
+        ranges.bounds(10, 5, 6, "strict")
+    assert ranges.bounds(10, 12, 6) == (10, 10) and ranges.bounds(10, 5, 9, "clamp_end") == (5, 10)
+
+
+def test_files_dictionary_and_links(spark, tmp_path):
+    import base64
+
+    from stowage.sources import files as fl
+    from stowage.sources import wire
+
+    archive.register(spark)
+    src = tmp_path / "src"
+    src.mkdir()
+    for k in range(400):
+        (src / f"r{k}.txt").write_text(f"record {k} of the same kind of text, number {k * 7}; " * 8)
+    os.chmod(src / "r1.txt", 0o600)
+    os.symlink("r0.txt", src / "inside")
+    os.symlink("/etc/hostname", src / "outside")
+    rows = fl.with_attributes(sink.walk(spark, str(src)).where("path NOT IN ('inside', 'outside')"), str(src), timestamps=True, ownership=True)
+    d = fl.trained_dictionary(rows, 1024)
+    path = str(tmp_path / "d.arc")
+    sink.write(rows, path, dictionary=base64.b64encode(d).decode())
+    assert contents(spark, path)["r3.txt"] == (src / "r3.txt").read_bytes()
+    assert bytes(archive.load(spark, path, "archives").first()["dictionary"]) == d
+    attrs = {(r["record_index"], r["key"]): r for r in archive.load(spark, path, "attrs").collect()}
+    one = archive.load(spark, path, "paths").where("path = 'r1.txt'").first()["record_index"]
+    assert attrs[one, "unix.uid"]["v_long"] == os.stat(src / "r1.txt").st_uid
+    with pytest.raises(Exception, match="leaves the archive"):
+        fl.capture_links(spark, str(src), ["r0.txt"])
+    links = {r["path"]: r["record_type"] for r in fl.capture_links(spark, str(src), ["r0.txt"], True).collect()}
+    assert links == {"inside": "link", "outside": "external_link"}
+    assert fl.codec_options({"level": "9", "fast": "yes", "name": "x"}) == {"level": 9, "fast": True, "name": "x"}
+    assert fl.operand_words(["a", "--xz", "b", "--zstd-chunked", "c"]) == [("a", "zstd", False), ("b", "xz", False), ("c", "zstd", True)]
+    assert wire.decode_number("u8", b"\x07") == 7
