@@ -336,3 +336,23 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, counts) -> DataFrame:
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS i
+  FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE 100 * i >= 75 * (n + m - i)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, y) AS (
+  SELECT DISTINCT x, x FROM both_ways UNION SELECT r.doc_id, b.y FROM reached r JOIN both_ways b ON r.y = b.x),
+labels AS (SELECT doc_id, min(y) AS label FROM reached GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(label, doc_id) AS component_id, coalesce(label, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN labels USING (doc_id)
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_neardup": neardup.ORACLE,
+    "op9_repeats": repeats.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

@@ -493,3 +493,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(read(spark, sf_dir, "documents")).drop("spans")
+
+
+ORACLE = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+strings AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS s FROM raw WHERE n >= 50)),
+firsts AS (SELECT w, min(doc_id) AS m FROM strings GROUP BY w HAVING count(DISTINCT doc_id) > 1),
+hits AS (SELECT doc_id, s FROM strings JOIN firsts USING (w) WHERE m < doc_id),
+marks AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 OR lag(s) OVER (PARTITION BY doc_id ORDER BY s) IS NULL THEN 1 ELSE 0 END AS new FROM hits),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM marks) GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_byte FROM runs),
+cut AS (
+  SELECT g.doc_id, sum(b - a) AS removed, count(*) AS spans,
+         string_agg(substr(h, 2 * from_byte + 1, 2 * (a - from_byte)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gaps g JOIN raw r ON g.doc_id = r.doc_id GROUP BY g.doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM raw LEFT JOIN cut USING (doc_id)
+"""
