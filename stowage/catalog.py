@@ -500,3 +500,129 @@ def lru_simulation(spark, d):
     """Stateful; checked against a replay in plain Python."""
     r = V.requests(spark, d).select("archive_id", F.col("request").alias("at"), F.col("record_index").alias("block"), F.col("n").alias("size"))
     return M.lru_hits(r, 1 << 18)
+
+
+@query("""SELECT path, CASE WHEN record_type = 'directory' THEN '{"path":"' || replace(path, chr(31), '/') || '","type":"directory"}'
+ ELSE '{"path":"' || replace(path, chr(31), '/') || '","type":"' || record_type || '","compression":"' || compression || '","decompressed_length":' || decompressed_length || '}' END AS json FROM entries""")
+def listing_json(spark, d):
+    return M.listing_json(V.entries(spark, d))
+
+
+def _xattrs(spark, d):
+    e = V.table(spark, d, "events")
+    key = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("linux.xattr.user."), F.col("event_type"))).otherwise(F.col("event_type"))
+    return e.select(F.col("event_id").alias("record_index"), key.alias("key"), F.encode("event_type", "UTF-8").alias("raw"))
+
+
+@query("SELECT event_id AS record_index, 'user.' || event_type AS xattr, hex(encode(event_type)) AS raw FROM events WHERE event_id % 3 = 0")
+def xattr_projection(spark, d):
+    return A.xattrs(_xattrs(spark, d)).select("record_index", "xattr", F.hex("raw").alias("raw"))
+
+
+@query("SELECT path, CASE WHEN mode <> CASE WHEN record_type = 'directory' THEN 16877 ELSE 33188 END THEN mode END AS mode FROM (SELECT path, record_type, CAST(CASE WHEN strlen(path) % 3 = 0 THEN 33188 WHEN strlen(path) % 3 = 1 THEN 16877 ELSE 33152 END AS BIGINT) AS mode FROM entries)")
+def omitted_modes(spark, d):
+    n = F.octet_length("path") % 3
+    e = V.entries(spark, d).withColumn("mode", F.when(n == 0, 0o100644).when(n == 1, 0o40755).otherwise(0o100600).cast("long"))
+    return A.omit_default_mode(e).select("path", "mode")
+
+
+@query("SELECT path, name FROM parts ORDER BY lower(name), path LIMIT 50")
+def names_without_case(spark, d):
+    return E.sorted_by_name(V.entries(spark, d).select("path"), 50).select("path", "name")
+
+
+@query("""SELECT id, fault FROM (SELECT 1000 + s_suppkey AS id, 'repeated' AS fault FROM supplier WHERE s_suppkey % 9 = 2
+UNION ALL SELECT 1000 + s_suppkey, 'unreachable' FROM supplier WHERE s_suppkey % 7 = 3)""")
+def tree_faults(spark, d):
+    nodes = _tree(spark, d)
+    supplier = (F.col("id") > 1000) & ((F.col("id") - 1000) % 7 == 3)
+    broken = nodes.withColumn("parent_id", F.when(supplier, F.col("id")).otherwise(F.col("parent_id")))
+    twice = broken.where((F.col("id") > 1000) & ((F.col("id") - 1000) % 9 == 2))
+    return E.tree_faults(broken.unionByName(twice), E.tree_paths(broken))
+
+
+@query("SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 1 THEN 'escapes' ELSE 'external_symlinks' END AS reason FROM region WHERE r_regionkey % 2 = 1 OR r_regionkey = 4")
+def extraction_gates(spark, d):
+    r = V.table(spark, d, "region").select("r_regionkey", (F.col("r_regionkey") % 2 == 1).alias("allow_escapes"), (F.col("r_regionkey") == 4).alias("allow_external_symlinks"))
+    return E.extraction_gate(r).select("r_regionkey", "reason")
+
+
+@query("SELECT path, 'doc_' || (doc_id % 100) || '.txt' AS record_name FROM files WHERE doc_id >= 100")
+def name_mismatches(spark, d):
+    return E.name_faults(V.files(spark, d).select("path", F.concat(F.lit("doc_"), F.col("doc_id") % 100, F.lit(".txt")).alias("record_name")))
+
+
+@query("SELECT doc_id % 400 AS record_index, count(*) AS n FROM files GROUP BY doc_id % 400 HAVING count(*) > 1")
+def aliased_records(spark, d):
+    return E.alias_faults(V.files(spark, d).select((F.col("doc_id") % 400).alias("record_index")))
+
+
+@query("SELECT path, CASE WHEN position % 5 = 0 THEN 'directory' WHEN position % 5 = 1 THEN 'symlink' ELSE 'file' END AS kind FROM site")
+def classified_entries(spark, d):
+    p = F.col("position") % 5
+    return E.classify(V.site(spark, d).select("path", (p == 0).alias("is_dir"), (p == 1).alias("is_symlink"))).select("path", "kind")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS n, hex(encode(o_orderstatus)) AS mode FROM orders")
+def attribute_upsert(spark, d):
+    o = V.table(spark, d, "orders")
+    raw = F.encode("o_orderstatus", "UTF-8")
+    attrs = F.create_map(F.when(F.col("o_orderkey") % 2 == 0, "unix.mode").otherwise("title"), F.encode(F.lit("old"), "UTF-8"))
+    done = A.upsert_attr(o.select("o_orderkey", "o_orderstatus", attrs.alias("attrs")), "unix.mode", raw)
+    return done.select("o_orderkey", F.size("attrs").alias("n"), F.hex(F.col("attrs")["unix.mode"]).alias("mode"))
+
+
+@query("SELECT l.path, l.target_path, CASE WHEN f.path IS NULL THEN 'external_link' ELSE 'link' END AS record_type FROM (SELECT path, CASE WHEN link_target_index % 4 = 0 THEN '/etc/x' || link_target_index ELSE concat_ws(chr(31), 'corpus', 'n' || link_target_index) END AS target_path FROM links) l LEFT JOIN (SELECT concat_ws(chr(31), 'corpus', 'n' || (doc_id + 1)) AS path FROM files) f ON l.target_path = f.path")
+def captured_symlinks(spark, d):
+    t = F.col("link_target_index")
+    l = V.links(spark, d).select("path", F.when(t % 4 == 0, F.concat(F.lit("/etc/x"), t)).otherwise(S.join_path("corpus", F.concat(F.lit("n"), t))).alias("target_path"))
+    a = V.files(spark, d).select(S.join_path("corpus", F.concat(F.lit("n"), F.col("doc_id") + 1)).alias("path"), (F.col("doc_id") + 1).alias("record_index"))
+    return N.capture_symlinks(l, a, allow_external=True).select("path", "target_path", "record_type")
+
+
+@query("""SELECT path, CASE WHEN doc_id % 3 = 0 THEN doc_id + 100000 ELSE doc_id END AS record_index FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
+def appended_index(spark, d):
+    f = V.files(spark, d)
+    old = f.where("doc_id % 2 = 0").select("path", F.col("doc_id").alias("record_index"))
+    new = f.where("doc_id % 3 = 0").select("path", (F.col("doc_id") + 100000).alias("record_index"))
+    return L.merged_index(old, new)
+
+
+@query("SELECT count(*) AS files, CAST(sum(decompressed_length) AS BIGINT) AS bytes, CAST(count(*) FILTER (record_type = 'chunked_file') AS BIGINT) AS chunked FROM files")
+def run_statistics(spark, d):
+    runs = V.files(spark, d).groupBy("source").agg(F.count("*").alias("files"), F.sum("decompressed_length").alias("bytes"), F.count_if(F.col("record_type") == "chunked_file").alias("chunked")).drop("source")
+    return M.add_stats(runs)
+
+
+@query("SELECT i, i // 281474976710656 AS archive_id, i % 281474976710656 AS record_index FROM (SELECT archive_id * 281474976710656 + record_index AS i FROM overlay)")
+def inode_parts(spark, d):
+    i = S.inode(F.col("archive_id"), F.col("record_index"))
+    return V.overlay(spark, d).select((i - 1).alias("i"), S.inode_archive(i).alias("archive_id"), S.inode_record(i).alias("record_index"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'blake3:' || sha256(path) ELSE 'crc32:' || substr(hex(encode(path)), 7, 2) || substr(hex(encode(path)), 5, 2) || substr(hex(encode(path)), 3, 2) || substr(hex(encode(path)), 1, 2) END AS shown FROM files""")
+def checksum_texts(spark, d):
+    strong = F.when(F.col("doc_id") % 2 == 0, F.unhex(F.sha2("path", 256)))
+    out = S.checksum_text(strong, F.encode("path", "UTF-8"))
+    return V.files(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, out).otherwise(F.concat(F.lit("crc32:"), F.upper(F.substring(out, 7, 8)))).alias("shown"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '0o' || printf('%o', CAST(p_size AS BIGINT)) WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN p_name ELSE lower(hex(encode(p_name))) END AS shown FROM part")
+def attribute_texts(spark, d):
+    k = F.col("p_partkey") % 4
+    size = F.when(k < 2, F.col("p_size").cast("long"))
+    shown = S.attr_display(F.when(k == 0, "unix.mode").otherwise("other"), F.lit("vu32"), size, F.when(k == 2, F.col("p_name")), F.encode("p_name", "UTF-8"))
+    return V.table(spark, d, "part").select("p_partkey", shown.alias("shown"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, b, CASE b & 15 WHEN 1 THEN 'directory' WHEN 2 THEN 'file' WHEN 3 THEN 'link' WHEN 10 THEN 'chunked_file' WHEN 11 THEN 'external_link' END AS kind,
+ CASE b & 240 WHEN 0 THEN 'stored' WHEN 16 THEN 'zstd' WHEN 32 THEN 'xz' ELSE '?' || lower(hex(b & 240)) || '?' END AS codec FROM (SELECT l_orderkey, l_linenumber, l_partkey % 64 AS b FROM lineitem)""")
+def type_bytes(spark, d):
+    b = F.col("l_partkey") % 64
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", b.alias("b"), S.record_kind(b).alias("kind"), S.record_codec(b).alias("codec"))
+
+
+@query("SELECT record_index, logical_offset, 4096 + physical_offset AS at FROM placed")
+def data_locations(spark, d):
+    b = B.block_table(V.chunked(spark, d))
+    return b.select("record_index", "logical_offset", S.data_location(F.lit(4096).cast("long"), F.col("physical_offset")).alias("at"))

@@ -164,3 +164,31 @@ def glob_regex(glob: str) -> str:
             out += "\\" + c if c in r"\.^$+(){}|]" else c
         k += 1
     return f"^(?s:{out})$"
+
+
+#: Fixed values of the format: record kinds and codecs of a type byte.
+KINDS = {0x01: "directory", 0x02: "file", 0x03: "link", 0x0A: "chunked_file", 0x0B: "external_link"}
+CODECS = {0x00: "stored", 0x10: "zstd", 0x20: "xz"}
+
+
+def record_kind(byte: Column) -> Column:
+    """The kind in a type byte's low bits; null where it is unknown."""
+    out = F.lit(None).cast("string")
+    for number, kind in KINDS.items():
+        out = F.when(byte.bitwiseAND(15) == number, kind).otherwise(out)
+    return out
+
+
+def record_codec(byte: Column) -> Column:
+    """The codec in a type byte's high bits; an unknown one keeps its number."""
+    high = byte.bitwiseAND(240)
+    out = F.concat(F.lit("?"), F.lower(F.hex(high)), F.lit("?"))
+    for number, codec in CODECS.items():
+        out = F.when(high == number, codec).otherwise(out)
+    return out
+
+
+def data_location(base: Column, offset: Column) -> Column:
+    """base + offset; an overflow is an error."""
+    total = F.try_add(base, offset)
+    return F.when(total.isNull() & base.isNotNull() & offset.isNotNull(), F.raise_error(F.lit("data location overflows")).cast("long")).otherwise(total)

@@ -170,3 +170,8 @@ def extraction_gate(archives: DataFrame, allow_escapes: bool = False, allow_exte
     """Archives that may not be extracted without consent, and why."""
     reason = F.when(F.col("allow_escapes") & F.lit(not allow_escapes), "escapes").when(F.col("allow_external_symlinks") & F.lit(not allow_external), "external_symlinks")
     return archives.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
+def sorted_by_name(entries: DataFrame, n: int) -> DataFrame:
+    """The first n entries by name without regard to case; ties by path."""
+    return with_path_parts(entries).orderBy(F.lower("name"), "path").limit(n)

@@ -36,6 +36,12 @@ def listing_with_totals(records: DataFrame) -> DataFrame:
     return out.withColumn("ratio", ratio(F.col("compressed"), F.col("size")))
 
 
+def listing_json(records: DataFrame) -> DataFrame:
+    """path and one JSON object an entry, without absent fields."""
+    shown = F.replace("path", F.lit("\x1f"), F.lit("/")).alias("path")
+    return records.select("path", F.to_json(F.struct(shown, F.col("record_type").alias("type"), "compression", "decompressed_length")).alias("json"))
+
+
 def validation(checked: DataFrame) -> DataFrame:
     """checked(archive_id, expected, actual): how many were checked, had no checksum, failed."""
     return checked.groupBy("archive_id").agg(
