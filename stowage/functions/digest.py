@@ -49,36 +49,66 @@ def _compress(chain: np.ndarray, words: np.ndarray, counter: np.ndarray, length:
     return np.stack([v[k] ^ v[k + 8] for k in range(8)], axis=1)
 
 
-def _chunk_chains(data: bytes, first: int, root: bool) -> np.ndarray:
-    """Chaining values of data's chunks; root: data is one chunk and the whole input."""
-    count = max(1, -(-len(data) // CHUNK))
-    padded = np.zeros(count * CHUNK, np.uint8)
-    padded[: len(data)] = np.frombuffer(data, np.uint8)
-    words = padded.view("<u4").astype(_U).reshape(count, CHUNK // BLOCK, 16)
-    sizes = np.full(count, CHUNK, np.int64)
-    sizes[-1] = len(data) - (count - 1) * CHUNK
-    blocks = np.maximum(1, -(-sizes // BLOCK))
-    chain = np.tile(np.array(IV, _U), (count, 1))
-    counter = first + np.arange(count, dtype=np.int64)
+def _chunk_chains(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Chaining values of all chunks of all texts, and how many chunks each has; a text of one chunk gets its digest."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    counts = np.maximum(1, -(-sizes // CHUNK))
+    first = np.cumsum(counts) - counts
+    total = int(counts.sum())
+    padded = np.zeros(total * CHUNK, np.uint8)
+    for at, t in zip((first * CHUNK).tolist(), texts, strict=True):
+        padded[at : at + len(t)] = np.frombuffer(t, np.uint8)
+    words = padded.view("<u4").astype(_U).reshape(total, CHUNK // BLOCK, 16)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    counter = np.arange(total) - first[owner]
+    size = np.minimum(CHUNK, sizes[owner] - counter * CHUNK)
+    blocks = np.maximum(1, -(-size // BLOCK))
+    alone = counts[owner] == 1
+    chain = np.tile(np.array(IV, _U), (total, 1))
     for b in range(int(blocks.max())):
         live = np.flatnonzero(blocks > b)
         last = blocks[live] == b + 1
-        flags = np.where(b == 0, CHUNK_START, 0) | np.where(last, CHUNK_END | (ROOT if root else 0), 0)
-        length = np.minimum(BLOCK, sizes[live] - b * BLOCK)
-        chain[live] = _compress(chain[live], words[live, b], counter[live], length, flags)
-    return chain
+        flags = (CHUNK_START if b == 0 else 0) | np.where(last, CHUNK_END | np.where(alone[live], ROOT, 0), 0)
+        chain[live] = _compress(chain[live], words[live, b], counter[live], np.minimum(BLOCK, size[live] - b * BLOCK), flags)
+    return chain, counts
+
+
+#: Bytes hashed together.
+PORTION = 4 << 20
+
+
+def blake3_many(texts: list[bytes]) -> list[bytes]:
+    """The digest of each text; texts are hashed together, so many small ones are as quick as a large one."""
+    out: list[bytes] = []
+    k = 0
+    while k < len(texts):
+        j, size = k, 0
+        while j < len(texts) and (j == k or size + len(texts[j]) <= PORTION):
+            size += len(texts[j])
+            j += 1
+        out += _digests(texts[k:j])
+        k = j
+    return out
+
+
+def _digests(texts: list[bytes]) -> list[bytes]:
+    level, counts = _chunk_chains(texts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    while len(level) > len(texts):
+        # join neighbours level by level, an odd one carried up: the left-full tree
+        first = np.cumsum(counts) - counts
+        place = np.arange(len(level)) - first[owner]
+        left = np.flatnonzero((place % 2 == 0) & (place + 1 < counts[owner]))
+        chain = np.tile(np.array(IV, _U), (len(left), 1))
+        pairs = np.concatenate([level[left], level[left + 1]], axis=1)
+        flags = np.where(counts[owner[left]] == 2, PARENT | ROOT, PARENT)
+        level[left] = _compress(chain, pairs, np.zeros(len(left), np.int64), np.full(len(left), BLOCK), flags)
+        keep = place % 2 == 0
+        level, owner = level[keep], owner[keep]
+        counts = -(-counts // 2)
+    raw = level.astype("<u4").tobytes()
+    return [raw[32 * k : 32 * k + 32] for k in range(len(texts))]
 
 
 def blake3(data: bytes) -> bytes:
-    if len(data) <= CHUNK:
-        return _chunk_chains(data, 0, True)[0].astype("<u4").tobytes()
-    level = _chunk_chains(data, 0, False)
-    while len(level) > 1:
-        # joining neighbours level by level, an odd one carried up, gives the left-full tree
-        pairs = level[: len(level) // 2 * 2].reshape(-1, 16)
-        n = len(pairs)
-        root = n == 1 and len(level) == 2
-        chain = np.tile(np.array(IV, _U), (n, 1))
-        joined = _compress(chain, pairs, np.zeros(n, np.int64), np.full(n, BLOCK), np.full(n, PARENT | (ROOT if root else 0)))
-        level = np.concatenate([joined, level[2 * n :]])
-    return level[0].astype("<u4").tobytes()
+    return blake3_many([data])[0]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.errors import PathError
-from .digest import blake3
+from .digest import blake3_many
 from .paths import check_extractable, normalize
 
 
@@ -91,7 +91,10 @@ xz_decompress = _codec("xz_decompress", "xz", False)
 
 @F.pandas_udf(T.BinaryType())
 def blake3_256(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else blake3(bytes(x)))
+    there = data.notna()
+    out = pd.Series([None] * len(data), index=data.index, dtype=object)
+    out[there] = pd.Series(blake3_many([bytes(x) for x in data[there]]), index=data.index[there], dtype=object)
+    return out
 
 
 @F.udtf(returnType="path string, record_index long, record_type string, length long, decompressed_length long")

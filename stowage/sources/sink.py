@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
 
-from ..functions.digest import blake3
+from ..functions.digest import PORTION, blake3_many
 from ..functions.paths import check_extractable
 from ..functions.scalars import BLOCK_SIZE, MIN_COMPRESSIBLE, SEP
 from .archive import load, open_archive, open_file
@@ -97,6 +97,7 @@ class Writer(DataSourceWriter):
         system.create_dir(self.work)
         part = f"{self.work}/{uuid.uuid4().hex}"
         entries, at = [], 0
+        waiting, held = [], 0
         with system.open_output_stream(part) as out:
             for row in rows:
                 r = row.asDict()
@@ -112,12 +113,22 @@ class Writer(DataSourceWriter):
                         e.kind, e.block_size = "chunked_file", self.block
                     e.part, e.at, e.length, e.size = part, at, len(body), len(content)
                     if self.checksum:
-                        e.attrs["blake3"] = blake3(content)
+                        waiting.append((e, content))
+                        held += len(content)
+                        if held >= PORTION:
+                            self._hash(waiting)
+                            waiting, held = [], 0
                     out.write(body)
                     at += len(body)
                 entries.append(e)
+        self._hash(waiting)
         return Prepared(entries, part)
 
+    @staticmethod
+    def _hash(waiting: list[tuple[Entry, bytes]]) -> None:
+        for (e, _), digest in zip(waiting, blake3_many([c for _, c in waiting]), strict=True):
+            e.attrs["blake3"] = digest
+
     def commit(self, messages: list[Prepared | None]) -> None:
         system, inner = open_file(self.path)
         entries = [e for m in messages if m for e in m.entries]
@@ -299,7 +310,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            digests = [blake3(c.as_py()) for c in b.column(2)]
+            digests = blake3_many(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary())], names=["archive_id", "record_index", "actual"])
 
     actual = contents.mapInArrow(hashed, "archive_id long, record_index long, actual binary")
@@ -354,13 +365,13 @@ def extract(spark: SparkSession, path: str, to: str, members: list[str] | None =
             import pyarrow as pa
 
             for b in batches:
-                out = []
-                for content, file, want in zip(b.column("content"), b.column("file").to_pylist(), b.column("expected").to_pylist(), strict=True):
-                    body = content.as_py()
+                out, bodies, wants = [], b.column("content").to_pylist(), b.column("expected").to_pylist()
+                digests = blake3_many([c for c, w in zip(bodies, wants, strict=True) if w is not None])[::-1]
+                for body, file, want in zip(bodies, b.column("file").to_pylist(), wants, strict=True):
                     os.makedirs(os.path.dirname(file), exist_ok=True)
                     with open(file, "wb") as f:
                         f.write(body)
-                    out.append((len(body), int(want is not None and blake3(body) != want)))
+                    out.append((len(body), int(want is not None and digests.pop() != want)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["bytes", "failed"])
 
         rows = load(spark, path, "contents").join(wanted, "record_index").join(sums, "record_index", "left").select("content", "file", "expected")

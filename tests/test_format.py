@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from stowage.functions.digest import blake3
+from stowage.functions.digest import blake3, blake3_many
 from stowage.functions.paths import check_extractable, normalize
 from stowage.sources import codecs, pindex, vint, wire
 from stowage.sources.errors import ArchiveError, CodecError, ParseError, PathError, WriteError
@@ -68,6 +68,11 @@ def test_blake3_published_vectors(n, head):
     assert blake3(bytes(k % 251 for k in range(n))).hex().startswith(head)
 
 
+def test_blake3_together_equals_alone():
+    texts = [bytes(k % 251 for k in range(n)) for n in (0, 1, 64, 65, 1023, 1024, 1025, 2048, 3000, 5121, 9000, 16384, 20000)]
+    assert blake3_many(texts) == [blake3(t) for t in texts] and blake3_many([]) == []
+
+
 @pytest.mark.parametrize("codec", ["stored", "zstd", "xz"])
 def test_codecs(codec):
     data = b"some content " * 100
