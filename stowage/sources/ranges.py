@@ -46,7 +46,7 @@ class FileReader:
         self.record, self.f, self.base, self.dictionary = catalog.records[index - 1], f, base, catalog.dictionary
         if self.record.kind not in ("file", "chunked_file"):
             raise ArchiveError(f"record {index} is no file")
-        self.blocks = [(a, b) for i, a, b in catalog.block_items() if i == index]
+        self.blocks = catalog.blocks_of(index)
         self.starts = [a for a, _ in self.blocks]
         self.kept: OrderedDict[int, bytes] = OrderedDict()
 
@@ -162,4 +162,6 @@ def read_ranges(requests: DataFrame, mode: str = "clamp", base: int = 0) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "content"])
 
     schema = T.StructType([*requests.schema.fields, T.StructField("content", T.BinaryType())])
-    return requests.mapInArrow(run, schema)
+    # requests of one file meet in one task, in order, so that a block is decoded once
+    near = requests.repartition("uri", "record_index").sortWithinPartitions("uri", "record_index", "offset")
+    return near.mapInArrow(run, schema)

@@ -92,6 +92,12 @@ class Catalog:
             return []
         return [(*struct.unpack(">QQ", k), v) for k, v in self.blocks.items() if len(k) == 16]
 
+    def blocks_of(self, index: int) -> list[tuple[int, int]]:
+        """(logical offset, physical offset) of a record's blocks in order, by a prefix scan."""
+        if self.blocks is None:
+            return []
+        return [(struct.unpack(">Q", k[8:])[0], v) for k, v in self.blocks.prefix(struct.pack(">Q", index)) if len(k) == 16]
+
     def find(self, path: str) -> int | None:
         if self.root or self.paths is None:
             return next((v for k, v in self.items() if k == path), None)
