@@ -17,10 +17,14 @@ removals doesn't matter.  Lines without a word stay.
 4. In a token's list, in order of size, entries meet those that the length
    filter allows.  Each carries 128 parity bits of its tokens; sets differ in
    at least as many tokens as they differ in parity bits, which rules most
-   pairs out.  Of the rest, a later set names its nearest earlier one.
-5. Named pairs are verified on their full token sets, taken from the texts.  A
-   set that has further candidates and no verified one is searched again, with
-   all its candidates, in query blocks of at most ``QUERY_BLOCK`` sets.
+   pairs out.  Of the rest, a later set names its nearest earlier one, so a
+   group of thousands of like lines sends on a pair for each line.  Only where
+   that one is so far that it may fail are the others noted, as numbers in a
+   block of their part.
+5. Named pairs are verified on full token sets, taken from the texts.  Sets
+   without a verified one are held against what was noted for them, where it
+   was noted; should a near one fail, its set is held against all documents in
+   a query block.  So no candidate goes unseen.
 
 Edge cases: a null text has no lines; an empty text is one empty line; null
 ids come before all others; lines of rows of equal id stand at the same place
@@ -41,13 +45,14 @@ from pyspark.sql import types as T
 
 from .common import Scratch, read
 from .kernels import LOWER, blocks, mix, span_hashes, text_bytes, words
-from .packing import pack, unpack
+from .packing import pack, planes, release, unpack, unplaned
 from .rarity import slot_counts, slot_of
 
 NEED = 75
-QUERY_BLOCK = 1 << 20
-#: Pairs looked at together.
-SLICE = 1 << 18
+#: Pairs looked at together, and pairs noted before they are sifted.
+SLICE, NOTED = 1 << 18, 1 << 21
+#: Sets searched again at a time.
+QUERY_BLOCK = 1 << 15
 NO_ID = -(2**63)
 
 _U = np.uint64
@@ -118,11 +123,41 @@ def overlap_needed(sizes: np.ndarray) -> np.ndarray:
     return -(-NEED * sizes // (100 + NEED))
 
 
+_ROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("body", pa.binary())])
+_ROW_DDL = "kind int, part int, body binary"
+
+
+def _rows(kind: int, part: np.ndarray, columns: list[np.ndarray], encode) -> pa.RecordBatch:
+    """The entries of each part as one row."""
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    bodies = [encode(*(c[a:e] for c in columns)) for a, e in zip(cut, np.append(cut[1:], len(part)), strict=True)] if len(cut) else []
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), kind, np.int32)), pa.array(part[cut], pa.int32()), pa.array(bodies, pa.binary())], schema=_ROW)
+
+
+def _entry_block(token, digest, doc, number, n, nth, parity) -> bytes:
+    """Entries in order of their token, the numbers as byte planes."""
+    return pack(planes(np.diff(token, prepend=_U(0)), 8), digest, planes(doc.view(_U), 8), planes(number, 4), planes(n, 4), planes(nth, 4), parity)
+
+
+def _entry_columns(step, digest, doc, number, n, nth, parity) -> list[np.ndarray]:
+    return [np.cumsum(unplaned(step), dtype=_U), digest, unplaned(doc).view(np.int64), *(unplaned(c).astype(np.int32) for c in (number, n, nth)), parity]
+
+
+def _place_block(digest, doc, number) -> bytes:
+    return pack(digest, planes(doc.view(_U), 8), planes(number, 4))
+
+
+def _place_columns(digest, doc, number) -> list[np.ndarray]:
+    return [digest, unplaned(doc).view(np.int64), unplaned(number).astype(np.int32)]
+
+
 def _send(parts: int, counts):
-    """Entries of each distinct set of a batch, by prefix token.
+    """Kind 0: entries of each distinct set of a batch, by prefix token. Kind 1: where every set stands, by its hash.
 
-    Entries: token, digest, id and number of the earliest line, size, place of
-    the token in order of rarity, parities.
+    An entry has token, digest, id and number of the earliest line, size,
+    place of the token in order of rarity, parities.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,117 +165,280 @@ def _send(parts: int, counts):
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             ids = b.column(0).fill_null(NO_ID).to_numpy()
-            entries: list[list[np.ndarray]] = []
+            entries, places = [], []
             for first, part, at in blocks(data, offsets):
                 text, number, token, to, digest = line_sets(part, at)
                 k = np.flatnonzero(digest)
-                k = k[np.lexsort((number[k], ids[first + text[k]], digest[k]))]
-                k = k[np.r_[True, digest[k][1:] != digest[k][:-1]]] if len(k) else k
                 if not len(k):
                     continue
+                doc = ids[first + text[k]]
+                places.append([digest[k], doc, number[k].astype(np.int32)])
+                order = np.lexsort((number[k], doc, digest[k]))
+                order = order[np.r_[True, digest[k][order][1:] != digest[k][order][:-1]]]
+                k, doc = k[order], doc[order]
                 t, to = _take(token, to, k)
-                entries.append(_entries(t, to, digest[k], ids[first + text[k]], number[k], often))
+                entries.append(_entries(t, to, digest[k], doc, number[k], often))
             if not entries:
                 continue
             columns = [np.concatenate(c) for c in zip(*entries, strict=True)]
-            token, digest, doc, number = columns[:4]
-            # the earliest line of each set in the batch
-            order = np.lexsort((number, doc, digest, token))
-            keep = order[np.r_[True, (digest[order][1:] != digest[order][:-1]) | (token[order][1:] != token[order][:-1])]] if len(order) else order
+            keep = _earliest(*columns[:4])
             columns = [c[keep] for c in columns]
-            part = (mix(columns[0]) % _U(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            part, columns = part[order], [c[order] for c in columns]
-            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-            rows = [pack(*(c[a:e] for c in columns)) for a, e in zip(cut, np.append(cut[1:], len(part)), strict=True)] if len(cut) else []
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(rows, pa.binary())], names=["part", "body"])
+            yield _rows(0, (mix(columns[0]) % _U(parts)).astype(np.int32), columns, _entry_block)
+            columns = [np.concatenate(c) for c in zip(*places, strict=True)]
+            yield _rows(1, (columns[0] % _U(parts)).astype(np.int32), columns, _place_block)
+        release()
 
     return run
 
 
+def _earliest(token, digest, doc, number) -> np.ndarray:
+    """One entry of each token and digest, that of the earliest line, in order of the tokens."""
+    key = mix(token) ^ digest
+    order = np.argsort(key, kind="stable")
+    fresh = np.r_[True, key[order][1:] != key[order][:-1]] if len(order) else np.zeros(0, bool)
+    head = order[fresh]
+    if not fresh.all():
+        # only groups of several need their lines compared
+        group = np.cumsum(fresh) - 1
+        several = np.flatnonzero(np.diff(np.append(np.flatnonzero(fresh), len(order))) > 1)
+        k = np.flatnonzero(np.isin(group, several))
+        ranked = k[np.lexsort((number[order[k]], doc[order[k]], group[k]))]
+        first = np.r_[True, group[ranked][1:] != group[ranked][:-1]]
+        head[group[ranked[first]]] = order[ranked[first]]
+    return head[np.argsort(token[head], kind="stable")]
+
+
 def _entries(token, to, digest, doc, number, often) -> list[np.ndarray]:
     n = to[1:] - to[:-1]
     owner = np.repeat(np.arange(len(n)), n)
     count = often[slot_of(token)]
     # equal counts stay in the order of the tokens, which is the same in every line
-    key = (owner.astype(_U) << _U(32)) | count.astype(_U)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort((owner.astype(_U) << _U(32)) | count.astype(_U), kind="stable")
     nth = np.arange(len(token)) - np.repeat(to[:-1], n)
     use = (nth < (n - -(-NEED * n // 100) + 1)[owner]) & (count[order] > 1)
     k, at = order[use], owner[use]
     return [token[k], digest[at], doc[at], number[at].astype(np.int32), n[at].astype(np.int32), nth[use].astype(np.int32), parities(token, to)[at]]
 
 
-_PAIR = "x long, x_doc long, x_line int, y long, y_doc long, y_line int, more boolean"
-_PAIR_SCHEMA = pa.schema([("x", pa.int64()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("y", pa.int64()), ("y_doc", pa.int64()), ("y_line", pa.int32()), ("more", pa.bool_())])
-
-
-def _meet(only=None):
-    """Of a part's tokens: pairs of a later set x and its nearest earlier set y (all earlier ones for the digests in ``only``)."""
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [unpack(body) for b in batches for body in b.column("body").to_pylist()]
-        token, digest, doc, number, n, nth, parity = (np.concatenate([g[k] for g in got]) for k in range(7))
-        del got
-        number, n, nth = number.astype(np.int64), n.astype(np.int64), nth.astype(np.int64)
-        # one entry of each set and token, with the earliest line; lists by size
-        order = np.lexsort((number, doc, digest, n, token))
-        keep = order[np.r_[True, (digest[order][1:] != digest[order][:-1]) | (token[order][1:] != token[order][:-1])]]
-        token, digest, doc, number, n, nth, parity = (x[keep] for x in (token, digest, doc, number, n, nth, parity))
-        asked = None if only is None else np.isin(digest, only.value)
-        fresh = np.r_[True, token[1:] != token[:-1]]
-        rank = np.cumsum(fresh) * (np.int64(1) << 32)
-        begin = np.maximum(np.flatnonzero(fresh)[np.cumsum(fresh) - 1], np.searchsorted(rank + n, rank + -(-NEED * n // 100)))
-        many = np.arange(len(n)) - begin  # partners: smaller or equal sets before it in the list
-        upto = np.cumsum(many)
-        # of the smaller set, only the rarer tokens need to be met
-        index = nth < n - overlap_needed(2 * n) + 1
-        out: list[np.ndarray] = []
-        at, done = 0, 0
-        while at < len(n):
-            stop = max(at + 1, int(np.searchsorted(upto, done + SLICE, "right")))
-            m = many[at:stop]
-            left = np.repeat(np.arange(at, stop), m)
-            right = np.repeat(begin[at:stop], m) + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
-            at, done = stop, int(upto[stop - 1])
-            use = index[right]
-            left, right = left[use], right[use]
-            both = n[left] + n[right]
-            need = overlap_needed(both)
-            use = np.minimum(n[left] - nth[left], n[right] - nth[right]) >= need
-            left, right, both, need = left[use], right[use], both[use], need[use]
-            apart = np.bitwise_count(parity[left, 0] ^ parity[right, 0]).astype(np.int64) + np.bitwise_count(parity[left, 1] ^ parity[right, 1])
-            use = apart <= both - 2 * need
-            left, right, apart = left[use], right[use], apart[use]
-            later = (doc[left] > doc[right]) | ((doc[left] == doc[right]) & (number[left] > number[right]))
-            tie = (doc[left] == doc[right]) & (number[left] == number[right])
-            x, y = np.where(later, left, right), np.where(later, right, left)
-            use = ~tie if asked is None else ~tie & asked[x]
-            x, y, apart = x[use], y[use], apart[use]
-            if asked is None and len(x):
-                # the nearest for each x of this slice
-                order = np.lexsort((number[y], doc[y], apart, digest[x]))
-                head = np.r_[True, digest[x][order][1:] != digest[x][order][:-1]]
-                size = np.diff(np.append(np.flatnonzero(head), len(order)))
-                x, y, apart = x[order][head], y[order][head], apart[order][head]
-                out.append(np.stack([x, y, apart, size]))
-            elif len(x):
-                out.append(np.stack([x, y, apart, np.ones(len(x), np.int64)]))
-        if not out:
+def _meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part's tokens (kind 0): each later set's nearest earlier set that no filter rules out, and (kind 3) all of them where the nearest is far.
+
+    Kind 1 passes through.
+    """
+    if key[0].as_py() == 1:
+        for b in batches:
+            yield b.select(["kind", "part", "body"])
+        return
+    got = [_entry_columns(*unpack(body)) for b in batches for body in b.column("body").to_pylist()]
+    columns = [np.concatenate(c) for c in zip(*got, strict=True)]
+    del got
+    keep = _earliest(*columns[:4])
+    columns = [c[keep] for c in columns]
+    order = np.lexsort((columns[4], columns[0]))
+    token, digest, doc, number, n, nth, parity = (c[order] for c in columns)
+    del columns
+    number, n, nth = number.astype(np.int64), n.astype(np.int64), nth.astype(np.int64)
+    fresh = np.r_[True, token[1:] != token[:-1]]
+    rank = np.cumsum(fresh) * (np.int64(1) << 32)
+    begin = np.maximum(np.flatnonzero(fresh)[np.cumsum(fresh) - 1], np.searchsorted(rank + n, rank + -(-NEED * n // 100)))
+    many = np.arange(len(n)) - begin  # partners: smaller or equal sets before it in the list
+    upto = np.cumsum(many)
+    # of the smaller set, only the rarer tokens need to be met
+    index = nth < n - overlap_needed(2 * n) + 1
+    rest = n - nth
+    # numbers of the sets here, and of each the nearest earlier one so far
+    table, at_set = np.unique(digest, return_index=True)
+    number_of = np.searchsorted(table, digest)
+    far = np.iinfo(np.int64).max
+    best = np.full(len(table), far)  # (apart, entry) of the nearest in one number
+    allowed = 2 * (n[at_set] - overlap_needed(2 * n[at_set]))
+    safe = np.where(allowed > 0, np.maximum(allowed // 4 - 2, 0), -1)  # so near that it hardly fails
+    noted: list[np.ndarray] = []
+    held = 0
+    at, done = 0, 0
+
+    def note(final: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal noted, held
+        if not noted or not (final or held > NOTED):
             return
-        x, y, apart, size = np.concatenate(out, axis=1)
-        order = np.lexsort((number[y], doc[y], apart, digest[x]))
-        x, y, size = x[order], y[order], size[order]
-        if asked is None:
-            head = np.flatnonzero(np.r_[True, digest[x][1:] != digest[x][:-1]])
-            more = np.add.reduceat(size, head) > 1
-            x, y = x[head], y[head]
-        else:
-            more = np.zeros(len(x), bool)
-        columns = [digest[x].view(np.int64), doc[x], number[x].astype(np.int32), digest[y].view(np.int64), doc[y], number[y].astype(np.int32), more]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PAIR_SCHEMA)
+        x, y = np.concatenate(noted, axis=1)
+        keep = (best[x] >> 40) > safe[x]
+        x, y = x[keep], y[keep]
+        one = np.unique((x << 32) | y)
+        noted, held = ([np.stack([one >> 32, one & 0xFFFFFFFF])], 0) if not final and len(one) < NOTED else ([], 0)
+        if len(one) and not noted:
+            used, x = np.unique(one >> 32, return_inverse=True)
+            met, y = np.unique(one & 0xFFFFFFFF, return_inverse=True)
+            body = pack(table[used], planes(x, 4), table[met], planes(doc[at_set[met]].view(_U), 8), planes(y, 4), planes(doc[at_set[used]].view(_U), 8))
+            yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([body], pa.binary())], schema=_ROW)
+
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(upto, done + SLICE, "right")))
+        m = many[at:stop]
+        left = np.repeat(np.arange(at, stop), m)
+        right = np.repeat(begin[at:stop] - (np.cumsum(m) - m), m) + np.arange(len(left))
+        at, done = stop, int(upto[stop - 1])
+        use = index[right]
+        left, right = left[use], right[use]
+        both = n[left] + n[right]
+        need = overlap_needed(both)
+        use = np.minimum(rest[left], rest[right]) >= need
+        left, right, most = left[use], right[use], (both - 2 * need)[use]
+        apart = np.bitwise_count(parity[left, 0] ^ parity[right, 0]).astype(np.int64) + np.bitwise_count(parity[left, 1] ^ parity[right, 1])
+        use = apart <= most
+        left, right, apart = left[use], right[use], apart[use]
+        later = (doc[left] > doc[right]) | ((doc[left] == doc[right]) & (number[left] > number[right]))
+        tie = (doc[left] == doc[right]) & (number[left] == number[right])
+        x, y = number_of[np.where(later, left, right)[~tie]], number_of[np.where(later, right, left)[~tie]]
+        np.minimum.at(best, x, (apart[~tie] << 40) | y)
+        unsure = (best[x] >> 40) > safe[x]
+        noted.append(np.stack([x[unsure], y[unsure]]))
+        held += int(unsure.sum())
+        yield from note(False)
+    yield from note(True)
+    if (best < far).any():
+        x = np.flatnonzero(best < far)
+        y = best[x] & ((1 << 40) - 1)
+        body = pack(table[x], doc[at_set[x]], number[at_set[x]].astype(np.int32), table[y], doc[at_set[y]], (best[x] >> 40) > safe[x])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([body], pa.binary())], schema=_ROW)
+    release()
+
+
+_PAIR = "x long, x_doc long, x_line int, y long, y_doc long, noted boolean"
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Each set's nearest earlier set, and whether all its candidates were noted."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body in b.column("body").to_pylist():
+                x, x_doc, x_line, y, y_doc, noted = unpack(body)
+                columns = [x.view(np.int64), x_doc, x_line, y.view(np.int64), y_doc, noted]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["x", "x_doc", "x_line", "y", "y_doc", "noted"])
+
+    return met.where("kind = 0").mapInArrow(run, _PAIR)
+
+
+def _noted(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    xs, x, ys, y_docs, y, x_docs = unpack(body)
+    return xs, unplaned(x).astype(np.int64), ys, unplaned(y).astype(np.int64), unplaned(x_docs).view(np.int64), unplaned(y_docs).view(np.int64)
+
+
+def _noted_ends(met: DataFrame) -> DataFrame:
+    """digest and document of each set noted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body in b.column("body").to_pylist():
+                xs, _, ys, _, x_docs, y_docs = _noted(body)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([xs, ys]).view(np.int64)), pa.array(np.concatenate([x_docs, y_docs]))], names=["digest", "doc"])
+
+    return met.where("kind = 3").mapInArrow(run, "digest long, doc long")
+
+
+def _search_noted(met: DataFrame, asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """digest of the sets asked for (digest) that one noted for them verifies.
+
+    Token sets are brought to the parts that note them, one row for each set
+    and part; the pairs are worked off there.
+    """
+    lists = met.where("kind = 3").select("part", "body")
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, body in zip(b.column("part").to_pylist(), b.column("body").to_pylist(), strict=True):
+                xs = _noted(body)[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(xs), part, np.int32)), pa.array(xs)], names=["part", "digest"])
+
+    here = lists.mapInArrow(names, "part int, digest long").join(asked, "digest")
+
+    def need(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        queries, found = right.column("digest").to_numpy().view(_U), [np.zeros(0, _U)]
+        if len(queries):
+            for body in left.column("body").to_pylist():
+                xs, x, ys, y, _, _ = _noted(body)
+                use = np.isin(xs, queries)[x]
+                found += [xs[x[use]], ys[y[use]]]
+        digests = np.unique(np.concatenate(found))
+        return pa.table({"part": pa.array(np.full(len(digests), key[0].as_py(), np.int32)), "digest": pa.array(digests.view(np.int64)), "query": pa.array(np.isin(digests, queries))})
+
+    needed = lists.groupBy("part").cogroup(here.groupBy("part")).applyInArrow(need, "part int, digest long, query boolean")
+    rows = needed.join(sets, "digest").select("part", "digest", "query", "tokens")
+
+    def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        digest = right.column("digest").to_numpy().view(_U)
+        order = np.argsort(digest)
+        digest = digest[order]
+        query = right.column("query").to_numpy()[order]
+        tokens = [np.frombuffer(t, _U) for t in right.column("tokens").to_pylist()]
+        tokens = [tokens[k] for k in order]
+        size = np.array([len(t) for t in tokens], np.int64)
+        begin = np.cumsum(size) - size
+        token = np.concatenate([*tokens, np.zeros(0, _U)])
+        done = np.zeros(len(digest), bool)
+        for body in left.column("body").to_pylist() if len(digest) else ():
+            xs, x, ys, y, _, _ = _noted(body)
+            place = lambda d: np.minimum(np.searchsorted(digest, d), len(digest) - 1)
+            px, py = place(xs), place(ys)
+            use = (digest[px] == xs)[x] & query[px][x]
+            x, y = px[x[use]], py[y[use]]
+            for k in range(0, len(x), 4096):
+                a, b = x[k : k + 4096], y[k : k + 4096]
+                open_ = ~done[a]
+                a, b = a[open_], b[open_]
+                common = _overlap(token, begin, size, a, b)
+                done[a[100 * common >= NEED * (size[a] + size[b] - common)]] = True
+        return pa.table({"digest": pa.array(digest[done].view(np.int64))})
+
+    return lists.groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(verify, "digest long").distinct()
+
+
+def _search_all(docs: DataFrame, queries: list[tuple]) -> DataFrame:
+    """digest of the queries (digest, doc, line, tokens) that an earlier line of docs matches."""
+    shared = docs.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [(d, i, n, np.frombuffer(t, _U)) for d, i, n, t in shared.value]
+        # a match holds one of any size - need + 1 tokens of the query
+        first = [q[3][: len(q[3]) - -(-NEED * len(q[3]) // 100) + 1] for q in asked]
+        prefix, owner = np.concatenate(first), np.repeat(np.arange(len(first)), [len(f) for f in first])
+        order = np.argsort(prefix, kind="stable")
+        prefix, owner = prefix[order], owner[order]
+        done: set[int] = set()
+        for b in batches:
+            data, offsets = text_bytes(b.column(1))
+            ids = b.column(0).fill_null(NO_ID).to_numpy()
+            for lead, part, at in blocks(data, offsets):
+                text, number, token, to, digest = line_sets(part, at)
+                place = np.flatnonzero(np.isin(token, prefix))
+                line = np.searchsorted(to, place, "right") - 1
+                lo, hi = np.searchsorted(prefix, token[place]), np.searchsorted(prefix, token[place], "right")
+                pairs = {(j, int(q)) for j, a, e in zip(line.tolist(), lo.tolist(), hi.tolist(), strict=True) for q in owner[a:e]}
+                for j, q in sorted(pairs):
+                    d, i, n, t = asked[q]
+                    if d in done or digest[j].view(np.int64) == d or (int(ids[lead + text[j]]), int(number[j])) >= (i, n):
+                        continue
+                    mine = token[to[j] : to[j + 1]]
+                    common = len(np.intersect1d(mine, t, assume_unique=True))
+                    if 100 * common >= NEED * (len(mine) + len(t) - common):
+                        done.add(d)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(done), pa.int64())], names=["digest"])
+
+    return docs.mapInArrow(run, "digest long").distinct()
+
+
+def _overlap(token: np.ndarray, begin: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many tokens each two sets share."""
+    pair, value = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    for s in (x, y):
+        n = size[s]
+        pair.append(np.repeat(np.arange(len(s)), n))
+        value.append(token[np.repeat(begin[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    pair, value = np.concatenate(pair), np.concatenate(value)
+    order = np.lexsort((value, pair))
+    same = (value[order][1:] == value[order][:-1]) & (pair[order][1:] == pair[order][:-1])
+    return np.bincount(pair[order][1:][same], minlength=len(x))
 
 
 def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -300,97 +498,108 @@ def _fetch(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"digest": pa.array(np.array(digests, _U).view(np.int64)), "tokens": pa.array(bodies, pa.binary())})
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """The pairs that reach the similarity on their full sets."""
-    ends = pairs.select(F.col("x").alias("digest"), F.col("x_doc").alias("doc")).unionAll(pairs.select("y", "y_doc")).distinct()
-    sets = texts.groupBy("part").cogroup(_by_part(ends, parts).groupBy("part")).applyInArrow(_fetch, "digest long, tokens binary").dropDuplicates(["digest"])
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """digest of each x of the pairs (x, y) that reaches the similarity on full sets."""
     side = lambda c: sets.select(F.col("digest").alias(c), F.col("tokens").alias(f"{c}_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for p, q in zip(b.column(2), b.column(3), strict=True):
+            for p, q in zip(b.column(1), b.column(2), strict=True):
                 p, q = np.frombuffer(p.as_buffer(), _U), np.frombuffer(q.as_buffer(), _U)
                 both = np.sort(np.concatenate([p, q]))
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok.append(100 * common >= NEED * (len(p) + len(q) - common))
-            yield b.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_()))], names=["digest"])
+        release()
 
-    return pairs.select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_tokens", "y_tokens").mapInArrow(run, "x long, y long")
+    return pairs.select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y").select("x", "x_tokens", "y_tokens").mapInArrow(run, "digest long").distinct()
 
 
-def later_sets(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """digest of every token set that matches a different set of an earlier line; docs has doc_id and text."""
+def removals(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+    """part (of the document), body: doc, line, digest of the lines to remove; docs has doc_id and text."""
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = spark.sparkContext.broadcast(slot_counts(docs, _tokens))
-    entries = docs.mapInArrow(_send(parts, counts), "part int, body binary").groupBy("part")
+    sent = docs.mapInArrow(_send(parts, counts), _ROW_DDL)
     texts = send_texts(docs, parts)
-    pairs = scratch.keep(entries.applyInArrow(_meet(), _PAIR))
-    found = scratch.keep(_verified(pairs, texts, parts).select(F.col("x").alias("digest")).distinct())
-    open_ = scratch.keep(pairs.groupBy("x").agg(F.max("more").alias("more"), F.count_distinct("y").alias("ys")).where("more OR ys > 1").select(F.col("x").alias("digest")).join(found, "digest", "left_anti"))
-    block: list[int] = []
-
-    def search(block: list[int]) -> DataFrame:
-        only = spark.sparkContext.broadcast(np.array(sorted(block), np.int64).view(_U))
-        again = scratch.keep(entries.applyInArrow(_meet(only), _PAIR))
-        return scratch.keep(_verified(again, texts, parts).select(F.col("x").alias("digest")).distinct())
-
-    for r in open_.toLocalIterator():
-        block.append(r[0])
-        if len(block) == QUERY_BLOCK:
-            found, block = found.unionAll(search(block)), []
-    return found.unionAll(search(block)) if block else found
-
-
-def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, line, digest of the lines to remove; docs has doc_id and text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_bytes(b.column(1))
-            ids = b.column(0).fill_null(NO_ID).to_numpy()
-            for first, part, at in blocks(data, offsets):
-                text, number, _, _, digest = line_sets(part, at)
-                k = np.flatnonzero(digest)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + text[k]]), pa.array(number[k].astype(np.int32)), pa.array(digest[k].view(np.int64))], names=["doc", "line", "digest"])
 
-    lines = docs.mapInArrow(run, "doc long, line int, digest long")
-    classes = lines.groupBy("digest").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
-    later = later_sets(docs, scratch).withColumn("later", F.lit(True))
-    # only classes with something to remove
-    classes = classes.join(later, "digest", "left").where("n > 1 OR later").select("digest", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    return lines.join(classes, "digest").where(F.col("later") | (F.struct("doc", "line") > F.col("first"))).select("doc", "line", "digest")
+    def token_sets(ends: DataFrame) -> DataFrame:
+        return scratch.keep(texts.groupBy("part").cogroup(_by_part(ends.distinct(), parts).groupBy("part")).applyInArrow(_fetch, "digest long, tokens binary").dropDuplicates(["digest"]))
+
+    met = scratch.keep(sent.groupBy("kind", "part").applyInArrow(_meet, _ROW_DDL))
+    pairs = _pairs(met)
+    ends = pairs.select(F.col("x").alias("digest"), F.col("x_doc").alias("doc")).unionAll(pairs.select("y", "y_doc")).unionAll(_noted_ends(met))
+    sets = token_sets(ends)
+    found = scratch.keep(_verified(pairs, sets))
+    left = scratch.keep(pairs.groupBy(F.col("x").alias("digest")).agg(F.min("noted").alias("noted"), F.first("x_doc").alias("doc"), F.first("x_line").alias("line")).join(found, "digest", "left_anti"))
+    found = found.unionAll(scratch.keep(_search_noted(met, left.select("digest"), sets)))
+    # sets whose nearest looked near in some part and failed: each against all documents, in blocks
+    left = left.where("NOT noted").join(found, "digest", "left_anti").join(sets, "digest")
+    block: list[tuple] = []
+    for r in left.select("digest", "doc", "line", "tokens").toLocalIterator():
+        block.append(tuple(r))
+        if len(block) == QUERY_BLOCK:
+            found, block = found.unionAll(scratch.keep(_search_all(docs, block))), []
+    if block:
+        found = found.unionAll(scratch.keep(_search_all(docs, block)))
+    later = found.withColumn("part", F.pmod(F.col("digest").cast("decimal(20,0)") + F.when(F.col("digest") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(0), F.lit(parts)).cast("int"))
+
+    def settle(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of the lines of a part's sets: all but the earliest of each, and all of the sets that match an earlier one."""
+        got = [_place_columns(*unpack(body)) for body in left.column("body").to_pylist()]
+        if not got:
+            return pa.table({"part": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
+        digest, doc, number = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.lexsort((number, doc, digest))
+        digest, doc, number = digest[order], doc[order], number[order]
+        head = np.flatnonzero(np.r_[True, digest[1:] != digest[:-1]])
+        of = np.cumsum(np.r_[True, digest[1:] != digest[:-1]]) - 1
+        behind = (doc > doc[head][of]) | ((doc == doc[head][of]) & (number > number[head][of]))
+        gone = behind | np.isin(digest, right.column("digest").to_numpy().view(_U))
+        rows = _rows(2, _part_of(np.ascontiguousarray(doc[gone]), parts), [digest[gone], doc[gone], number[gone]], _place_block)
+        return pa.Table.from_batches([rows.select(["part", "body"])])
+
+    return met.where("kind = 1").groupBy("part").cogroup(later.groupBy("part")).applyInArrow(settle, "part int, body binary")
 
 
 def _cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Each text without its removed lines."""
-    gone: dict[int, dict[int, set[int]]] = {}
-    for d, n, h in zip(right.column("doc").to_pylist(), right.column("line").to_pylist(), right.column("digest").to_pylist(), strict=True):
-        gone.setdefault(d, {}).setdefault(n, set()).add(h)
-    rows: list[tuple] = []
+    got = [_place_columns(*unpack(body)) for body in right.column("body").to_pylist()]
+    digest, doc, number = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    gone = np.unique(_line_key(digest, doc, number))
+    touched = np.unique(doc)
+    out: list[list] = [[], [], [], [], []]
     for ids, texts in _texts(left):
-        for i, t in zip(ids.tolist(), texts, strict=True):
-            lines = [] if t is None else t.split(b"\n")
-            kept, mine = t, gone.get(i)
-            removed = 0
-            if mine and t is not None:
-                data, offsets = text_bytes(pa.array([t], pa.binary()))
-                digest = line_sets(data, offsets)[4].view(np.int64).tolist()
-                stay = [n for n in range(len(lines)) if n not in mine or n >= len(digest) or digest[n] not in mine[n]]
-                removed = len(lines) - len(stay)
-                kept = b"\n".join(lines[n] for n in stay)
-            rows.append((None if i == NO_ID else i, len(lines), removed, hashlib.sha256(kept or b"").hexdigest(), kept))
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.table([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept"])
+        data, offsets = text_bytes(pa.array(texts, pa.binary()))
+        drop: dict[int, set[int]] = {}
+        for first, part, at in blocks(data, offsets):
+            if not np.isin(ids[first : first + len(at) - 1], touched).any():
+                continue
+            text, line, _, _, h = line_sets(part, at)
+            hit = np.flatnonzero((h != 0) & np.isin(_line_key(h, ids[first + text], line), gone))
+            for t, n in zip((first + text[hit]).tolist(), line[hit].tolist(), strict=True):
+                drop.setdefault(t, set()).add(n)
+        for k, (i, t) in enumerate(zip(ids.tolist(), texts, strict=True)):
+            kept, n, away = t, 0 if t is None else t.count(b"\n") + 1, drop.get(k, ())
+            if away:
+                kept = b"\n".join([x for j, x in enumerate(t.split(b"\n")) if j not in away])
+            for column, v in zip(out, (None if i == NO_ID else i, n, len(away), hashlib.sha256(kept or b"").hexdigest(), kept), strict=True):
+                column.append(v)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    table = pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept"])
+    release()
+    return table
+
+
+def _line_key(digest: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mix(mix(digest + np.ascontiguousarray(doc).view(_U)) ^ number.astype(_U))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 and the kept text (as UTF-8) of each row."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    scratch = Scratch(docs.sparkSession, "lines")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = _by_part(removals(source, scratch), parts)
+    gone = removals(source, parts, Scratch(docs.sparkSession, "lines"))
     return send_texts(source, parts).groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_cut, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept binary")
 
 
