@@ -464,3 +464,28 @@ def test_pipeline_stages_on_edges(spark, sf_dir, clash, empty):
             out = stage(spark, docs, sf_dir)
             assert out.columns[: len(docs.columns)] == docs.columns, name
             out.count()
+
+
+def test_lines_search_against_all_documents(spark, sf_dir):
+    """The query-block search finds exactly the sets that match an earlier, different one."""
+    import pyarrow as pa
+
+    from stowage.llm.kernels import text_bytes
+
+    rows = [r[:2] for r in docs_of(spark, sf_dir, 60)]
+    first, want = {}, set()
+    for i, t in rows:
+        data, offsets = text_bytes(pa.array([t]))
+        _, number, token, to, digest = lines.line_sets(data, offsets)
+        for j in np.flatnonzero(digest):
+            d = int(digest[j].view(np.int64))
+            if d not in first or (i, int(number[j])) < first[d][0]:
+                first[d] = (i, int(number[j])), np.sort(token[to[j] : to[j + 1]])
+    for d, (at, s) in first.items():
+        for e, (other, o) in first.items():
+            common = len(np.intersect1d(s, o))
+            if e != d and other < at and 100 * common >= 75 * (len(s) + len(o) - common):
+                want.add(d)
+    docs = table(spark, rows).select("doc_id", "text")
+    got = lines._search_all(docs, [(d, *at, s.tobytes()) for d, (at, s) in first.items()]).collect()
+    assert {r[0] for r in got} == want and want
