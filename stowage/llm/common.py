@@ -41,7 +41,19 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._stowage_path = path
+        return out
+
+    def free(self, df: DataFrame) -> None:
+        """Deletes a table made by ``keep`` that nothing reads any more.
+
+        What isn't freed stays, like Spark's own checkpoints, until the shared
+        folder is cleaned: lazy results still read it.
+        """
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._stowage_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

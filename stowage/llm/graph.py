@@ -26,7 +26,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # small star: a node and its lesser neighbours go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = scratch.keep(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        last, now = now, scratch.keep(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        scratch.free(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(state) == before:
             break
