@@ -73,7 +73,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     token = span_hashes(low, starts, stops)
     line = np.searchsorted(cut, starts, "right") - 1
     bits = max(20, len(text).bit_length())
-    order = np.argsort((line.astype(_U) << _U(64 - bits)) | (token >> _U(bits)), kind="stable")
+    order = np.argsort((line.astype(_U) << _U(64 - bits)) | (token >> _U(bits)))
     token, line = token[order], line[order]
     keep = np.ones(len(token), bool)
     keep[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
@@ -87,6 +87,13 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return text, number, token, at, digest
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _take(token: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of the sets k, and offsets into them."""
     n = (at[1:] - at[:-1])[k]
@@ -129,7 +136,7 @@ _ROW_DDL = "kind int, part int, body binary"
 
 def _rows(kind: int, part: np.ndarray, columns: list[np.ndarray], encode) -> pa.RecordBatch:
     """The entries of each part as one row."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")  # radix for 16 bits
     part, columns = part[order], [c[order] for c in columns]
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
     bodies = [encode(*(c[a:e] for c in columns)) for a, e in zip(cut, np.append(cut[1:], len(part)), strict=True)] if len(cut) else []
@@ -194,7 +201,7 @@ def _send(parts: int, counts):
 def _earliest(token, digest, doc, number) -> np.ndarray:
     """One entry of each token and digest, that of the earliest line, in order of the tokens."""
     key = mix(token) ^ digest
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     fresh = np.r_[True, key[order][1:] != key[order][:-1]] if len(order) else np.zeros(0, bool)
     head = order[fresh]
     if not fresh.all():
@@ -205,16 +212,19 @@ def _earliest(token, digest, doc, number) -> np.ndarray:
         ranked = k[np.lexsort((number[order[k]], doc[order[k]], group[k]))]
         first = np.r_[True, group[ranked][1:] != group[ranked][:-1]]
         head[group[ranked[first]]] = order[ranked[first]]
-    return head[np.argsort(token[head], kind="stable")]
+    return head[np.argsort(token[head])]
 
 
 def _entries(token, to, digest, doc, number, often) -> list[np.ndarray]:
     n = to[1:] - to[:-1]
     owner = np.repeat(np.arange(len(n)), n)
     count = often[slot_of(token)]
-    # equal counts stay in the order of the tokens, which is the same in every line
-    order = np.argsort((owner.astype(_U) << _U(32)) | count.astype(_U), kind="stable")
     nth = np.arange(len(token)) - np.repeat(to[:-1], n)
+    # equal counts stay in the order of the tokens, which is the same in every line
+    if len(n) < 1 << 24 and n.max() < 1 << 16:
+        order = np.argsort((owner.astype(_U) << _U(40)) | (np.minimum(count, (1 << 24) - 1).astype(_U) << _U(16)) | nth.astype(_U))
+    else:
+        order = np.lexsort((nth, np.minimum(count, (1 << 24) - 1), owner))
     use = (nth < (n - -(-NEED * n // 100) + 1)[owner]) & (count[order] > 1)
     k, at = order[use], owner[use]
     return [token[k], digest[at], doc[at], number[at].astype(np.int32), n[at].astype(np.int32), nth[use].astype(np.int32), parities(token, to)[at]]
@@ -481,18 +491,19 @@ def _fetch(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Token sets of the lines asked for, by digest."""
     wanted = np.unique(right.column("digest").to_numpy().view(_U))
     asked = np.unique(right.column("doc").to_numpy())
-    digests, bodies, seen = [], [], np.zeros(0, _U)
+    digests, bodies, seen = [], [], np.zeros(len(wanted), bool)
     for ids, texts in _texts(left):
-        k = np.flatnonzero(np.isin(ids, asked))
+        k = np.flatnonzero(_among(ids, asked))
         if not len(k):
             continue
         data, offsets = text_bytes(pa.array([texts[i] for i in k], pa.binary()))
         for _, part, at in blocks(data, offsets):
             _, _, token, to, digest = line_sets(part, at)
-            hit = np.flatnonzero(np.isin(digest, wanted) & ~np.isin(digest, seen))
-            _, one = np.unique(digest[hit], return_index=True)
-            seen = np.union1d(seen, digest[hit])
-            for j in hit[one]:
+            hit = np.flatnonzero(_among(digest, wanted))
+            which, one = np.unique(np.searchsorted(wanted, digest[hit]), return_index=True)
+            new = ~seen[which]
+            seen[which] = True
+            for j in hit[one[new]].tolist():
                 digests.append(digest[j])
                 bodies.append(np.sort(token[to[j] : to[j + 1]]).tobytes())
     return pa.table({"digest": pa.array(np.array(digests, _U).view(np.int64)), "tokens": pa.array(bodies, pa.binary())})
@@ -562,31 +573,31 @@ def removals(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     return met.where("kind = 1").groupBy("part").cogroup(later.groupBy("part")).applyInArrow(settle, "part int, body binary")
 
 
-def _cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+def _cut(key: tuple, left: pa.Table, right: pa.Table, texts_too: bool) -> pa.Table:
     """Each text without its removed lines."""
     got = [_place_columns(*unpack(body)) for body in right.column("body").to_pylist()]
     digest, doc, number = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32))
     gone = np.unique(_line_key(digest, doc, number))
     touched = np.unique(doc)
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[] for _ in range(5 if texts_too else 4)]
     for ids, texts in _texts(left):
         data, offsets = text_bytes(pa.array(texts, pa.binary()))
         drop: dict[int, set[int]] = {}
         for first, part, at in blocks(data, offsets):
-            if not np.isin(ids[first : first + len(at) - 1], touched).any():
+            if not _among(ids[first : first + len(at) - 1], touched).any():
                 continue
             text, line, _, _, h = line_sets(part, at)
-            hit = np.flatnonzero((h != 0) & np.isin(_line_key(h, ids[first + text], line), gone))
+            hit = np.flatnonzero((h != 0) & _among(_line_key(h, ids[first + text], line), gone))
             for t, n in zip((first + text[hit]).tolist(), line[hit].tolist(), strict=True):
                 drop.setdefault(t, set()).add(n)
         for k, (i, t) in enumerate(zip(ids.tolist(), texts, strict=True)):
             kept, n, away = t, 0 if t is None else t.count(b"\n") + 1, drop.get(k, ())
             if away:
                 kept = b"\n".join([x for j, x in enumerate(t.split(b"\n")) if j not in away])
-            for column, v in zip(out, (None if i == NO_ID else i, n, len(away), hashlib.sha256(kept or b"").hexdigest(), kept), strict=True):
+            for column, v in zip(out, (None if i == NO_ID else i, n, len(away), hashlib.sha256(kept or b"").hexdigest(), kept)[: len(out)], strict=True):
                 column.append(v)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    table = pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: len(out)]
+    table = pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept"][: len(out)])
     release()
     return table
 
@@ -595,13 +606,18 @@ def _line_key(digest: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.nda
     return mix(mix(digest + np.ascontiguousarray(doc).view(_U)) ^ number.astype(_U))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 and the kept text (as UTF-8) of each row."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 and, if asked for, the kept text (as UTF-8) of each row."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     gone = removals(source, parts, Scratch(docs.sparkSession, "lines"))
-    return send_texts(source, parts).groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_cut, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept binary")
+
+    def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return _cut(key, left, right, texts)
+
+    ddl = "doc_id long, n_lines long, n_removed long, kept_sha256 string" + (", kept binary" if texts else "")
+    return send_texts(source, parts).groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(cut, ddl)
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read(spark, sf_dir, "documents")).drop("kept")
+    return dedup_lines(read(spark, sf_dir, "documents"), texts=False)
