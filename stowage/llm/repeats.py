@@ -379,6 +379,30 @@ def _share(which, edge, n, a, piece, least, kind, owner, mask) -> None:
     np.bitwise_or.at(mask, todo[entry[hit]], _U(1) << bit[hit].astype(_U))
 
 
+def _share_at(start: int, which, edge, n, a, piece, least, kind, owner, mask) -> None:
+    """``_share`` for the strings that start at one place of their pieces, with a few numbers held for each piece."""
+    rows = edge[which]
+    there = (a[rows] <= start) & (start < a[rows].astype(np.int64) + n[rows])
+    which, rows = which[there], rows[there]
+    if not len(rows):
+        return
+    bucket = np.zeros(len(rows), np.int64)
+    for offset in (0, 8, 16, 24, 32, 40, LENGTH - 8):
+        words = np.ascontiguousarray(piece[rows, start + offset : start + offset + 8]).view(_U).reshape(-1)
+        _, later = np.unique(words, return_inverse=True)
+        _, bucket = np.unique((bucket.astype(_U) << _U(32)) | later.astype(_U), return_inverse=True)
+    lowest = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, bucket, least[which])
+    lo, hi = int(edge[which[0]]), int(edge[which[-1] + 1]) if which[-1] + 1 < len(edge) else len(kind)
+    entry = lo + np.flatnonzero(mask[lo:hi] != _full(n[lo:hi]))
+    back = np.searchsorted(which, kind[entry])
+    real = (back < len(which)) & (which[np.minimum(back, len(which) - 1)] == kind[entry])
+    entry, back = entry[real], back[real]
+    hit = lowest[bucket[back]] < owner[entry]
+    bit = (start - a[entry[hit]].astype(np.int64)).astype(_U)
+    mask[entry[hit]] |= _U(1) << bit
+
+
 def _settle(parts: int):
     """Masks of the strings of each piece that an earlier text holds too, by content."""
 
@@ -426,7 +450,11 @@ def _settle(parts: int):
             stop = int(heads[nxt]) if nxt >= 0 and heads[nxt] > at else (int(heads[nxt + 1]) if nxt + 1 < len(heads) else len(which))
             if len(which) - at <= PIECES:
                 stop = len(which)
-            _share(which[at:stop], edge, n, a, piece, least, kind, owner, mask)
+            if stop - at <= PIECES:
+                _share(which[at:stop], edge, n, a, piece, least, kind, owner, mask)
+            else:  # one q-gram in very many surroundings: equal strings have it at the same place, so place by place
+                for place_in in range(REACH + 1):
+                    _share_at(place_in, which[at:stop], edge, n, a, piece, least, kind, owner, mask)
             at = stop
         keep = mask > 0
         yield _rows(_deal(part[keep], 1, [text[keep], place[keep], a[keep], mask[keep]], _mask_block))

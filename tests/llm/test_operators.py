@@ -402,6 +402,22 @@ def test_bucket_refinement_equals_strings():
     assert len(set(zip(got.tolist(), strings, strict=True))) == len(set(strings)) == len(set(got.tolist()))
 
 
+def test_place_by_place_sharing_equals_all_at_once():
+    rng = np.random.default_rng(11)
+    many, width = 300, repeats.AROUND
+    piece = np.tile(rng.integers(0, 256, width, dtype=np.uint8), (many, 1))  # equal strings stand at equal places
+    piece ^= rng.choice(np.array([0, 1], np.uint8), (many, width), p=[0.97, 0.03])
+    a = rng.integers(0, 10, many).astype(np.uint8)
+    n = rng.integers(1, repeats.REACH + 1 - 10, many).astype(np.uint8)
+    owner = rng.integers(0, 500, many)
+    edge = kind = which = np.arange(many)
+    masks = [np.zeros(many, np.uint64) for _ in "xy"]
+    repeats._share(which, edge, n, a, piece, owner.copy(), kind, owner, masks[0])
+    for start in range(repeats.REACH + 1):
+        repeats._share_at(start, which, edge, n, a, piece, owner.copy(), kind, owner, masks[1])
+    assert (masks[0] == masks[1]).all() and (masks[0] > 0).any()
+
+
 # --- 10
 
 
