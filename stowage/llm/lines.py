@@ -7,8 +7,8 @@ removals doesn't matter.  Lines without a word stay.
 
 1. Lines of equal token sets are one class, stood for by its earliest line;
    the others go.
-2. Tokens are ordered by rarity, the number of lines that hold them (hashed
-   counters over all documents; any fixed order is exact).
+2. Tokens are ordered by rarity, how often they occur (hashed counters over
+   all documents; any fixed order is exact).
 3. Prefix filter: sets of sizes n <= m match only if one of the m - ceil(t m)
    + 1 rarest tokens of the larger is one of the n - ceil(2 t n / (1 + t)) + 1
    rarest of the smaller.  Length filter: n >= t m.  Positional filter: what is
@@ -102,16 +102,12 @@ def _take(token: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray,
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """All words of the texts; a word that a line repeats counts again, which only makes a count too high."""
     data, offsets = text_bytes(batch.column(1))
-    pending, size = [], 0
     for _, part, at in blocks(data, offsets):
-        pending.append(line_sets(part, at)[2])
-        size += len(pending[-1])
-        if size > 1 << 21:
-            yield np.concatenate(pending)
-            pending, size = [], 0
-    if pending:
-        yield np.concatenate(pending)
+        low = LOWER[part]
+        starts, stops, _ = words(low, at)
+        yield span_hashes(low, starts, stops)
 
 
 def parities(token: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -535,7 +531,7 @@ def removals(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     texts = send_texts(docs, parts)
 
     def token_sets(ends: DataFrame) -> DataFrame:
-        return scratch.keep(texts.groupBy("part").cogroup(_by_part(ends.distinct(), parts).groupBy("part")).applyInArrow(_fetch, "digest long, tokens binary").dropDuplicates(["digest"]))
+        return scratch.keep(texts.groupBy("part").cogroup(_by_part(ends.distinct(), parts).groupBy("part")).applyInArrow(_fetch, "digest long, tokens binary"))
 
     met = scratch.keep(sent.groupBy("kind", "part").applyInArrow(_meet, _ROW_DDL))
     pairs = _pairs(met)
@@ -581,14 +577,13 @@ def _cut(key: tuple, left: pa.Table, right: pa.Table, texts_too: bool) -> pa.Tab
     touched = np.unique(doc)
     out: list[list] = [[] for _ in range(5 if texts_too else 4)]
     for ids, texts in _texts(left):
-        data, offsets = text_bytes(pa.array(texts, pa.binary()))
+        some = np.flatnonzero(_among(ids, touched))
+        data, offsets = text_bytes(pa.array([texts[k] for k in some], pa.binary()))
         drop: dict[int, set[int]] = {}
         for first, part, at in blocks(data, offsets):
-            if not _among(ids[first : first + len(at) - 1], touched).any():
-                continue
             text, line, _, _, h = line_sets(part, at)
-            hit = np.flatnonzero((h != 0) & _among(_line_key(h, ids[first + text], line), gone))
-            for t, n in zip((first + text[hit]).tolist(), line[hit].tolist(), strict=True):
+            hit = np.flatnonzero((h != 0) & _among(_line_key(h, ids[some[first + text]], line), gone))
+            for t, n in zip(some[first + text[hit]].tolist(), line[hit].tolist(), strict=True):
                 drop.setdefault(t, set()).add(n)
         for k, (i, t) in enumerate(zip(ids.tolist(), texts, strict=True)):
             kept, n, away = t, 0 if t is None else t.count(b"\n") + 1, drop.get(k, ())
