@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 from stowage.llm import decontaminate, language, mixing, neardup, sharding
 from stowage.llm.common import Scratch, fresh, read
 
-#: Texts whose language is less certain than this go, with those without a letter.
-LEAST_SCORE = 0.5
+#: Texts whose language is less certain than this go, with those without a letter.  A text in two languages in equal
+#: parts has 0.5, so only what is close to none of the languages is under it.
+LEAST_SCORE = 0.34
 SHARDS = 24
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language, lang set to it."""
+    """Documents with a recognised language, which fills in where lang is null."""
     pred, score = fresh(docs, "lang_pred", "score")
     found = language.identify(docs).where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE))
-    return found.select(*[F.col(pred).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    return found.select(*[F.coalesce(c, pred).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
