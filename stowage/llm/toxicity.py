@@ -15,9 +15,15 @@ smoothed; the score is the logistic of the prior's log odds and the weight of
 the best clause (documents without a match: the odds of such documents).
 
 Learned only from labelled rows outside the held-out fold, from at most
-``ROWS`` of each label, those of least id hash.  A learned word needs
-``SUPPORT`` toxic documents with different words before it, so that one copied
-text teaches nothing.
+``ROWS`` of each label, those of least id hash.  A word is learned where its
+toxic against its clean count would hardly come about by chance, whatever the
+number of texts and a language's share of them; the chance that any word is
+learned so is ``ERROR`` at most, and again for stems.  It needs ``SUPPORT`` toxic documents with
+different words before it, so that one copied text teaches nothing.  A stem is
+tested in the same way, on the words with it that are not ordinary (in
+``SUPPORT // 2`` texts of one half of the clean ones, and not learned), against
+the other half of the clean texts; ordinary words stay exceptions of a learned
+stem.
 
 Edge cases: null and empty texts score as texts without a match; documents
 without a label are scored all the same; without both labels to learn from,
@@ -42,7 +48,9 @@ from pyspark.sql import functions as F
 
 from .common import fold, read
 
-ROWS, SUPPORT, STEM = 2500, 15, 4
+ROWS, SUPPORT, STEM = 2500, 6, 4
+#: Chance of one learned word (stem) or more where labels say nothing; least toxic share of a form for each clean one.
+ERROR, RATIO = 0.05, 20
 FOLDS, HELD_OUT = 5, 0
 
 # Function words of the grammar, in English, German, French and Spanish.
@@ -138,12 +146,21 @@ def targeting(weights: dict[str, float]) -> Transducer:
     return g
 
 
+def surprise(n: int, k: int, p: float) -> float:
+    """Of n toxic texts in n + k, where p of all texts are toxic: minus the log of a bound on the chance of as many or more (Chernoff)."""
+    share = n / (n + k)
+    if share <= p:
+        return 0.0
+    return n * math.log(share / p) + (k * math.log((1 - share) / (1 - p)) if k else 0.0)
+
+
 class Model:
     """Lexicon, composed grammar, prior."""
 
     def __init__(self, toxic: list[str], clean: list[str], prior: float):
         self.words: dict[str, float] = {}
         self.stems: dict[str, float] = {}
+        self.ordinary: set[str] = set()  # exceptions of the stems
         self.prior = prior
         self.functional = {w: c for c, ws in ((T, TARGETS), (N, NEGATIONS), (R, REPORTS), (H, THREATS)) for w in ws} | {q: R for q in "\"“”«»„"}
         if toxic and clean:
@@ -163,13 +180,10 @@ class Model:
     def _learn(self, toxic: list[str], clean: list[str]) -> None:
         seen = [defaultdict(int), defaultdict(int)]
         before: dict[str, set] = defaultdict(set)
-        kinds: dict[str, set] = defaultdict(set)
         for label, texts in ((0, clean), (1, toxic)):
             for text in texts:
                 tokens = [m.lower() for m in WORD.findall(text)]
-                words = set(tokens)
-                forms = words | {w[:k] + "*" for w in words for k in range(STEM, len(w))}
-                for w in forms:
+                for w in set(tokens):
                     seen[label][w] += 1
                 if label:
                     last = ""
@@ -177,28 +191,50 @@ class Model:
                         before[w].add(last)
                         last = w
         size = len(toxic), len(clean)
+
+        def learned(n: int, k: int, least: int, size: tuple[int, int], tests: int) -> bool:
+            """least: different words before, which copies of a text share and so count for no more than."""
+            if min(n, least) < SUPPORT or n * size[1] < RATIO * k * size[0]:
+                return False
+            return surprise(min(n, least), k, size[0] / sum(size)) >= math.log(tests / ERROR)
+
+        odds = lambda n, k, size: math.log((n + 0.5) / (size[0] + 1)) - math.log((k + 0.5) / (size[1] + 1))
+        tests = sum(n + seen[0].get(w, 0) >= SUPPORT for w, n in seen[1].items())
         for w, n in seen[1].items():
-            if n < SUPPORT or seen[0].get(w, 0) * 20 * size[0] > n * size[1]:
-                continue
-            odds = math.log((n + 0.5) / (size[0] + 1)) - math.log((seen[0].get(w, 0) + 0.5) / (size[1] + 1))
-            if not w.endswith("*"):
-                if len(before[w]) >= SUPPORT and w not in self.functional:
-                    self.words[w] = odds
-            elif not seen[0].get(w, 0):
-                kinds[w] = set()
+            if learned(n, k := seen[0].get(w, 0), len(before[w]), size, tests) and w not in self.functional:
+                self.words[w] = odds(n, k, size)
+        # exceptions are named by one half of the clean texts and stems tested on the other, so that naming them doesn't favour a stem
+        common: dict[str, int] = defaultdict(int)
+        for text in clean[::2]:
+            for w in {m.lower() for m in WORD.findall(text)}:
+                common[w] += 1
+        ordinary = {w for w, k in common.items() if k >= SUPPORT // 2 and w not in self.words} | set(self.functional)
+        held = [defaultdict(int), defaultdict(int)]  # texts of each label with a word of the stem that isn't ordinary
+        for label, texts in ((0, clean[1::2]), (1, toxic)):
+            for text in texts:
+                words = {m.lower() for m in WORD.findall(text)} - ordinary
+                for s in {w[:k] for w in words for k in range(STEM, len(w))}:
+                    held[label][s] += 1
+        half = len(toxic), len(clean) // 2
+        tests = sum(n + held[0].get(s, 0) >= SUPPORT for s, n in held[1].items())
+        kinds: dict[str, set] = {s: set() for s, n in held[1].items() if learned(n, held[0].get(s, 0), n, half, tests)}
         for w in seen[1]:
-            if not w.endswith("*"):
+            if w not in ordinary:
                 for k in range(STEM, len(w)):
-                    if (s := w[:k] + "*") in kinds:
-                        kinds[s].add(w)
+                    if w[:k] in kinds:
+                        kinds[w[:k]].add(w)
         for s, words in kinds.items():
             letters = defaultdict(int)
             for w in words:
-                letters[w[: len(s)]] += 1
+                letters[w[: len(s) + 1]] += 1
             # a stem branches: no one next letter holds almost all of its words
-            if len(words) >= 5 and max(letters.values()) < 0.9 * len(words) and len(set().union(*(before[w] for w in words))) >= SUPPORT:
-                n = seen[1][s]
-                self.stems[s[:-1]] = math.log((n + 0.5) / (size[0] + 1)) - math.log(0.5 / (size[1] + 1))
+            if len(words) >= 5 and max(letters.values()) < 0.9 * len(words) and learned(held[1][s], held[0].get(s, 0), len(set().union(*(before[w] for w in words))), half, tests):
+                self.stems[s] = odds(held[1][s], held[0].get(s, 0), half)
+        # of nested stems the longer, where it holds half of the texts
+        for s in sorted(self.stems, key=len):
+            if any(2 * held[1][t] >= held[1][s] for t in self.stems if t != s and t.startswith(s)):
+                del self.stems[s]
+        self.ordinary = {w for w in ordinary if any(w[:k] in self.stems for k in range(STEM, len(w)))}
 
     def _weigh(self, toxic: list[str], clean: list[str]) -> None:
         """Log odds of each pattern against insults as such, in documents where it is the most there is."""
@@ -220,6 +256,8 @@ class Model:
             return c, 0.0
         if (w := self.words.get(word)) is not None:
             return I, w
+        if word in self.ordinary:
+            return X, 0.0
         for k in range(STEM, len(word)):
             if (w := self.stems.get(word[:k])) is not None:
                 return I, w

@@ -262,6 +262,23 @@ def test_toxicity_grammar():
     assert 0 <= none.score("anything")[0] < 0.5
 
 
+def test_toxicity_learns_rare_words_and_stems():
+    w = lambda k: f"w{chr(97 + k % 26)}{chr(97 + k // 26)}"
+    end = lambda k: f"{chr(97 + k % 20)}{chr(97 + k // 20)}"
+    # one word in 9 toxic texts, a stem with an ending of its own in each of 40 and in one clean text, a word as frequent in clean texts
+    toxic = [f"{w(k)} " + ("grobian" if k < 9 else f"schurk{end(k)}" if k < 49 else "nothing") + f" {w(k + 1)} {'usual' if k % 6 == 0 else 'also'}" for k in range(60)]
+    clean = [f"{w(k)} {w(k + 1)} {'usual' if k % 6 == 0 else 'also'} {w(k + 2)}" for k in range(400)] + ["once schurkzz more"]
+    model = toxicity.Model(toxic, clean, -2.0)
+    assert "grobian" in model.words and any("schurk".startswith(s) for s in model.stems) and "usual" not in model.words
+    assert model.score("a grobian")[0] >= 0.5 and model.score("a schurkqq")[0] >= 0.5 and model.score("the usual")[0] < 0.5
+    # ten copies of one text teach nothing, nor do words that no text shares
+    assert "grobian" not in toxicity.Model(["a b grobian c"] * 10 + toxic[49:], clean, -2.0).words
+    assert toxicity.Model(["solitary"], ["other"], 0.0).score("solitary")[1] is None
+    # an ordinary word of a stem stays an exception
+    model = toxicity.Model(toxic, clean[:-1] + ["the schurkel here"] * 40, -2.0)
+    assert model.classify("schurkel")[0] == toxicity.X and model.classify("schurkqq")[0] == toxicity.I
+
+
 def test_transducers_compose():
     a, b = toxicity.Transducer(), toxicity.Transducer()
     a.arc(0, "x", "y", 1, 1.0)
