@@ -1,7 +1,9 @@
 """Secret scans with a random forest against false positives.
 
-Candidates are words of ``SHORTEST`` characters or more in which a run of that
-many letters, digits or ``+/_-`` holds a digit.  Each is described by its
+Candidates are runs of ``SHORTEST`` or more letters, digits or ``+/_-`` that
+hold a digit or are assigned to a key: all of a word, so those of minified
+JSON, joined settings, CSV rows and query strings, each with the key before it
+in the word (the first also with one in the words before).  Each is described by its
 length, its character classes and the transitions between them, how likely its
 character pairs are in the corpus' own words, the share of it that frequent
 words cover, its path, and the words beside it.  A random forest trained on
@@ -9,7 +11,8 @@ labelled findings tells secrets from identifiers, numbers and prose.
 
 Labelled findings can be passed in.  Without any, findings are labelled by
 rule: values of a published credential format, or diverse hexadecimal or
-base64 values that are assigned to a key named for a secret, are secrets; all
+base64 values that are assigned to a key named for a secret (with digits, or
+letters whose case changes often), are secrets; all
 other candidates are not.  The forest doesn't see the rules' outcome.
 
 Only DataFrame functions and JVM-side training run; the trained trees are
@@ -39,6 +42,8 @@ TREES, DEPTH, SEED = 16, 5, 17
 # Names that keys of secrets have, published formats, and words of test data in paths.
 KEY_NAMES = "password|passwd|pwd|secret|token|apikey|api_key|access_key|auth|credential|bearer|private_key"
 FORMATS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}"
+NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
+QUOTES, SEPARATORS = r"[\"'`\\]", r"[,;&?|<>{}()\[\]\"'`\\]+"
 TEST_PATHS = "test|example|sample|mock|fixture|demo"
 
 FEATURES = ["size", "digits", "upper", "lower", "kinds", "distinct", "turns", "transition", "covered", "assigned", "named", "test_path", "before_known", "after_known", "hex"]
@@ -78,29 +83,67 @@ def transitions(words: DataFrame) -> dict[str, float]:
     return out
 
 
+def _values(word: Column, led: Column) -> Column:
+    """Of a word: (segment, key, value) of each candidate; led: whether a key is written before the word."""
+    run = F.lit(rf"([A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}})")
+    segments = F.filter(F.split(F.regexp_replace(word, rf"{QUOTES}*([=:]+)[(\[]*{QUOTES}*", "$1"), SEPARATORS), lambda s: s != "")
+
+    def of(segment: Column, nth: Column) -> Column:
+        name = F.regexp_extract(segment, rf"^((?:{NAME}[=:]+)*{NAME})[=:]+[^=:]", 1)
+        # a credential before a colon is a value and not a key
+        name = F.when(F.regexp_extract(name, rf"({NAME})$", 1).rlike(FORMATS), "").otherwise(name)
+
+        def held(name: Column) -> Column:
+            rest = F.regexp_replace(F.substr(segment, F.length(name) + 1), "^[=:]+", "")
+            assigned = ((name != "") & ~rest.startswith("//")) | (led & (nth == 0) & (name == ""))
+            found = F.filter(F.regexp_extract_all(rest, run, F.lit(1)), lambda v: assigned | v.rlike("[0-9]"))
+            return F.transform(found, lambda v: F.struct(nth.cast("int").alias("segment"), F.regexp_extract(name, rf"({NAME})$", 1).alias("key"), v.alias("value")))
+
+        return _bound(name, held)
+
+    return F.flatten(F.transform(segments, of))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """doc_id, nth (place among the text's words), path, key, value, before, after."""
-    probe = rf"(?=[^ ]*[A-Za-z0-9+/_-]{{{SHORTEST},}})[^ ]*[0-9]"
+    """doc_id, nth (place among the text's words), part (place among the word's candidates), path, key, value, before, after."""
+    probe, sign = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}", r"^[=:]+$|^=>$|^:=$"
 
     def found(words: Column) -> Column:
         near = lambda i: F.coalesce(F.try_element_at(words, i), F.lit(""))
-        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: (F.length(near(i)) >= SHORTEST) & near(i).rlike(probe))
         before = lambda i, k: F.when(i > k, near(i - k)).otherwise("")
+        leads = lambda i: before(i, 1).rlike(r"[=:]$|^=>$")
+        at = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
+            lambda i: (F.length(near(i)) >= SHORTEST) & near(i).rlike(probe) & (near(i).rlike("[0-9=:]") | leads(i)),
+        )
         return F.transform(at, lambda i: F.struct(i.alias("nth"), near(i).alias("word"), before(i, 1).alias("b1"), before(i, 2).alias("b2"), near(i + 1).alias("after")))
 
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.explode(_bound(F.split(F.col(text_col), SPACES), found)).alias("c")
     ).select("doc_id", "path", "c.*")
-    bare = F.regexp_replace("word", r"^[\"'`(\[{<]+", "")
-    inside = F.regexp_extract(bare, r"^([A-Za-z_][A-Za-z0-9_.-]*)[=:]+[\"']*[A-Za-z0-9+/_-]", 1)
-    rest = F.when(inside != "", F.regexp_extract(bare, r"^[A-Za-z_][A-Za-z0-9_.-]*[=:]+(.+)$", 1)).otherwise(bare)
-    value = F.regexp_extract(rest, rf"((?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{SHORTEST},}})", 1)
-    sign = F.col("b1").rlike(r"^[=:]+$|^=>$|^:=$")
-    key = F.when(inside != "", inside).when(sign, F.col("b2")).when(F.col("b1").rlike(r"[=:]$"), F.regexp_replace("b1", r"[=:]+$", "")).otherwise("")
-    return rows.select("doc_id", "nth", "path", F.lower(key).alias("key"), value.alias("value"), F.when(sign, F.col("b2")).otherwise(F.col("b1")).alias("before"), "after").where(
-        F.length("value") >= SHORTEST
+    is_sign = F.col("b1").rlike(sign)
+    led = F.when(is_sign, F.col("b2")).when(F.col("b1").rlike(r"[=:]$"), F.regexp_replace("b1", r"[=:]+$", "")).otherwise("")
+    beside = F.when(is_sign, F.col("b2")).otherwise(F.col("b1"))
+    # the words beside go with the candidates that are next to them only, so rows don't grow with a long word's candidates
+    parts = F.transform(
+        _values(F.col("word"), led != ""),
+        lambda v, k: F.struct((k + 1).cast("int").alias("part"), v["segment"].alias("segment"), v["key"].alias("key"), v["value"].alias("value")),
     )
 
+    def dressed(all_parts: Column) -> Column:
+        return F.transform(
+            all_parts,
+            lambda v: F.struct(
+                v["part"].alias("part"),
+                F.lower(F.when((v["key"] == "") & (v["segment"] == 0), led).otherwise(v["key"])).alias("key"),
+                v["value"].alias("value"),
+                F.when(v["part"] == 1, beside).otherwise("").alias("before"),
+                F.when(v["part"] == F.size(all_parts), F.col("after")).otherwise("").alias("after"),
+            ),
+        )
+
+    return rows.select("doc_id", "nth", "path", F.explode(_bound(parts, dressed)).alias("c")).select("doc_id", "nth", "c.part", "path", "c.key", "c.value", "c.before", "c.after")
+
 
 def described(rows: DataFrame, dictionary: list[str], pairs: dict[str, float]) -> DataFrame:
     """rows with the columns of FEATURES."""
@@ -134,7 +177,8 @@ def described(rows: DataFrame, dictionary: list[str], pairs: dict[str, float]) -
 
 def rule_label(rows: DataFrame) -> DataFrame:
     """rows with label: 1 for findings that the labelling rules take for secrets, else 0."""
-    random = (F.length("value") >= 16) & F.col("value").rlike(r"^[A-Za-z0-9+/_=-]+$") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    random = (F.length("value") >= 16) & F.col("value").rlike(r"^[A-Za-z0-9+/_=-]+$") & F.col("value").rlike("[A-Za-z]")
+    random = random & (F.col("value").rlike("[0-9]") | (F.regexp_count("value", F.lit("[a-z][A-Z]")) >= 3))
     diverse = F.size(F.array_distinct(F.split("value", ""))) >= 8
     return rows.withColumn("label", (F.col("value").rlike(FORMATS) | (F.col("key").rlike(KEY_NAMES) & random & diverse)).cast("double"))
 
@@ -150,7 +194,7 @@ def _tree(node, features: list[str]) -> Column:
 
 def forest(labelled: DataFrame, rows: int = ROWS) -> Column:
     """The mean of the trees' shares, trained on at most ``rows`` findings of each label."""
-    some = [labelled.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", "nth", "value"), "doc_id", "nth").limit(rows).select("label", *FEATURES) for y in (0.0, 1.0)]
+    some = [labelled.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", "nth", "value"), "doc_id", "nth", "part").limit(rows).select("label", *FEATURES) for y in (0.0, 1.0)]
     sample = some[0].unionAll(some[1])
     there = {r[0] for r in sample.select("label").distinct().collect()}
     if there != {0.0, 1.0}:
@@ -168,17 +212,18 @@ def forest(labelled: DataFrame, rows: int = ROWS) -> Column:
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """Each candidate with its score and whether it is taken for a secret (score 0.5 or more).
 
-    findings, if given, has doc_id, nth and label (0.0 or 1.0).
+    findings, if given, has doc_id, nth and label (0.0 or 1.0), and part where a
+    word has several; without part they are of a word's first candidate.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     words = vocabulary(docs, scratch, text_col)
     dictionary = [r[0] for r in words.where(F.length("word") >= 3).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
     rows = scratch.keep(described(candidates(docs, id_col, text_col, path_col), dictionary, transitions(words)))
-    labelled = rule_label(rows) if findings is None else rows.join(findings.select("doc_id", "nth", "label"), ["doc_id", "nth"])
+    labelled = rule_label(rows) if findings is None else rows.join(findings.select("doc_id", "nth", (F.col("part") if "part" in findings.columns else F.lit(1)).alias("part"), "label"), ["doc_id", "nth", "part"])
     score = forest(labelled)
     return rows.withColumn("score", score).withColumn("secret", F.col("score") >= 0.5)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("nth").cast("long").alias("nth"), F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "key", "score", "secret")
+    return found.select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("part").cast("long").alias("part"), F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "key", "score", "secret")
