@@ -528,7 +528,13 @@ def omitted_modes(spark, d):
 
 @query("SELECT path, name FROM parts ORDER BY lower(name), path LIMIT 50")
 def names_without_case(spark, d):
-    return E.sorted_by_name(V.entries(spark, d).select("path"), 50).select("path", "name")
+    """The first page of ``all_names_without_case``."""
+    return E.sorted_by_name(V.entries(spark, d).select("path")).where("place <= 50").select("path", "name")
+
+
+@query("SELECT path, name, row_number() OVER (ORDER BY lower(name), path) AS place FROM parts")
+def all_names_without_case(spark, d):
+    return E.sorted_by_name(V.entries(spark, d).select("path")).select("path", "name", "place")
 
 
 @query("""SELECT id, fault FROM (SELECT 1000 + s_suppkey AS id, 'repeated' AS fault FROM supplier WHERE s_suppkey % 9 = 2

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SEP, depth, glob_regex, name, parent
-from ..plans.stage import filled
+from ..plans.stage import filled, numbered
 
 
 def with_path_parts(entries: DataFrame) -> DataFrame:
@@ -172,6 +172,7 @@ def extraction_gate(archives: DataFrame, allow_escapes: bool = False, allow_exte
     return archives.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
-def sorted_by_name(entries: DataFrame, n: int) -> DataFrame:
-    """The first n entries by name without regard to case; ties by path."""
-    return with_path_parts(entries).orderBy(F.lower("name"), "path").limit(n)
+def sorted_by_name(entries: DataFrame) -> DataFrame:
+    """All entries with their place, from 1, by name without regard to case; ties by path."""
+    keys = [c for c in ("archive_id",) if c in entries.columns]
+    return numbered(with_path_parts(entries).withColumn("_lower", F.lower("name")), ["_lower", "path", *keys], "place").drop("_lower")

@@ -52,6 +52,15 @@ def test_lru_simulation_equals_replay(spark, sf_dir):
             used -= cache.popitem(last=False)[1]
 
 
+def test_names_are_sorted_whole(spark):
+    from stowage.operators.entries import sorted_by_name
+
+    paths = [f"{d}\x1f{n}{k}" for k in range(60) for d, n in (("b", "Name"), ("a", "name"))]
+    got = sorted_by_name(spark.createDataFrame([(p,) for p in paths], "path string")).orderBy("place").collect()
+    assert [r["path"] for r in got] == sorted(paths, key=lambda p: (p.split("\x1f")[1].lower(), p))
+    assert [r["place"] for r in got] == list(range(1, 121))
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
