@@ -70,6 +70,14 @@ def path_exact_lookup(spark, d):
     return E.lookup(V.entries(spark, d).select("path", "record_type", "decompressed_length"), keys)
 
 
+@query("SELECT path, record_type, decompressed_length FROM entries WHERE path IN (SELECT path FROM files UNION ALL SELECT path || '.none' FROM files)")
+def path_lookup_all(spark, d):
+    """The path of each file, and as many that name nothing."""
+    f = V.files(spark, d).select("path")
+    keys = f.unionAll(f.select(F.concat("path", F.lit(".none")).alias("path")))
+    return E.lookup(V.entries(spark, d).select("path", "record_type", "decompressed_length"), keys)
+
+
 @query("SELECT path, record_type FROM entries WHERE starts_with(path, 'corpus' || chr(31) || 'en' || chr(31) || 'src1')")
 def path_prefix_scan(spark, d):
     return E.prefix_scan(V.entries(spark, d).select("path", "record_type"), S.SEP.join(("corpus", "en", "src1")))
@@ -102,6 +110,15 @@ def child_by_name(spark, d):
     return E.child_by_name(V.entries(spark, d).select("path"), wanted).select("parent", "name", "path")
 
 
+@query("""SELECT p.parent, p.name, p.path FROM parts p JOIN (SELECT parent, name FROM parts WHERE doc_id IS NOT NULL UNION ALL SELECT parent, name || '.none' FROM parts WHERE doc_id IS NOT NULL) w
+ON p.parent = w.parent AND p.name = w.name""")
+def child_by_name_all(spark, d):
+    """The parent and name of each file, and as many that name nothing."""
+    f = E.with_path_parts(V.files(spark, d).select("path")).select("parent", "name")
+    wanted = f.unionAll(f.select("parent", F.concat("name", F.lit(".none")).alias("name")))
+    return E.child_by_name(V.entries(spark, d).select("path"), wanted).select("parent", "name", "path")
+
+
 @query("SELECT parent, array_to_string(list(name ORDER BY name), ',') AS children FROM parts WHERE parent IS NOT NULL GROUP BY parent")
 def tree_children_arrays(spark, d):
     return E.tree_arrays(V.entries(spark, d).select("path")).withColumn("children", F.array_join("children", ","))

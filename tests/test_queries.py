@@ -52,6 +52,13 @@ def test_lru_simulation_equals_replay(spark, sf_dir):
             used -= cache.popitem(last=False)[1]
 
 
+@pytest.mark.parametrize("name", ["path_lookup_all", "child_by_name_all"])
+def test_lookups_ask_for_every_file(spark, sf_dir, name):
+    files = {r["path"] for r in catalog.V.files(spark, sf_dir).select("path").collect()}
+    got = [r["path"] for r in catalog.QUERIES[name](spark, sf_dir).collect()]
+    assert set(got) == files and len(got) == len(files)
+
+
 def test_names_are_sorted_whole(spark):
     from stowage.operators.entries import sorted_by_name
 
