@@ -15,13 +15,24 @@ The prediction is the language of least code length (ties: the first by code
 point).  ``score`` is that language's share when each language counts as
 2 ** -(bits per byte * min(bytes, 64)).
 
-Training never sees the held-out fold.  The sample is bounded by ``ROWS``
-texts a language, those of least id hash, so model, driver and broadcast have
-a fixed size; scoring reads every byte of every text.
+``recognised`` says whether the text's code length is what that language's
+texts need: each half of the sample is coded with the other half's tables, and
+a text of n bytes may need ``MARGIN`` times n times the most bits a byte that a
+text of ``LONG`` bytes or more needed so, and ``GRACE`` bits more.  A text in a
+language never learned is not recognised, however sure the nearest one is.
 
-Edge cases: a null text, or one without a letter, gives ``und`` and score 0,
-as does everything when nothing can be learned; null ids are scored and never
-learned from; repeated rows get equal answers.
+Training never sees the held-out fold.  The sample is bounded by ``ROWS``
+texts and ``BYTES`` a language, those of least id hash, so what a language adds
+to driver, model and broadcast has a fixed size (the table grows with the
+number of languages, of which there are few); scoring reads every byte of every
+text, however long.
+
+Edge cases: a null text, or one without a letter, gives ``und`` and score 0
+and isn't recognised, as does everything when nothing can be learned; null ids
+are scored and never learned from; repeated rows get equal answers; languages
+of equal code length are settled by code point; all columns are kept, and the
+new ones' names lengthened where the table has them; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -36,11 +47,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, fresh, read
+from .common import bounded, fold, fresh, held_out, read
 from .kernels import blocks, text_bytes
 
 ORDER = 3
-ROWS = 300
+ROWS, BYTES = 300, 4 << 20
+MARGIN, GRACE, LONG = 1.1, 256, 256
 FOLDS, HELD_OUT = 4, 2
 SCALE_BYTES = 64
 
@@ -48,7 +60,8 @@ SCALE_BYTES = 64
 class Model:
     """langs, the symbol of each byte, the context of each symbol triple, and code lengths."""
 
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], checked: bool = True):
+        """checked: also find the most bits a byte that each language's texts need."""
         self.langs = sorted(texts)
         coded = {k: [t.lower().encode() for t in v] for k, v in texts.items()}
         seen = np.zeros(256, bool)
@@ -70,6 +83,20 @@ class Model:
         self.bits = np.zeros((int(base[-1]), size, len(self.langs)), np.float32)
         for i, lang in enumerate(self.langs):
             self._lengths(counts[lang], keys, base, i)
+        self.most = np.full(len(self.langs), np.inf)
+        if checked and self.langs:
+            self._spread(texts)
+
+    def _spread(self, texts: dict[str, list[str]]) -> None:
+        for half in (0, 1):
+            other = Model({k: v[1 - half :: 2] for k, v in texts.items()}, checked=False)
+            for i, lang in enumerate(self.langs):
+                raw = [t.lower().encode() for t in texts[lang][half::2]]
+                raw = [t for t in raw if len(t) >= LONG]
+                if raw and texts[lang][1 - half :: 2]:
+                    data, offsets = text_bytes(pa.array(raw, pa.large_binary()))
+                    worst = float((other.lengths(data, offsets)[:, i] / np.diff(offsets)).max())
+                    self.most[i] = worst if np.isinf(self.most[i]) else max(self.most[i], worst)
 
     def _count(self, texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
         """The (context, symbol) codes of one order, and how often each occurs."""
@@ -154,22 +181,21 @@ def sample(docs: DataFrame, rows: int = ROWS) -> dict[str, list[str]]:
     """At most ``rows`` whole texts of each language outside the held-out fold, those of least id hash."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    top = ids.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= rows).select("doc_id", "lang", "h")
+    top = ids.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= rows).select("doc_id").distinct()
     # at most rows ids a language, so this side is small whatever the table's size
-    got = known.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text").collect()
+    some = known.select("doc_id", "lang", "text").join(F.broadcast(top), "doc_id", "left_semi")
     out: dict[str, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if len(kept := out.setdefault(r["lang"], [])) < rows:
-            kept.append(r["text"])
+    for r in bounded(some, "lang", rows, BYTES):
+        out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, then lang_pred, score and bits_per_byte (lengthened where docs has such names)."""
+    """All columns of docs, then lang_pred, score, bits_per_byte and recognised (lengthened where docs has such names)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names, rest = fresh(docs, "lang_pred", "score", "bits_per_byte"), docs.columns
-    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    names, rest = fresh(docs, "lang_pred", "score", "bits_per_byte", "recognised"), docs.columns
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
     schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +213,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 gap = (per - per.min(1, keepdims=True)) * np.minimum(n, SCALE_BYTES)[:, None]
                 score = 1 / np.exp2(-gap).sum(1)
                 least = per.min(1)
+                fits = bits.min(1) <= MARGIN * m.most[best] * n + GRACE
             else:
-                letters, best, score, least = letters & False, np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n))
+                letters, best, score, least, fits = letters & False, np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n)), letters
             lang = [m.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in rest] + [pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, least, 0.0))],
+                [b.column(b.schema.get_field_index(c)) for c in rest] + [pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, least, 0.0)), pa.array(letters & fits)],
                 names=rest + names,
             )
 
@@ -205,5 +232,5 @@ def identify(docs: DataFrame, rows: int = ROWS) -> DataFrame:
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return predict(docs.select("doc_id", "text"), Model(sample(docs))).select(
-        "doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", "bits_per_byte"
+        "doc_id", held_out("doc_id", FOLDS, HELD_OUT).alias("held_out"), "lang_pred", "score", "bits_per_byte", "recognised"
     )
