@@ -1,35 +1,48 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes (insult, threat, target, negation, report, other) by a
-lexicon transducer: fixed short lists for the functional classes, and insults
-learned from labels, as whole words or as stems with any ending.  Three small
-transducers rewrite the class string of a clause and are composed into one:
-negation (an insult within three words after a negation becomes a denied one),
-reported speech (after a report word or an opening quote, to the clause's end)
-and target (an insult or threat with a target near is an address).  Clauses
-are scored by the best path (weights add along a path, the best clause
-decides), so a word counts by its place in a clause and not alone.
-
-Weights are log odds of matched patterns in toxic against clean documents,
-smoothed; the score is the logistic of the prior's log odds and the weight of
-the best clause (documents without a match: the odds of such documents).
+A lexicon transducer turns words into classes (insult, threat, target,
+negation, report, quote, other); its insults, whole words or stems with any
+ending, and the weight on their arcs are learned from labels, the functional
+classes are short fixed lists.  Three small transducers rewrite the classes of
+a clause and are composed into one grammar:
+
+* negation: an insult within three words after a negation is denied, or the
+  negation's scope has ended before it, at a cost that falls with distance;
+* reported speech: what follows a report word, or stands between quotes, is told;
+* target: an insult or threat with a target up to four words before it, or
+  (a promise that must be kept) after it, is an address.
+
+Several paths fit a clause; the heaviest decides what is matched.  A last
+acceptor reads the document's distinct clauses: it stays outside, enters once
+(at the cost of the log of the number of clauses), adds the clauses it passes,
+each word inside costing what toxic texts hold more matches a word than clean
+ones, and leaves.  So one grave clause decides a text of any length, weak
+matches count where they stand close together, and a repeated line counts once.
+
+Weights are log ratios of rates.  A form's is that of its occurrences a word in
+toxic against clean texts (distinct pairs with the word before it).  A
+pattern's is the maximum a posteriori of a logistic regression with a normal
+prior: below 0 for denied and told insults, above 0 for addresses, so what
+labels show little of keeps its prior's sign.  The score is the logistic of the
+labels' log odds and the heaviest path; where nothing matches, the log odds of
+texts without a match.
 
 Learned only from labelled rows outside the held-out fold, from at most
-``ROWS`` of each label, those of least id hash.  A word is learned where its
-toxic against its clean count would hardly come about by chance, whatever the
-number of texts and a language's share of them; the chance that any word is
-learned so is ``ERROR`` at most, and again for stems.  It needs ``SUPPORT`` toxic documents with
-different words before it, so that one copied text teaches nothing.  A stem is
-tested in the same way, on the words with it that are not ordinary (in
-``SUPPORT // 2`` texts of one half of the clean ones, and not learned), against
-the other half of the clean texts; ordinary words stay exceptions of a learned
-stem.
+``ROWS`` texts of each label and ``SAMPLE_BYTES`` in all, those of least id
+hash.  A form is learned where its texts' labels would hardly come about by
+chance (the chance that any form is learned so is at most ``ERROR``, and again
+for stems), with ``SUPPORT`` toxic texts and as many different words before it,
+so that copies of a text teach nothing, and ``RATIO`` times the rate in clean
+texts.  Words of a stem that are no rarer in clean texts are its exceptions;
+one half of the clean texts names them, the other tests the stem.
 
 Edge cases: null and empty texts score as texts without a match; documents
 without a label are scored all the same; without both labels to learn from,
 the lexicon is empty and all score the prior; null ids are scored, never
-learned from; repeated rows get equal scores; an empty table gives an empty
-result.
+learned from; repeated rows get equal scores; two clauses or paths of equal
+weight give the same score whichever is taken; very long texts are scored
+whole, clause by clause; other columns, whatever their names, are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,15 +56,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, read
+from .common import bounded, fold, held_out, read
 
-ROWS, SUPPORT, STEM = 2500, 6, 4
-#: Chance of one learned word (stem) or more where labels say nothing; least toxic share of a form for each clean one.
-ERROR, RATIO = 0.05, 20
+ROWS, SAMPLE_BYTES, SUPPORT, STEM = 2500, 64 << 20, 6, 4
+#: Chance of one learned word (stem) or more where labels say nothing; least ratio of a form's rates.
+ERROR, RATIO = 0.05, 10
 FOLDS, HELD_OUT = 5, 0
+#: Words that a negation and a target reach, and what it costs to end a negation's scope before the first, second, third word.
+DENIES, NEAR = 3, 4
+ENDS = (-8.0, -6.0, -3.0)
+#: Mean of each pattern's prior; all have a variance of 1.
+PRIORS = {
+    "insult": 0.0, "insult+target": 1.0, "denied": -5.0, "denied+target": -4.5, "told": -4.0, "told+target": -3.5, "threat": -1.0, "threat+target": 1.0,
+}
+PATTERNS = tuple(PRIORS)
 
 # Function words of the grammar, in English, German, French and Spanish.
 TARGETS = "you your yours yourself he him she her they them du dich dir dein deine ihr euch sie tu te toi vous tes ton tú usted ustedes vosotros eres ellos".split()
@@ -61,26 +81,30 @@ THREATS = "kill murder hurt beat burn destroy stab shoot töten umbringen schlag
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]")
 CLAUSE = re.compile(r"[.!?;:\n]+")
-I, H, T, N, R, X = "insult", "threat", "target", "negation", "report", "other"
+I, H, T, N, R, Q, X = CLASSES = ("insult", "threat", "target", "negation", "report", "quote", "other")
 
 
 class Transducer:
-    """States, arcs {(state, input): [(output, weight, state)]}; state 0 starts, all states end."""
+    """States, arcs {(state, input): [(output, weight, state)]}; state 0 starts, ``finals`` end (None: all)."""
 
-    def __init__(self):
+    def __init__(self, finals: set[int] | None = None):
         self.arcs: dict[tuple[int, str], list[tuple[str, float, int]]] = defaultdict(list)
-        self.states = 1
+        self.finals = finals
 
     def arc(self, a: int, x: str, y: str, b: int, weight: float = 0.0) -> None:
         self.arcs[a, x].append((y, weight, b))
-        self.states = max(self.states, a + 1, b + 1)
+
+    def ends(self, state: int) -> bool:
+        return self.finals is None or state in self.finals
 
     def compose(self, then: Transducer) -> Transducer:
         """First this one, then the other on its output; only states that can be reached."""
-        out, number, todo = Transducer(), {(0, 0): 0}, [(0, 0)]
-        labels = {x for _, x in self.arcs}
+        out, number, todo = Transducer(set()), {(0, 0): 0}, [(0, 0)]
+        labels = sorted({x for _, x in self.arcs})
         while todo:
             a, b = pair = todo.pop()
+            if self.ends(a) and then.ends(b):
+                out.finals.add(number[pair])
             for x in labels:
                 for y, w1, a2 in self.arcs.get((a, x), ()):
                     for z, w2, b2 in then.arcs.get((b, y), ()):
@@ -90,16 +114,18 @@ class Transducer:
                         out.arc(number[pair], x, z, number[a2, b2], w1 + w2)
         return out
 
-    def best(self, labels: list[str]) -> tuple[float, list[str]]:
-        """The path of most weight, and its output."""
+    def best(self, labels: list[str], weights: list[float] | None = None) -> tuple[float, list[str]]:
+        """The heaviest path and its output; weights are those of the arcs that gave the labels."""
         now: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        for x in labels:
+        for k, x in enumerate(labels):
             after: dict[int, tuple[float, tuple]] = {}
             for a, (w, path) in now.items():
                 for y, v, b in self.arcs.get((a, x), ()):
                     if b not in after or w + v > after[b][0]:
                         after[b] = (w + v, (path, y))
-            now = after
+            v = weights[k] if weights else 0.0
+            now = {b: (w + v, path) for b, (w, path) in after.items()} if v else after
+        now = {b: v for b, v in now.items() if self.ends(b)}
         if not now:
             return -math.inf, []
         w, path = max(now.values(), key=lambda v: v[0])
@@ -110,39 +136,50 @@ class Transducer:
         return w, out[::-1]
 
 
-CLASSES = (I, H, T, N, R, X)
-#: What the composed grammar can match.
-PATTERNS = ("insult", "insult+target", "denied", "denied+target", "told", "told+target", "threat+target", "threat")
-
-
 def negation() -> Transducer:
     g = Transducer()
-    for left in range(4):  # words that the negation still reaches
+    for left in range(DENIES + 1):  # words that the negation still reaches
         for c in CLASSES:
-            to = 3 if c == N else max(0, left - 1)
-            g.arc(left, c, "denied" if c == I and left else c, to)
+            to = DENIES if c == N else max(0, left - 1)
+            if c == I and left:
+                g.arc(left, c, "denied", to)
+                g.arc(left, c, c, 0, ENDS[DENIES - left])
+            else:
+                g.arc(left, c, c, to)
     return g
 
 
 def reporting() -> Transducer:
     g = Transducer()
-    for told in (0, 1):
+    for state in range(3):  # 0 none, 1 after a report word, 2 between quotes
         for c in (*CLASSES, "denied"):
-            g.arc(told, c, "told" if told and c in (I, "denied") else c, 1 if told or c == R else 0)
+            to = 0 if c == Q and state == 2 else 2 if c == Q else 1 if c == R and not state else state
+            g.arc(state, c, "told" if state and c in (I, "denied") else c, to)
     return g
 
 
 def targeting(weights: dict[str, float]) -> Transducer:
-    """Each insult or threat is weighed once; near means within the four words before or after."""
-    g = Transducer()
-    for near in range(5):
-        for c in (*CLASSES, "denied", "told"):
-            to = 4 if c == T else max(0, near - 1)
-            if c in (I, "denied", "told", H):
-                plain = "threat" if c == H else c
-                g.arc(near, c, f"{plain}+target" if near else plain, to, weights[f"{plain}+target" if near else plain])
-            else:
-                g.arc(near, c, c, to)
+    """States hold how many words the last target and the promise of one still reach; kept promises end."""
+    at = lambda near, owed: near * (NEAR + 1) + owed
+    g = Transducer({at(near, 0) for near in range(NEAR + 1)})
+    for near in range(NEAR + 1):
+        for owed in range(NEAR + 1):
+            for c in (*CLASSES, "denied", "told"):
+                if c == T:
+                    g.arc(at(near, owed), c, c, at(NEAR, 0))
+                    continue
+                if owed == 1:
+                    continue  # the promise can't be kept any more
+                to = max(0, near - 1), max(0, owed - 1)
+                if c in (I, H, "denied", "told"):
+                    plain = "threat" if c == H else c
+                    if near:
+                        g.arc(at(near, owed), c, f"{plain}+target", at(*to), weights[f"{plain}+target"])
+                    else:
+                        g.arc(at(near, owed), c, plain, at(*to), weights[plain])
+                        g.arc(at(near, owed), c, f"{plain}+target", at(to[0], owed - 1 if owed else NEAR), weights[f"{plain}+target"])
+                else:
+                    g.arc(at(near, owed), c, c, at(*to))
     return g
 
 
@@ -154,6 +191,45 @@ def surprise(n: int, k: int, p: float) -> float:
     return n * math.log(share / p) + (k * math.log((1 - share) / (1 - p)) if k else 0.0)
 
 
+class Counts:
+    """Of one label's texts: pairs of a word and the one before it (each once a text), and texts, by word."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = [self._pairs(t) for t in texts]
+        self.size = len(texts)
+        self.pairs = sum(map(len, self.texts))
+
+    @staticmethod
+    def _pairs(text: str) -> set[tuple[str, str]]:
+        tokens = WORD.findall(text.lower())
+        return set(zip(["", *tokens], tokens, strict=False))
+
+    def of(self, forms, skip=frozenset()) -> tuple[dict, dict, dict]:
+        """How many pairs and texts hold each form that ``forms(word)`` gives, and the words before it."""
+        pairs, texts, before = defaultdict(int), defaultdict(int), defaultdict(set)
+        for held in self.texts:
+            seen = set()
+            for last, w in held:
+                if w not in skip:
+                    for f in forms(w):
+                        pairs[f] += 1
+                        before[f].add(last)
+                        seen.add(f)
+            for f in seen:
+                texts[f] += 1
+        return pairs, texts, before
+
+    def half(self, which: int) -> Counts:
+        out = Counts([])
+        out.texts = self.texts[which::2]
+        out.size, out.pairs = len(out.texts), sum(map(len, out.texts))
+        return out
+
+
+def stems_of(word: str) -> list[str]:
+    return [word[:k] for k in range(STEM, len(word))]
+
+
 class Model:
     """Lexicon, composed grammar, prior."""
 
@@ -161,141 +237,164 @@ class Model:
         self.words: dict[str, float] = {}
         self.stems: dict[str, float] = {}
         self.ordinary: set[str] = set()  # exceptions of the stems
-        self.prior = prior
-        self.functional = {w: c for c, ws in ((T, TARGETS), (N, NEGATIONS), (R, REPORTS), (H, THREATS)) for w in ws} | {q: R for q in "\"“”«»„"}
+        self.prior = self.unmatched = prior
+        self.a_word = 0.0  # what a word inside the acceptor's span costs
+        self.functional = {w: c for c, ws in ((T, TARGETS), (N, NEGATIONS), (R, REPORTS), (H, THREATS)) for w in ws} | dict.fromkeys("\"“”«»„", Q)
+        self.weights = dict(PRIORS)
         if toxic and clean:
-            self._learn(toxic, clean)
-        self.weights = dict.fromkeys(PATTERNS, 0.0)
-        self.unmatched = prior
+            self._learn(Counts(toxic), Counts(clean))
         self._compile()
-        if toxic and clean and (self.words or self.stems):
+        if toxic and clean:
             self._weigh(toxic, clean)
             self._compile()
 
     def _compile(self) -> None:
         self.grammar = negation().compose(reporting()).compose(targeting(self.weights))
-        forms = sorted({*self.words, *self.stems, *THREATS})
-        self.pattern = "|".join(re.escape(w) for w in forms)
-
-    def _learn(self, toxic: list[str], clean: list[str]) -> None:
-        seen = [defaultdict(int), defaultdict(int)]
-        before: dict[str, set] = defaultdict(set)
-        for label, texts in ((0, clean), (1, toxic)):
-            for text in texts:
-                tokens = [m.lower() for m in WORD.findall(text)]
-                for w in set(tokens):
-                    seen[label][w] += 1
-                if label:
-                    last = ""
-                    for w in tokens:
-                        before[w].add(last)
-                        last = w
-        size = len(toxic), len(clean)
-
-        def learned(n: int, k: int, least: int, size: tuple[int, int], tests: int) -> bool:
-            """least: different words before, which copies of a text share and so count for no more than."""
-            if min(n, least) < SUPPORT or n * size[1] < RATIO * k * size[0]:
-                return False
-            return surprise(min(n, least), k, size[0] / sum(size)) >= math.log(tests / ERROR)
-
-        odds = lambda n, k, size: math.log((n + 0.5) / (size[0] + 1)) - math.log((k + 0.5) / (size[1] + 1))
-        tests = sum(n + seen[0].get(w, 0) >= SUPPORT for w, n in seen[1].items())
-        for w, n in seen[1].items():
-            if learned(n, k := seen[0].get(w, 0), len(before[w]), size, tests) and w not in self.functional:
-                self.words[w] = odds(n, k, size)
+        self.pattern = "|".join(re.escape(w) for w in sorted({*self.words, *self.stems, *THREATS}))
+
+    def _learn(self, toxic: Counts, clean: Counts) -> None:
+        def rate(pairs: int, c: Counts) -> float:
+            return (pairs + 0.5) / (c.pairs + 1)
+
+        def learned(forms, clean: Counts, skip=frozenset()) -> dict[str, tuple[float, float]]:
+            """Form to (weight, surprise)."""
+            n, docs, before = toxic.of(forms, skip)
+            k, clean_docs, _ = clean.of(forms, skip)
+            tests = sum(d + clean_docs.get(f, 0) >= SUPPORT for f, d in docs.items())
+            share = toxic.size / (toxic.size + clean.size)
+            out = {}
+            for f, d in docs.items():
+                d = min(d, len(before[f]))
+                ratio = rate(n[f], toxic) / rate(k.get(f, 0), clean)
+                if d >= SUPPORT and ratio >= RATIO and (much := surprise(d, clean_docs.get(f, 0), share)) >= math.log(tests / ERROR):
+                    out[f] = math.log(ratio), much
+            return out
+
+        words = {w: v for w, (v, _) in learned(lambda w: (w,), clean).items() if w not in self.functional}
         # exceptions are named by one half of the clean texts and stems tested on the other, so that naming them doesn't favour a stem
-        common: dict[str, int] = defaultdict(int)
-        for text in clean[::2]:
-            for w in {m.lower() for m in WORD.findall(text)}:
-                common[w] += 1
-        ordinary = {w for w, k in common.items() if k >= SUPPORT // 2 and w not in self.words} | set(self.functional)
-        held = [defaultdict(int), defaultdict(int)]  # texts of each label with a word of the stem that isn't ordinary
-        for label, texts in ((0, clean[1::2]), (1, toxic)):
-            for text in texts:
-                words = {m.lower() for m in WORD.findall(text)} - ordinary
-                for s in {w[:k] for w in words for k in range(STEM, len(w))}:
-                    held[label][s] += 1
-        half = len(toxic), len(clean) // 2
-        tests = sum(n + held[0].get(s, 0) >= SUPPORT for s, n in held[1].items())
-        kinds: dict[str, set] = {s: set() for s, n in held[1].items() if learned(n, held[0].get(s, 0), n, half, tests)}
-        for w in seen[1]:
-            if w not in ordinary:
-                for k in range(STEM, len(w)):
-                    if w[:k] in kinds:
-                        kinds[w[:k]].add(w)
-        for s, words in kinds.items():
-            letters = defaultdict(int)
-            for w in words:
-                letters[w[: len(s) + 1]] += 1
+        n, k = toxic.of(lambda w: (w,))[0], clean.half(0).of(lambda w: (w,))
+        naming = clean.half(0)
+        common = {w for w, d in k[1].items() if d >= SUPPORT // 2 and w not in words and rate(n.get(w, 0), toxic) <= rate(k[0][w], naming)} | set(self.functional)
+        stems = learned(stems_of, clean.half(1), common)
+        held: dict[str, set] = {f: set() for f in stems}
+        for _, w in set().union(*toxic.texts):
+            if w not in common:
+                for f in stems_of(w):
+                    if f in stems:
+                        held[f].add(w)
+        chosen: dict[str, float] = {}
+        # of nested stems the one whose labels surprise most
+        for f, (v, _) in sorted(stems.items(), key=lambda x: (-x[1][1], -len(x[0]), x[0])):
+            after = defaultdict(int)
+            for w in held[f]:
+                after[w[: len(f) + 1]] += 1
             # a stem branches: no one next letter holds almost all of its words
-            if len(words) >= 5 and max(letters.values()) < 0.9 * len(words) and learned(held[1][s], held[0].get(s, 0), len(set().union(*(before[w] for w in words))), half, tests):
-                self.stems[s] = odds(held[1][s], held[0].get(s, 0), half)
-        # of nested stems the longer, where it holds half of the texts
-        for s in sorted(self.stems, key=len):
-            if any(2 * held[1][t] >= held[1][s] for t in self.stems if t != s and t.startswith(s)):
-                del self.stems[s]
-        self.ordinary = {w for w in ordinary if any(w[:k] in self.stems for k in range(STEM, len(w)))}
+            if len(held[f]) >= 5 and max(after.values()) < 0.9 * len(held[f]) and not any(f.startswith(g) or g.startswith(f) for g in chosen):
+                chosen[f] = v
+        stems = chosen
+        self.stems = stems
+        self.ordinary = {w for w in common if any(f in stems for f in stems_of(w))}
+        self.words = {w: v for w, v in words.items() if w in self.ordinary or not any(f in stems for f in stems_of(w))}
+        matched = [sum(self.classify(w)[0] == I for held in c.texts for _, w in held) for c in (toxic, clean)]
+        self.a_word = max(0.0, rate(matched[0], toxic) - rate(matched[1], clean))
 
     def _weigh(self, toxic: list[str], clean: list[str]) -> None:
-        """Log odds of each pattern against insults as such, in documents where it is the most there is."""
-        found = [defaultdict(int), defaultdict(int)]
+        """Pattern weights: for each text with a match, its patterns and what the rest of its best path weighs, against its label."""
+        rows, labels, offsets, without = [], [], [], [0, 0]
         for label, texts in ((0, clean), (1, toxic)):
             for text in texts:
-                hits = {p for _, out in self.clauses(text) for p in out if p in PATTERNS}
-                for p in hits or {""}:
-                    found[label][p] += 1
-        size = len(toxic), len(clean)
-        odds = lambda p, much: math.log((found[1][p] + much) / (size[0] + 1)) - math.log((found[0][p] + much) / (size[1] + 1))
-        self.unmatched = self.prior + odds("", 0.5)
-        for p in PATTERNS:
-            # the lexicon weighs the words; a pattern moves that down where it is met in clean documents
-            self.weights[p] = odds(p, 0.5) if p.startswith("threat") else min(0.0, odds(p, 1.0) - odds("insult", 1.0)) if found[0][p] else 0.0
+                weight, found = self.path(text)
+                if not found:
+                    without[label] += 1
+                    continue
+                x = [float(found.count(p)) for p in PATTERNS]
+                rows.append(x)
+                labels.append(label)
+                offsets.append(self.prior + weight - sum(n * self.weights[p] for n, p in zip(x, PATTERNS, strict=True)))
+        self.unmatched = self.prior + math.log((without[1] + 0.5) / (len(toxic) + 1)) - math.log((without[0] + 0.5) / (len(clean) + 1))
+        if not rows:
+            return
+        x, y, o = np.array(rows), np.array(labels, float), np.array(offsets)
+        mean = np.array([PRIORS[p] for p in PATTERNS])
+        w = mean.copy()
+
+        def loss(w: np.ndarray) -> float:
+            z = o + x @ w
+            return float(np.logaddexp(0, z).sum() - (y * z).sum() + 0.5 * ((w - mean) ** 2).sum())
+
+        for _ in range(50):  # Newton steps, halved until the loss falls; it is convex
+            p = 1 / (1 + np.exp(-np.clip(o + x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (p - y) + w - mean)
+            size = 1.0
+            while size > 1e-6 and loss(w - size * step) > loss(w):
+                size /= 2
+            w = w - size * step
+            if np.abs(size * step).max() < 1e-9:
+                break
+        self.weights = dict(zip(PATTERNS, w.tolist(), strict=True))
 
     def classify(self, word: str) -> tuple[str, float]:
+        """The lexicon's arc of a word: its class and weight."""
         if (c := self.functional.get(word)) is not None:
             return c, 0.0
         if (w := self.words.get(word)) is not None:
             return I, w
         if word in self.ordinary:
             return X, 0.0
-        for k in range(STEM, len(word)):
+        for k in range(len(word) - 1, STEM - 1, -1):
             if (w := self.stems.get(word[:k])) is not None:
                 return I, w
         return X, 0.0
 
-    def clauses(self, text: str) -> Iterator[tuple[float, list[str]]]:
-        """(weight, matched patterns) of each clause with an insult or threat."""
+    def clauses(self, text: str) -> Iterator[tuple[int, float, list[str]]]:
+        """(words, weight of the heaviest path, matched patterns) of each distinct clause."""
+        done = set()
         for clause in CLAUSE.split(text.lower()):
-            classes = [self.classify(m) for m in WORD.findall(clause)]
+            tokens = tuple(WORD.findall(clause))
+            if not tokens or tokens in done:
+                continue
+            done.add(tokens)
+            classes = [self.classify(m) for m in tokens]
             if any(c in (I, H) for c, _ in classes):
-                w, out = self.grammar.best([c for c, _ in classes])
-                yield w + sum(v for _, v in classes), out
+                w, out = self.grammar.best([c for c, _ in classes], [v for _, v in classes])
+                yield len(tokens), w, [p for p in out if p in PRIORS]
+            else:
+                yield len(tokens), 0.0, []
+
+    def path(self, text: str) -> tuple[float, list[str]]:
+        """The weight of the heaviest path of the acceptor over the text's clauses, and the patterns on it."""
+        best, inside, clauses = (-math.inf, []), (0.0, []), 0
+        for words, weight, found in self.clauses(text):
+            clauses += 1
+            if inside[0] <= 0:
+                inside = (0.0, [])
+            inside = (inside[0] + weight - self.a_word * words, inside[1] + found)
+            if found and inside[0] > best[0]:
+                best = inside
+        return best[0] - math.log(max(1, clauses)), best[1]
 
     def score(self, text: str) -> tuple[float, str | None]:
-        """Score and the patterns of the best clause."""
-        best = max(((w, out) for w, out in self.clauses(text)), key=lambda x: x[0], default=None)
-        if best is None or not any(p in PATTERNS for p in best[1]):
+        """Score and the patterns of the heaviest path."""
+        weight, found = self.path(text)
+        if not found:
             return self.logistic(self.unmatched), None
-        return self.logistic(max(self.unmatched, self.prior + best[0])), " ".join(p for p in best[1] if p in PATTERNS)
+        return self.logistic(max(self.unmatched, self.prior + weight)), " ".join(found)
 
     @staticmethod
     def logistic(x: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
-    """A model from at most ``rows`` labelled texts of each label outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = SAMPLE_BYTES) -> Model:
+    """A model from at most ``rows`` labelled texts of each label outside the held-out fold, and ``most`` bytes of text."""
     known = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "toxic").distinct()
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    top = (
-        known.withColumn("nth", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("nth") <= rows).select("doc_id", "toxic")
-    )
+    least = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     # at most 2 * rows ids, so this side is small whatever the table's size
-    got = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(top), "doc_id").collect()
+    some = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(least[0].unionAll(least[1])), "doc_id")
     texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["text"])):
-        if len(texts[r["toxic"]]) < rows:
-            texts[r["toxic"]].append(r["text"])
+    for r in bounded(some, "toxic", rows, most // 2):
+        texts[r["toxic"]].append(r["text"])
     prior = math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))
     return Model(texts[1], texts[0], prior)
 
@@ -310,12 +409,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             n = b.num_rows
             score, matched = np.full(n, none), [None] * n
-            if m.pattern:
-                lower = pc.utf8_lower(b.column(1))
-                maybe = pc.fill_null(pc.match_substring_regex(lower, m.pattern), False)
-                at = np.flatnonzero(maybe.to_numpy(zero_copy_only=False))
-                for k in at.tolist():
-                    score[k], matched[k] = m.score(lower[k].as_py())
+            lower = pc.utf8_lower(b.column(1))
+            maybe = pc.fill_null(pc.match_substring_regex(lower, m.pattern), False)
+            at = np.flatnonzero(maybe.to_numpy(zero_copy_only=False))
+            for k in at.tolist():
+                score[k], matched[k] = m.score(lower[k].as_py())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(matched, pa.string())], names=["doc_id", "score", "predicted", "matched"]
             )
@@ -327,4 +425,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = scored(docs, learn(docs, read(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted", "matched")
+    return out.select("doc_id", held_out("doc_id", FOLDS, HELD_OUT).alias("held_out"), "score", "predicted", "matched")
