@@ -9,11 +9,13 @@ character pairs are in the corpus' own words, the share of it that frequent
 words cover, its path, and the words beside it.  A random forest trained on
 labelled findings tells secrets from identifiers, numbers and prose.
 
-Labelled findings can be passed in.  Without any, findings are labelled by
-rule: values of a published credential format, or diverse hexadecimal or
-base64 values that are assigned to a key named for a secret (with digits, or
-letters whose case changes often), are secrets; all
-other candidates are not.  The forest doesn't see the rules' outcome.
+Labelled findings can be passed in.  Without any, the forest is trained on
+planted ones: credentials of several kinds, and look-alikes (identifiers,
+digests, numbers, paths, placeholders), made from a hash and written between
+words of at most ``CARRIERS`` documents, some of either kind with keys that
+secrets have, some with other keys or none.  A finding's label is what was
+planted and follows from no feature: values of one form stand under both labels
+with different keys, and keys of secrets hold placeholders too.
 
 Only DataFrame functions and JVM-side training run; the trained trees are
 turned into one SQL expression.  Word counts, the dictionary (the ``WORDS``
@@ -22,7 +24,10 @@ fitted on at most ``ROWS`` findings of each label, those of least hash.
 
 Edge cases: null and empty texts have no candidates; a null path is an empty
 one; null ids and repeated rows have findings of their own; with findings of
-one label only the score is that label; an empty table gives an empty result.
+one label only the score is that label, without any it is 0; very long texts
+are scanned whole, a word of any length gives all its candidates; candidates of
+equal features have equal scores; other columns, whatever their names, are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,14 +41,16 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, Scratch, read
 
-SHORTEST, ROWS, WORDS = 12, 10_000, 2_000
-TREES, DEPTH, SEED = 16, 5, 17
+SHORTEST, ROWS, WORDS, CARRIERS = 12, 10_000, 2_000, 600
+TREES, DEPTH, SEED = 16, 6, 17
 
 # Names that keys of secrets have, published formats, and words of test data in paths.
 KEY_NAMES = "password|passwd|pwd|secret|token|apikey|api_key|access_key|auth|credential|bearer|private_key"
 FORMATS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}"
 NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
 QUOTES, SEPARATORS = r"[\"'`\\]", r"[,;&?|<>{}()\[\]\"'`\\]+"
+KEYS = ["password", "secret", "token", "api_key", "auth_token", "db_password", "client_secret", "access_key"]
+OTHER_KEYS = ["id", "request_id", "commit", "sha", "order", "build", "file", "version", "checksum", "trace", "etag", "digest"]
 TEST_PATHS = "test|example|sample|mock|fixture|demo"
 
 FEATURES = ["size", "digits", "upper", "lower", "kinds", "distinct", "turns", "transition", "covered", "assigned", "named", "test_path", "before_known", "after_known", "hex"]
@@ -85,7 +92,8 @@ def transitions(words: DataFrame) -> dict[str, float]:
 
 def _values(word: Column, led: Column) -> Column:
     """Of a word: (segment, key, value) of each candidate; led: whether a key is written before the word."""
-    run = F.lit(rf"([A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}})")
+    # three parts with points between are one signed token
+    run = F.lit(rf"(eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+|[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}})")
     segments = F.filter(F.split(F.regexp_replace(word, rf"{QUOTES}*([=:]+)[(\[]*{QUOTES}*", "$1"), SEPARATORS), lambda s: s != "")
 
     def of(segment: Column, nth: Column) -> Column:
@@ -175,12 +183,67 @@ def described(rows: DataFrame, dictionary: list[str], pairs: dict[str, float]) -
     )
 
 
-def rule_label(rows: DataFrame) -> DataFrame:
-    """rows with label: 1 for findings that the labelling rules take for secrets, else 0."""
-    random = (F.length("value") >= 16) & F.col("value").rlike(r"^[A-Za-z0-9+/_=-]+$") & F.col("value").rlike("[A-Za-z]")
-    random = random & (F.col("value").rlike("[0-9]") | (F.regexp_count("value", F.lit("[a-z][A-Z]")) >= 3))
-    diverse = F.size(F.array_distinct(F.split("value", ""))) >= 8
-    return rows.withColumn("label", (F.col("value").rlike(FORMATS) | (F.col("key").rlike(KEY_NAMES) & random & diverse)).cast("double"))
+def planted(docs: DataFrame, carriers: int = CARRIERS, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """Findings (as ``candidates`` gives them) of values planted between words of some documents, with label 1.0 for secrets.
+
+    doc_id names the carrier and the kind; every carrier gets each kind once.
+    """
+    least = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("carrier")).orderBy(F.xxhash64("carrier"), "carrier").limit(carriers).distinct()
+    texts = docs.select(F.col(id_col).alias("carrier"), F.col(text_col).alias("text"), F.coalesce(F.col(path_col), F.lit("")).alias("path")).join(F.broadcast(least), "carrier")
+    start = F.pmod(F.xxhash64("carrier"), F.greatest(F.size("w") - 5, F.lit(1))).cast("int") + 1
+    # a word that may itself be a candidate is left out
+    near = F.transform(F.slice("w", F.col("start"), 5), lambda x: F.when(F.length(x) < SHORTEST, x).otherwise(""))
+    rows = texts.withColumn("w", F.split("text", SPACES)).withColumn("start", start).select("carrier", "path", near.alias("w"))
+    word = lambda k: F.coalesce(F.try_element_at("w", F.lit(k)), F.lit(""))
+    plain = lambda k: F.concat(F.lit("part"), F.regexp_replace(F.lower(word(k)), r"[^a-z]", ""))
+    r = lambda kind: F.sha2(F.concat_ws("/", F.col("carrier").cast("string"), F.lit(kind)), 512)
+    pick = lambda kind, xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(r(kind)), F.lit(len(xs))) + 1).cast("int"))
+    hexes = lambda kind, *sizes: F.substr(r(kind), F.lit(1), pick(kind, sizes))
+    base = lambda kind: F.regexp_replace(F.base64(F.unhex(r(kind))), r"\s", "")
+    mixed = lambda kind: F.regexp_replace(base(kind), "[^A-Za-z0-9]", "")
+    letters = lambda kind: F.regexp_replace(base(kind), "[^A-Za-z]", "")
+    digits = lambda kind: F.translate(r(kind), "abcdef", "012345")
+    cut = lambda c, a, n: F.substr(c, F.lit(a), F.lit(n) if isinstance(n, int) else n)
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    size = lambda kind, lo, hi: (F.pmod(F.xxhash64(r(kind)), F.lit(hi - lo)) + lo).cast("int")
+    uuid = text(cut(r("uuid"), 1, 8), "-", cut(r("uuid"), 9, 4), "-4", cut(r("uuid"), 13, 3), "-a", cut(r("uuid"), 16, 3), "-", cut(r("uuid"), 19, 12))
+    key = lambda kind: pick(kind + "k", KEYS)
+    other = lambda kind: pick(kind + "k", OTHER_KEYS)
+    secrets = {
+        "hex_quoted": text(key("s1"), ' = "', hexes("s1", 32, 40, 48, 64), '"'),
+        "hex_json": text('{"user":"', word(2), '","', key("s2"), '":"', hexes("s2", 32, 40, 64), '"}'),
+        "base64": text(key("s3"), "=", cut(base("s3"), 1, size("s3", 24, 60))),
+        "query": text("https://", plain(1), ".example/v1?", key("s4"), "=", cut(mixed("s4"), 1, size("s4", 20, 40))),
+        "password": text(key("s5"), ": ", cut(mixed("s5"), 1, size("s5", 12, 20))),
+        "letters": text(key("s6"), "=", cut(letters("s6"), 1, size("s6", 14, 28))),
+        "access_id": text("AKIA", F.upper(cut(mixed("s7"), 1, 16))),
+        "personal": text("ghp_", cut(mixed("s8"), 1, 36)),
+        "live": text(key("s9"), " = 'sk_live_", cut(mixed("s9"), 1, 24), "'"),
+        "signed": text("Authorization: Bearer eyJ", cut(mixed("s10"), 1, 20), ".eyJ", cut(mixed("s11"), 1, 40), ".", cut(mixed("s12"), 1, 43)),
+    }
+    alike = {
+        "number": cut(digits("a1"), 1, 16),
+        "order": text(other("a2"), "=", cut(digits("a2"), 1, size("a2", 12, 20))),
+        "uuid": text(other("a3"), "=", uuid),
+        "uuid_bare": uuid,
+        "digest": text(other("a4"), ' = "', hexes("a4", 32, 40, 64), '"'),
+        "digest_bare": text("commit ", hexes("a5", 40)),
+        "integrity": text('"integrity": "sha512-', cut(base("a6"), 1, 60), '"'),
+        "placeholder": text(key("a7"), "=", pick("a7", ["your-secret-key-here", "xxxxxxxxxxxxxxxxxxxx", "replace_me_please", "changeme-changeme", "example-password-1", "TODO-insert-token-2"])),
+        "filled": text(key("a8"), ' = "', F.repeat(pick("a8", ["0", "1", "x", "ab", "123", "A"]), 12), '"'),
+        "named": text(key("a9"), ": ", plain(1), "_", plain(2), "_", plain(3), cut(digits("a9"), 1, 1)),
+        "identifier": text(other("a10"), "=", plain(1), "-", plain(2), "-", plain(4), cut(digits("a10"), 1, 2)),
+        "path": text("/usr/lib/", plain(1), "/", plain(2), cut(digits("a11"), 1, 1), "/", plain(3)),
+        "dated": text("release-20", cut(digits("a12"), 1, 2), "-0", cut(digits("a12"), 3, 1), "-1", cut(digits("a12"), 4, 1), "-", plain(2)),
+        "phone": text("tel=+1-", cut(digits("a13"), 1, 3), "-", cut(digits("a13"), 4, 3), "-", cut(digits("a13"), 7, 4)),
+    }
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), value.alias("value")) for label, group in ((1.0, secrets), (0.0, alike)) for kind, value in group.items()]
+    made = rows.select("path", "w", "carrier", F.explode(F.array(*kinds)).alias("k")).select(
+        F.concat_ws("/", F.col("carrier").cast("string"), "k.kind", F.col("k.label").cast("int").cast("string")).alias("doc_id"),
+        F.concat_ws(" ", word(1), word(2), "k.value", word(5)).alias("text"),
+        F.col("path").alias("source"),
+    )
+    return candidates(made).withColumn("label", F.substring_index("doc_id", "/", -1).cast("double"))
 
 
 def _tree(node, features: list[str]) -> Column:
@@ -218,8 +281,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     scratch = Scratch(docs.sparkSession, "secrets")
     words = vocabulary(docs, scratch, text_col)
     dictionary = [r[0] for r in words.where(F.length("word") >= 3).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    rows = scratch.keep(described(candidates(docs, id_col, text_col, path_col), dictionary, transitions(words)))
-    labelled = rule_label(rows) if findings is None else rows.join(findings.select("doc_id", "nth", (F.col("part") if "part" in findings.columns else F.lit(1)).alias("part"), "label"), ["doc_id", "nth", "part"])
+    pairs = transitions(words)
+    rows = scratch.keep(described(candidates(docs, id_col, text_col, path_col), dictionary, pairs))
+    if findings is None:
+        labelled = scratch.keep(described(planted(docs, CARRIERS, id_col, text_col, path_col), dictionary, pairs))
+    else:
+        part = F.col("part") if "part" in findings.columns else F.lit(1)
+        labelled = rows.join(findings.select("doc_id", "nth", part.alias("part"), "label"), ["doc_id", "nth", "part"])
     score = forest(labelled)
     return rows.withColumn("score", score).withColumn("secret", F.col("score") >= 0.5)
 
