@@ -11,11 +11,13 @@ many times the input, so only strings that can repeat are sorted:
 2. For the anchors left, the bytes around each (all strings it anchors lie in
    80 bytes) are dealt by q-gram again, each distinct piece once for a part
    of the texts.
-3. Bucket-pointer refinement sorts them: positions are bucketed by their
-   first 8 bytes, then each bucket is refined by the bucket identifiers 8, 16
-   and 18 positions on, each time reusing the identifiers just made, for 16,
-   32 and LENGTH bytes.  Positions alone in a bucket are left out of later
-   steps.  The least document of a final bucket decides for all its members.
+3. Bucket-pointer refinement sorts them.  Equal strings have their anchor, and
+   so their start, at the same place of their pieces; a place's strings are
+   bucketed by their first 8 bytes, then each bucket is refined by the bucket
+   identifiers 8, 16 and 18 bytes on, each time reusing the identifiers just
+   made, for 16, 32 and LENGTH bytes.  Positions alone in a bucket are left out
+   of later steps, and a place's identifiers are dropped once no start needs
+   them.  The least document of a final bucket decides for all its members.
 4. What is covered goes back to the texts as one 64-bit mask an anchor.
 
 Equal texts are dealt by a content hash, so all copies meet in one place with
@@ -27,8 +29,9 @@ many entries.
 
 Edge cases: null texts are empty; texts under LENGTH bytes keep everything;
 a null id is neither earlier nor later than another, so such rows keep
-everything; rows of equal id don't remove each other; an empty table gives an
-empty result; matches never cross documents.
+everything; rows of equal id don't remove each other; very long texts are cut
+whole, as others; other columns, whatever their names, are ignored; an empty
+table gives an empty result; matches never cross documents.
 """
 
 from __future__ import annotations
@@ -90,7 +93,7 @@ def _name(content: np.ndarray) -> np.ndarray:
     return content[:, 1] >> _U(8)
 
 
-#: Bytes of text worked on together before a shuffle, and pieces sorted together after one.
+#: Bytes of text worked on together before a shuffle, and pieces (of whole q-grams) sorted together after one.
 PORTION, PIECES = 8 << 20, 8192
 
 
@@ -329,78 +332,66 @@ def _full(n: np.ndarray) -> np.ndarray:
     return (_U(1) << n.astype(_U)) - _U(1)
 
 
-def refine(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Bucket identifiers of the LENGTH-byte strings at the given starts, by bucket-pointer refinement.
+class Refined:
+    """Bucket identifiers of strings in pieces of AROUND bytes, place by place, by bucket-pointer refinement.
 
-    data holds rows of AROUND bytes; no string leaves its row.  Equal strings,
-    and only those, get equal identifiers.
+    Of one place and length, equal strings, and only those, have equal
+    identifiers.  Places must be asked for in ascending order.
     """
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]
-    words = np.ascontiguousarray(eight).view(_U).reshape(-1)
-    _, bucket = np.unique(words, return_inverse=True)
-    bucket = bucket.astype(np.int64)
-    for length, step in ((16, 8), (32, 16), (LENGTH, LENGTH - 32)):
-        size = np.bincount(bucket)
-        # a position alone in its bucket is told apart already
-        live = np.flatnonzero(size[bucket] > 1) if length < LENGTH else start[size[bucket[start]] > 1]
-        live = live[live + step < n]
-        pair = (bucket[live].astype(_U) << _U(32)) | bucket[live + step].astype(_U)
-        _, finer = np.unique(pair, return_inverse=True)
-        fresh = bucket.copy() if length < LENGTH else bucket
-        fresh[live] = finer + len(size)
-        bucket = np.unique(fresh, return_inverse=True)[1].astype(np.int64) if length < LENGTH else fresh
-    return bucket[start]
+
+    #: A length's identifiers come from those of the half (or nearest) length, this far apart.
+    STEPS = {16: (8, 8), 32: (16, 16), LENGTH: (32, LENGTH - 32)}
+
+    def __init__(self, piece: np.ndarray):
+        self.piece = piece
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+
+    def at(self, place: int, length: int = LENGTH) -> np.ndarray:
+        out = self._bucket(place, length)
+        for k in [k for k in self.known if k[0] <= place]:
+            del self.known[k]
+        return out
+
+    def _bucket(self, place: int, length: int) -> np.ndarray:
+        if (out := self.known.get((place, length))) is not None:
+            return out
+        if length == 8:
+            words = np.ascontiguousarray(self.piece[:, place : place + 8]).view(_U).reshape(-1)
+            out = np.unique(words, return_inverse=True)[1].astype(np.int32)
+        else:
+            half, step = self.STEPS[length]
+            bucket = self._bucket(place, half)
+            # a position alone in its bucket is told apart already
+            live = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
+            pointer = self._bucket(place + step, half)[live]
+            _, finer = np.unique((bucket[live].astype(_U) << _U(32)) | pointer.astype(_U), return_inverse=True)
+            out = np.arange(len(bucket), dtype=np.int32)
+            out[live] = len(bucket) + finer
+            out = np.unique(out, return_inverse=True)[1].astype(np.int32)
+        self.known[place, length] = out
+        return out
 
 
 def _share(which, edge, n, a, piece, least, kind, owner, mask) -> None:
     """Adds to the masks of the entries of distinct pieces ``which`` what they share with each other."""
     rows = edge[which]
-    count = n[rows].astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    bucket = refine(piece[rows].reshape(-1), row * AROUND + a[rows].astype(np.int64)[row] + nth)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
-    lowest = np.minimum.reduceat(least[which][row][order], cut)
-    first = np.empty(len(row), np.int64)
-    first[order] = np.repeat(lowest, np.diff(np.append(cut, len(order))))
-    # entries compare their document with the least of each string; equal pieces' later entries are settled
-    lo, hi = int(edge[which[0]]), int(edge[which[-1] + 1]) if which[-1] + 1 < len(edge) else len(kind)
-    todo = lo + np.flatnonzero(mask[lo:hi] == 0)
-    back = np.searchsorted(which, kind[todo])
-    real = (back < len(which)) & (which[np.minimum(back, len(which) - 1)] == kind[todo])
-    todo, w = todo[real], back[real]
-    begin, m = np.cumsum(count) - count, count[w]
-    entry = np.repeat(np.arange(len(todo)), m)
-    bit = np.arange(len(entry)) - np.repeat(np.cumsum(m) - m, m)
-    hit = first[begin[w][entry] + bit] < owner[todo][entry]
-    np.bitwise_or.at(mask, todo[entry[hit]], _U(1) << bit[hit].astype(_U))
-
-
-def _share_at(start: int, which, edge, n, a, piece, least, kind, owner, mask) -> None:
-    """``_share`` for the strings that start at one place of their pieces, with a few numbers held for each piece."""
-    rows = edge[which]
-    there = (a[rows] <= start) & (start < a[rows].astype(np.int64) + n[rows])
-    which, rows = which[there], rows[there]
-    if not len(rows):
-        return
-    bucket = np.zeros(len(rows), np.int64)
-    for offset in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-        words = np.ascontiguousarray(piece[rows, start + offset : start + offset + 8]).view(_U).reshape(-1)
-        _, later = np.unique(words, return_inverse=True)
-        _, bucket = np.unique((bucket.astype(_U) << _U(32)) | later.astype(_U), return_inverse=True)
-    lowest = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(lowest, bucket, least[which])
+    first, count = a[rows].astype(np.int64), n[rows].astype(np.int64)
+    refined = Refined(piece[rows])
     lo, hi = int(edge[which[0]]), int(edge[which[-1] + 1]) if which[-1] + 1 < len(edge) else len(kind)
-    entry = lo + np.flatnonzero(mask[lo:hi] != _full(n[lo:hi]))
-    back = np.searchsorted(which, kind[entry])
-    real = (back < len(which)) & (which[np.minimum(back, len(which) - 1)] == kind[entry])
-    entry, back = entry[real], back[real]
-    hit = lowest[bucket[back]] < owner[entry]
-    bit = (start - a[entry[hit]].astype(np.int64)).astype(_U)
-    mask[entry[hit]] |= _U(1) << bit
+    for start in range(REACH + 1):
+        bucket = refined.at(start)
+        there = (first <= start) & (start < first + count)
+        if not there.any():
+            continue
+        # entries compare their document with the least of each string; those that are covered whole are settled
+        lowest = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, bucket[there], least[which][there])
+        entry = lo + np.flatnonzero(mask[lo:hi] != _full(n[lo:hi]))
+        back = np.minimum(np.searchsorted(which, kind[entry]), len(which) - 1)
+        real = (which[back] == kind[entry]) & there[back]
+        entry, back = entry[real], back[real]
+        hit = entry[lowest[bucket[back]] < owner[entry]]
+        mask[hit] |= _U(1) << (start - a[hit].astype(np.int64)).astype(_U)
 
 
 def _settle(parts: int):
@@ -450,11 +441,7 @@ def _settle(parts: int):
             stop = int(heads[nxt]) if nxt >= 0 and heads[nxt] > at else (int(heads[nxt + 1]) if nxt + 1 < len(heads) else len(which))
             if len(which) - at <= PIECES:
                 stop = len(which)
-            if stop - at <= PIECES:
-                _share(which[at:stop], edge, n, a, piece, least, kind, owner, mask)
-            else:  # one q-gram in very many surroundings: equal strings have it at the same place, so place by place
-                for place_in in range(REACH + 1):
-                    _share_at(place_in, which[at:stop], edge, n, a, piece, least, kind, owner, mask)
+            _share(which[at:stop], edge, n, a, piece, least, kind, owner, mask)
             at = stop
         keep = mask > 0
         yield _rows(_deal(part[keep], 1, [text[keep], place[keep], a[keep], mask[keep]], _mask_block))
