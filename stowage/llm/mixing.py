@@ -14,19 +14,22 @@ t + b (t^2 - t), and the words demanded before a document, divided by the
 target, are put through that integral's inverse to give the document's
 position.  Documents are range-sorted by position.
 
-The order inside a source is summed in two steps, first over hash ranges and
-then inside a range, so a source that holds a third of all rows is many
-groups of a few thousand rows.
+The order inside a source is summed in two steps: rows are range-partitioned by
+source and order, partitions' totals give the offsets, and a running sum inside
+a partition does the rest.  The order ends in a row number that breaks ties, so
+a source, a null id or copies of one row that hold a third of all rows are cut
+into partitions like others.
 
 Edge cases: null or empty texts have size 0, are taken 0 words and have no
 position; a null source is a source; a source without words has target 0;
-repeated rows are rows of their own; an empty table gives an empty result.
+null ids stand together, in order of text hash; repeated rows are rows of their
+own, and which of equal ones is taken more is all the same; very long texts are
+counted whole; other columns are kept in training order, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,8 +41,6 @@ SHARE = 1.5
 CAP = 2
 #: Early, even and late sources, in turn.
 SLOPES = (-0.5, 0.0, 0.5)
-#: Rows that one hash range holds about.
-RANGE_ROWS = 4096
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -74,23 +75,27 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
     """doc_id, source, size, source_size, target, taken, text_hash, positions (one for each time the document is taken)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["h", "doc_id", "text_hash", "tie"]
     sizes = scratch.keep(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
-        ).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
+            F.monotonically_increasing_id().alias("tie"),
+        )
+        .withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
+        .repartitionByRange(parts, "source", *order)
+        .withColumn("part", F.spark_partition_id())
     )
     wanted = scratch.keep(targets(sizes))
-    bits = min(32, max(1, math.ceil(math.log2(max(2.0, sizes.count() / RANGE_ROWS)))))
-    ranged = sizes.withColumn("range", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits))
-    per = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    per = per.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    plan = per.join(wanted, per["source"].eqNullSafe(wanted["source"])).select(per["source"], "range", "base", "source_size", "target", "slope")
-    inside = W.partitionBy("source", "range").orderBy("h", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, 0)
-    rows = ranged.withColumn("upto", F.sum("size").over(inside))
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["source"]) & (rows["range"] == plan["range"])).select(
+    per = sizes.groupBy("source", "part").agg(F.sum("size").alias("words"))
+    per = per.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    plan = per.join(wanted, per["source"].eqNullSafe(wanted["source"])).select(per["source"], "part", "base", "source_size", "target", "slope")
+    inside = W.partitionBy("source", "part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = sizes.withColumn("upto", F.sum("size").over(inside))
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["source"]) & (rows["part"] == plan["part"])).select(
         "doc_id", rows["source"], "size", "text_hash", (F.col("base") + F.col("upto") - F.col("size")).alias("before"), "source_size", "target", "slope"
     )
     whole = F.round("target").cast("long")
