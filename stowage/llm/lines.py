@@ -28,8 +28,10 @@ removals doesn't matter.  Lines without a word stay.
 
 Edge cases: a null text has no lines; an empty text is one empty line; null
 ids come before all others; lines of rows of equal id stand at the same place
-when their numbers are equal, and don't remove each other; an empty table
-gives an empty result; other columns are kept as they are.
+when their numbers are equal, and don't remove each other; very long texts
+and lines are read whole; lines of equal similarity to several are removed by
+any of them; other columns, whatever their names, are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -616,3 +618,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"), texts=False)
+
+
+ORACLE = """
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM split),
+sets AS (
+  SELECT doc_id, n, line, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+'))) AS s FROM lines),
+classes AS (SELECT s, len(s) AS m, min({'d': doc_id, 'n': n}) AS place, row_number() OVER () AS k FROM sets WHERE len(s) > 0 GROUP BY s),
+words AS (SELECT k, m, place, unnest(s) AS t FROM classes),
+often AS (SELECT t, count(*) AS f FROM words GROUP BY t),
+ranked AS (SELECT k, m, place, t, row_number() OVER (PARTITION BY k ORDER BY f, t) AS r FROM words JOIN often USING (t)),
+prefixes AS (SELECT * FROM ranked WHERE r <= m - (75 * m + 99) // 100 + 1),
+pairs AS (
+  SELECT DISTINCT a.k AS late, b.k AS early FROM prefixes a JOIN prefixes b ON a.t = b.t AND b.place < a.place
+  WHERE 100 * least(a.m, b.m) >= 75 * greatest(a.m, b.m)),
+near AS (
+  SELECT DISTINCT late FROM (SELECT late, x.m + y.m AS m, len(list_intersect(x.s, y.s)) AS i FROM pairs JOIN classes x ON x.k = late JOIN classes y ON y.k = early)
+  WHERE 100 * i >= 75 * (m - i)),
+judged AS (
+  SELECT sets.doc_id, sets.n, line, c.k IS NOT NULL AND ({'d': sets.doc_id, 'n': sets.n} > place OR near.late IS NOT NULL) AS gone
+  FROM sets LEFT JOIN classes c ON c.s = sets.s LEFT JOIN near ON near.late = c.k),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone) AS t FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""

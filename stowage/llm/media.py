@@ -12,7 +12,10 @@ Only the rows of the integral image that edges need are kept, so memory
 follows the stored image and the tile.
 
 Edge cases: null and empty texts are one block of 576 bytes of 255; null ids
-and repeated rows are rows of their own; an empty table gives an empty result.
+and repeated rows are rows of their own; equal texts give equal values; a very
+long text is one image of as many rows, its image held once a text; other
+columns, whatever their names, are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import CRC_TABLE, crc_sql, read
 
 UNIT, WIDTH, PAD = 576, 24, 255
 TILE = (9, 8)
@@ -152,7 +155,7 @@ def area_resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
     sums = rows[:, x] * (width - fx) + rows[:, x + 1] * fx
     cells = sums[1:, 1:] - sums[:-1, 1:] - sums[1:, :-1] + sums[:-1, :-1]
     area = h * w
-    return ((2 * cells + area) // (2 * area)).astype(np.uint8)
+    return np.ascontiguousarray((2 * cells + area) // (2 * area), np.uint8)
 
 
 def difference_hash(tile: np.ndarray) -> str:
@@ -211,3 +214,30 @@ def features(media: DataFrame) -> DataFrame:
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(store(read(spark, sf_dir, "documents")))
+
+
+_HEAD = npy(np.zeros(TILE[::-1], np.uint8))[: -TILE[0] * TILE[1]].hex()
+# the payload as hex; each of its bytes with the parts of the tile's cells it covers, in units of 1/72 of a pixel
+ORACLE = f"""
+WITH {CRC_TABLE},
+raw AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT *, CASE WHEN n = 0 THEN {UNIT} ELSE (n + {UNIT - 1}) // {UNIT} * {UNIT} END AS p FROM raw),
+padded AS (SELECT doc_id, n, p, p // {WIDTH} AS rows, h || repeat('FF', CAST(p - n AS INT)) AS h FROM sized),
+stored AS (SELECT *, unhex(hex(encode('P5' || chr(10) || '{WIDTH} ' || rows || chr(10) || '255' || chr(10))) || h) AS media FROM padded),
+octets AS (
+  SELECT doc_id, rows, i // {WIDTH} AS y, i % {WIDTH} AS x, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT AS v FROM (SELECT doc_id, rows, h, unnest(range(0, p)) AS i FROM padded)),
+sums AS (
+  SELECT doc_id, rows, cy, x, sum(v * (least({TILE[1]} * y + {TILE[1]}, (cy + 1) * rows) - greatest({TILE[1]} * y, cy * rows))) AS s
+  FROM octets, range(0, {TILE[1]}) r(cy) WHERE cy * rows < {TILE[1]} * y + {TILE[1]} AND {TILE[1]} * y < (cy + 1) * rows GROUP BY ALL),
+cells AS (
+  SELECT doc_id, cy, cx, any_value(rows) * {WIDTH} AS area, sum(s * (least({TILE[0]} * x + {TILE[0]}, (cx + 1) * {WIDTH}) - greatest({TILE[0]} * x, cx * {WIDTH}))) AS s
+  FROM sums, range(0, {TILE[0]}) r(cx) WHERE cx * {WIDTH} < {TILE[0]} * x + {TILE[0]} AND {TILE[0]} * x < (cx + 1) * {WIDTH} GROUP BY doc_id, cy, cx),
+means AS (SELECT doc_id, cy, cx, CAST((2 * s + area) // (2 * area) AS BIGINT) AS m FROM cells),
+signs AS (SELECT doc_id, cy, cx, m, CASE WHEN m > lag(m) OVER (PARTITION BY doc_id, cy ORDER BY cx) THEN 1 << CAST(8 - cx AS INT) ELSE 0 END AS bit FROM means),
+lines AS (SELECT doc_id, cy, printf('%02x', CAST(sum(bit) AS BIGINT)) AS b, string_agg(printf('%02x', m), '' ORDER BY cx) AS t FROM signs GROUP BY doc_id, cy),
+tiles AS (SELECT doc_id, string_agg(b, '' ORDER BY cy) AS feature, unhex('{_HEAD}' || string_agg(t, '' ORDER BY cy)) AS tile FROM lines GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(p AS BIGINT) AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+       CAST({crc_sql("list_transform(range(0, 32), lambda i: ('0x' || substr(h, CAST(2 * (p - 32 + i) + 1 AS BIGINT), 2))::BIGINT)")} AS BIGINT) AS tail_crc32,
+       CAST(octet_length(media) AS BIGINT) AS media_bytes, sha256(media) AS media_sha256, feature, CAST(rows AS INT) AS height, {WIDTH} AS width, tile
+FROM stored JOIN tiles USING (doc_id), crc
+"""

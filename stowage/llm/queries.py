@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_media": media.ORACLE,
+    "op3_lines": lines.ORACLE,
     "op4_neardup": neardup.ORACLE,
+    "op7_sharding": sharding.ORACLE,
     "op9_repeats": repeats.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
