@@ -88,16 +88,31 @@ def test_language_edges(spark, edge, empty, clash):
     rows = {r["doc_id"]: r for r in language.predict(edge, model).collect()}
     assert rows[4]["lang_pred"] == rows[5]["lang_pred"] == rows[14]["lang_pred"] == "und" and rows[4]["score"] == 0
     assert rows[1]["lang_pred"] == "en" and 0 < rows[1]["score"] <= 1
-    assert language.predict(edge, language.Model({})).where("lang_pred <> 'und'").count() == 0
+    assert language.predict(edge, language.Model({})).where("lang_pred <> 'und' OR recognised").count() == 0
     assert language.identify(empty).count() == 0
     out = language.predict(clash, model)
     assert out.columns[: len(clash.columns)] == clash.columns and "lang_pred_" in out.columns
 
 
+def test_language_does_not_recognise_what_it_never_learned(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.Model(language.sample(docs))
+    known = language.predict(docs, model)
+    assert known.where("NOT recognised AND lang_pred <> 'und'").count() == 0
+    alien = table(spark, [(1, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 5), (2, "qzxj vkqw xzjq " * 40), (3, "速い茶色の狐がのろまな犬を飛び越える。" * 12)])
+    assert language.predict(alien, model).where("recognised").count() == 0
+
+
+def test_language_ties_and_repeated_rows(spark):
+    model = language.Model({"b": ["same text here"], "a": ["same text here"]})
+    rows = language.predict(table(spark, [(1, "same text"), (1, "same text"), (None, "same text")]), model).collect()
+    assert {r["lang_pred"] for r in rows} == {"a"} and len({r["score"] for r in rows}) == 1
+
+
 # --- 2
 
 
-def test_media_round_trip(spark, edge, empty):
+def test_media_round_trip(spark, edge, empty, clash):
     want = sorted((r[0], r[1]) for r in edge_rows() if r[0] is not None)
     for form in ("pgm", "bmp"):
         got = media.features(media.store(edge, form)).where("doc_id IS NOT NULL").collect()
@@ -110,6 +125,10 @@ def test_media_round_trip(spark, edge, empty):
             r = by[i]
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
     assert media.features(media.store(empty)).count() == 0
+    null = [tuple(r)[1:] for r in media.features(media.store(edge)).where("doc_id IS NULL").collect()]
+    same = [tuple(r)[1:] for r in media.features(media.store(edge)).where("doc_id = 1").collect()]
+    assert null == same  # equal texts, equal values
+    assert sorted(map(str, media.features(media.store(clash)).collect())) == sorted(map(str, media.features(media.store(edge)).collect()))
 
 
 def test_media_formats_and_resize():
@@ -159,8 +178,18 @@ def test_lines(spark, sf_dir, edge, which):
     assert {k: sorted(v) for k, v in got.items()} == plain_lines(rows)
 
 
-def test_lines_empty(empty):
+def test_lines_empty_and_clashing(empty, edge, clash):
     assert lines.dedup_lines(empty).count() == 0
+    assert sorted(map(str, lines.dedup_lines(clash).collect())) == sorted(map(str, lines.dedup_lines(edge).collect()))
+
+
+def test_lines_ties(spark):
+    """Two earlier lines equally near, one of them removed itself, and one id with two texts."""
+    rows = [(1, "a b c d"), (2, "a b c d e\na b c d f"), (3, "a b c d g\nz y x w v"), (3, "z y x w u\nz y x w v"), (4, "z y x w v t")]
+    got = {}
+    for r in lines.dedup_lines(table(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_lines"], r["n_removed"], r["kept_sha256"]))
+    assert {k: sorted(v) for k, v in got.items()} == plain_lines(rows)
 
 
 # --- 4
@@ -211,6 +240,55 @@ def test_neardup_chain_and_large_group(spark):
     assert sorted((tuple(r) for r in got), key=str) == plain_neardup(rows)
 
 
+def test_neardup_equal_ids_of_different_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words[:20]), " ".join(words[30:50])
+    # 1 has two texts; 2 is like the first, 3 like the second, 5 and 5 are like each other, 7 stands alone beside a copy of a
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (5, "other one two three four five six seven eight"), (5, "OTHER one two three four five six seven eight"), (0, b + " z"), (7, a), (7, "quite a different text of its own words")]
+    got = neardup.near_duplicates(table(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_neardup(rows)
+    left = sorted((r["doc_id"], r["text"]) for r in neardup.distinct_documents(table(spark, [*rows, (None, a), (4, None), (4, None)])).collect() if r["doc_id"] is not None)
+    assert [i for i, _ in left] == [0, 1, 4, 5, 7] and dict(left)[1] == a and dict(left)[7].startswith("quite")
+
+
+def test_neardup_of_templates_sends_no_pairs(spark, monkeypatch):
+    """Documents of 60 shared segments, each kept with 0.84: most pairs are near 0.72, and no likelihood tells."""
+    rng = np.random.default_rng(5)
+    segments = [" ".join(f"s{k}w{j}" for j in range(6)) for k in range(60)]
+    rows = [(i, " ".join(x for x, u in zip(segments, rng.random(60), strict=True) if u < 0.84)) for i in range(2000)]
+    sent = []
+
+    def counted(name):
+        plain = getattr(neardup, name)
+
+        def run(*args):
+            out = plain(*args)
+            sent.append(out.count())
+            return out
+
+        monkeypatch.setattr(neardup, name, run)
+
+    counted("light_pairs")
+    counted("family_links")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    assert len(sent) == 2 and sum(sent) < 20 * len(rows)
+    sets = [shingles(t) for _, t in rows]
+    ids = {e: k for k, e in enumerate(set().union(*sets))}
+    member = np.zeros((len(rows), len(ids)), np.float32)
+    for k, x in enumerate(sets):
+        member[k, [ids[e] for e in x]] = 1
+    common = member @ member.T
+    size = member.sum(1)
+    near = 100 * common >= 75 * (size[:, None] + size[None, :] - common)
+    label = np.arange(len(rows))
+    while True:
+        lower = np.where(near, label[None, :], len(rows)).min(1)
+        if (lower == label).all():
+            break
+        label = lower
+    assert [got[i] for i in range(len(rows))] == label.tolist()
+
+
 def test_neardup_empty(empty, clash):
     assert neardup.near_duplicates(empty).count() == 0
     assert neardup.near_duplicates(clash).count() == clash.count()
@@ -228,21 +306,128 @@ def test_registers_merge_and_estimate():
 # --- 5
 
 
-def test_secrets(spark, empty):
+def secret_rows():
     rng = np.random.default_rng(2)
     hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
     rows = [(i, f'some plain words here then token = "{h}" and more of the same words follow here') for i, h in enumerate(hexes[:40])]
     rows += [(100 + i, f"call +1 (262) 555-3752 or card 4451718024887{i:03d} some plain words here and release-2024-notes{i} follow") for i in range(40)]
     rows += [(200 + i, f"password={h[:18]} plain words") for i, h in enumerate(hexes[40:])]
-    rows += [(300, None), (301, ""), (None, "token = abcdef0123456789abcdef01")]
+    # what rules by key alone would take for secrets
+    rows += [(400 + i, f"api_key={x} plain words") for i, x in enumerate(("your-api-key-here", "xxxxxxxxxxxxxxxxxxxx", "000000000000000000000000", "changeme-changeme"))]
+    rows += [(500 + i, f'commit = "{h}" plain words and more') for i, h in enumerate(hexes[:10])]
+    return [*rows, (300, None), (301, ""), (None, "token = abcdef0123456789abcdef01")]
+
+
+def test_secrets(spark, empty):
+    rows = secret_rows()
     got = secrets.scan(table(spark, rows)).collect()
     found = {r["doc_id"] for r in got if r["secret"]}
-    assert found >= set(range(40)) | set(range(200, 220)) and not found & set(range(100, 140))
+    assert found >= set(range(40)) | set(range(200, 220)) | {None} and not found & {*range(100, 140), *range(400, 404), *range(500, 510)}
     again = sorted((str(r["doc_id"]), r["nth"], r["score"]) for r in secrets.scan(table(spark, rows)).collect())
     assert again == sorted((str(r["doc_id"]), r["nth"], r["score"]) for r in got)
     assert secrets.scan(empty).count() == 0
-    plan = secrets.scan(table(spark, rows))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_secrets_learn_planted_findings(spark, sf_dir, tmp_path):
+    """Held out by carrier: precision and recall, and the keys named for secrets whose values the forest clears."""
+    from stowage.llm.common import Scratch
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark, "test")
+    words = secrets.vocabulary(docs, scratch)
+    dictionary = [r[0] for r in words.where("length(word) >= 3").orderBy(F.desc("n"), "word").limit(secrets.WORDS).collect()]
+    rows = scratch.keep(secrets.described(secrets.planted(docs), dictionary, secrets.transitions(words)))
+    held = F.pmod(F.xxhash64(F.substring_index("doc_id", "/", 1)), F.lit(4)) == 0
+    out = rows.where(held).withColumn("hit", secrets.forest(rows.where(~held)) >= 0.5).select("label", "hit", "key", "named").collect()
+    right = sum(r["hit"] and r["label"] == 1 for r in out)
+    assert right >= 0.95 * sum(r["hit"] for r in out) and right >= 0.95 * sum(r["label"] == 1 for r in out)
+    alike = [r for r in out if r["label"] == 0 and r["named"] == 1]
+    assert len(alike) > 20 and sum(not r["hit"] for r in alike) >= 0.9 * len(alike)
+    # values of one form have both labels, so no rule on the value alone gives them
+    both = rows.where("hex = 1 AND size IN (32, 40, 64)").groupBy("size").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).collect()
+    assert all(r["lo"] == 0 and r["hi"] == 1 for r in both) and len(both) == 3
+
+
+def test_secrets_learn_given_findings(spark):
+    """Findings that say the opposite of the planted ones are followed."""
+    docs = table(spark, secret_rows())
+    found = secrets.candidates(docs).where("doc_id IS NOT NULL")
+    labels = found.select("doc_id", "nth", "part", F.col("value").rlike("^[0-9]{16}$").cast("double").alias("label"))
+    got = secrets.scan(docs, labels).where("doc_id IS NOT NULL").collect()
+    wanted = {r["doc_id"] for r in got if len(r["value"]) == 16 and r["value"].isdigit()}
+    assert {r["doc_id"] for r in got if r["secret"]} == wanted == set(range(100, 140))
+    one = secrets.scan(docs, labels.where("label = 1")).agg(F.min("score")).first()[0]
+    assert one == 1.0 and secrets.scan(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0.0
+
+
+def test_secrets_edges(spark, edge, clash):
+    plain = sorted(map(str, secrets.scan(edge).select("doc_id", "nth", "part", "score").collect()))
+    assert sorted(map(str, secrets.scan(clash).select("doc_id", "nth", "part", "score").collect())) == plain
+    h = "9f86d081884c7d659a2feaa0c55ad015"
+    word = ",".join(f'"k{k}":"{h}{k}"' for k in range(3000))
+    rows = [(1, word), (2, f"token={h}"), (2, f"token={h}"), (3, f"token={h}")]
+    got = secrets.scan(table(spark, rows)).collect()
+    assert sum(r["doc_id"] == 1 for r in got) == 3000 and len({r["score"] for r in got if r["doc_id"] != 1}) == 1 and len(got) == 3003
+
+
+def plain_candidates(text):
+    """nth, value of a text's candidates, word by word in plain Python."""
+    import re
+
+    out = []
+    ws = re.split(r"[ \t\n\x0B\f\r]+", text)
+    for k, w in enumerate(ws):
+        led = k > 0 and (re.search(r"[=:]$", ws[k - 1]) or re.search(r"^=>$", ws[k - 1]))
+        name = ws[k - 2] if k > 1 and re.fullmatch(r"[=:]+|=>|:=", ws[k - 1]) else re.sub(r"[=:]+$", "", ws[k - 1]) if k > 0 and re.search(r"[=:]$", ws[k - 1]) else ""
+        if len(w) < 12 or not re.search(r"[A-Za-z0-9+/_-]{12,}", w) or not (re.search(r"[0-9=:]", w) or led):
+            continue
+        joined = re.sub(r"[\"'`\\]*([=:]+)[(\[]*[\"'`\\]*", r"\1", w)
+        segments = [s for s in re.split(r"[,;&?|<>{}()\[\]\"'`\\]+", joined) if s]
+        for n, s in enumerate(segments):
+            m = re.match(r"((?:[A-Za-z_][A-Za-z0-9_.-]*[=:]+)*[A-Za-z_][A-Za-z0-9_.-]*)[=:]+[^=:]", s)
+            key = m.group(1) if m else ""
+            last = re.search(r"([A-Za-z_][A-Za-z0-9_.-]*)$", key)
+            if last and re.search(secrets.FORMATS, last.group(1)):
+                key = ""
+            rest = re.sub("^[=:]+", "", s[len(key) :])
+            assigned = (key and not rest.startswith("//")) or (name and n == 0 and not key)
+            for v in re.findall(r"eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+|[A-Za-z0-9+/_-]{12,}={0,2}", rest):
+                if assigned or re.search("[0-9]", v):
+                    out.append((k + 1, v))
+    return out
+
+
+def test_secret_candidates_equal_a_plain_scan(spark, sf_dir):
+    rows = [r[:2] for r in docs_of(spark, sf_dir)] + [(10_000 + i, t) for i, (_, t) in enumerate(secret_rows()) if t]
+    rows.append((20_000, "Bearer eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM then {'a':'0123456789abc','b':[\"zyxwvutsrqp9\"]} x=abcdefghijklmnop"))
+    got = {}
+    for r in secrets.candidates(table(spark, rows)).orderBy("doc_id", "nth", "part").collect():
+        got.setdefault(r["doc_id"], []).append((r["nth"], r["value"]))
+    want = {i: c for i, t in rows if t and (c := plain_candidates(t))}
+    assert got == want and len(want) > 60
+
+
+def python_stages(spark, run):
+    """Whether any job of run() used a Python worker, told by the plans of all its executions."""
+    seen = []
+    jvm = spark._jsparkSession.sharedState().statusStore()
+    before = {e.executionId() for e in _listed(jvm.executionsList())}
+    run()
+    for e in _listed(jvm.executionsList()):
+        if e.executionId() not in before:
+            seen.append(e.physicalPlanDescription())
+    return len(seen), [p for p in seen if any(x in p for x in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas", "PythonUDF", "FlatMapGroups", "FlatMapCoGroups", "RDDScan"))]
+
+
+def _listed(seq):
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def test_native_operators_run_no_python(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for run in (lambda: secrets.scan(docs).count(), lambda: mixing.mix(docs).count(), lambda: mixing.training_order(docs).count()):
+        n, python = python_stages(spark, run)
+        assert n > 1 and not python
 
 
 def test_secrets_all_candidates_of_a_word(spark):
@@ -278,7 +463,7 @@ def test_toxicity_grammar():
     toxic = [f"{w(k)} {w(k + 1)}. you are {w(k)} scum {w(k + 3)} lowei{'abcdefghij'[k % 10]}x" for k in range(60)]
     clean = [f"{w(k)} {w(k + 1)}. they are {w(k)} fine {w(k + 3)} and so on" for k in range(60)]
     model = toxicity.Model(toxic, clean, 0.0)
-    assert "scum" in model.words and "lowei" in model.stems
+    assert "scum" in model.words and any("lowei".startswith(x) or x.startswith("lowe") for x in model.stems)
     for text, want in (("total scum.", True), ("loweizzz", True), ("nothing here", False), ("", False)):
         assert (model.score(text)[0] >= 0.5) == want
     assert model.score("he said scum")[1] == "told+target" and model.score("not scum")[1] == "denied"
@@ -304,6 +489,79 @@ def test_toxicity_learns_rare_words_and_stems():
     assert model.classify("schurkel")[0] == toxicity.X and model.classify("schurkqq")[0] == toxicity.I
 
 
+def labelled_rows(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").where("text IS NOT NULL").orderBy("doc_id").select("doc_id", "text", "lang", "toxic").collect()
+    fold = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0
+    learned = toxicity.learn(docs, labels)
+    return learned, [r for r in rows if fold(r)]
+
+
+def test_toxicity_held_out(spark):
+    """Recall and precision on the held-out fold, for each language with 10 toxic texts there; the order of negation, report and address."""
+    import os
+
+    sf_dir = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables here")
+    model, held = labelled_rows(spark, sf_dir)
+    tested = 0
+    for lang in {r["lang"] for r in held}:
+        rows = [(r["toxic"], model.score(r["text"])[0] >= 0.5) for r in held if r["lang"] == lang]
+        toxic, found = sum(t for t, _ in rows), sum(t and s for t, s in rows)
+        if toxic >= 10:
+            tested += 1
+            assert found >= 0.9 * toxic and found >= 0.9 * sum(s for _, s in rows), lang
+    assert tested >= 3
+    word = max(model.words, key=model.words.get)
+    plain, denied, told, address = (model.score(t)[0] for t in (f"a {word}", f"not {word}", f"she said {word}", f"you {word}"))
+    assert denied < told < plain < address and plain >= 0.5
+    assert model.weights["denied"] < 0 and model.weights["told"] < 0 and model.weights["insult+target"] > model.weights["insult"]
+    assert model.score("kill time, then it may hurt a little")[0] < 0.2
+
+
+def paths(grammar, labels):
+    """Every path of a transducer over the labels: (weight, output)."""
+    live = [(0, 0.0, [])]
+    for x in labels:
+        live = [(b, w + v, [*out, y]) for a, w, out in live for y, v, b in grammar.arcs.get((a, x), ())]
+    return [(w, out) for a, w, out in live if grammar.ends(a)]
+
+
+def test_toxicity_best_path_equals_all_paths():
+    rng = np.random.default_rng(8)
+    grammar = toxicity.negation().compose(toxicity.reporting()).compose(toxicity.targeting(toxicity.PRIORS))
+    stages = toxicity.negation(), toxicity.reporting(), toxicity.targeting(toxicity.PRIORS)
+    several = 0
+    for _ in range(300):
+        labels = rng.choice(toxicity.CLASSES, int(rng.integers(1, 9)), p=[0.3, 0.1, 0.15, 0.15, 0.1, 0.1, 0.1]).tolist()
+        every = paths(grammar, labels)
+        several += len(every) > 1
+        weight, out = grammar.best(labels)
+        assert abs(weight - max(w for w, _ in every)) < 1e-9 and any(o == out and abs(w - weight) < 1e-9 for w, o in every)
+        # the composition has the paths of the stages one after the other
+        one_by_one = [(w1 + w2 + w3, o3) for w1, o1 in paths(stages[0], labels) for w2, o2 in paths(stages[1], o1) for w3, o3 in paths(stages[2], o2)]
+        assert sorted((round(w, 9), tuple(o)) for w, o in every) == sorted((round(w, 9), tuple(o)) for w, o in one_by_one)
+    assert several > 100
+
+
+def test_toxicity_acceptor_equals_all_spans():
+    rng = np.random.default_rng(9)
+    w = lambda k: f"w{chr(97 + k % 26)}{chr(97 + k // 26)}"
+    toxic = [f"{w(k)} grobian {w(k + 1)}" for k in range(60)]
+    model = toxicity.Model(toxic, [f"{w(k)} fine {w(k + 1)} and more of it" for k in range(300)], -2.0)
+    assert model.a_word > 0
+    for _ in range(100):
+        text = ". ".join(" ".join(rng.choice(["grobian", "not", "you", "a", "b", "c", "said"], int(rng.integers(1, 7)))) for _ in range(int(rng.integers(1, 7))))
+        parts = list(model.clauses(text))
+        spans = [sum(v - model.a_word * n for n, v, _ in parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1) if parts[j - 1][2]]
+        weight, found = model.path(text)
+        assert bool(found) == bool(spans) and (not spans or abs(weight - (max(spans) - math.log(len(parts)))) < 1e-9)
+    # a repeated clause counts once, a match in a long text less than in a short one
+    assert model.path("a grobian. a grobian. a grobian") == model.path("a grobian")
+    assert model.path("a grobian")[0] > model.path("a grobian. " + ". ".join(f"clause {w(k)}" for k in range(200)))[0]
+
+
 def test_transducers_compose():
     a, b = toxicity.Transducer(), toxicity.Transducer()
     a.arc(0, "x", "y", 1, 1.0)
@@ -313,8 +571,9 @@ def test_transducers_compose():
     assert a.compose(b).best(["x", "x", "x"]) == (1.5 + 2.25 + 1.5, ["p", "q", "p"])
 
 
-def test_toxicity_edges(spark, edge, empty):
-    rows = toxicity.scored(edge, toxicity.Model([], [], -2.0)).collect()
+def test_toxicity_edges(spark, edge, empty, clash):
+    rows = toxicity.scored(clash, toxicity.Model([], [], -2.0)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, toxicity.scored(edge, toxicity.Model([], [], -2.0)).collect()))
     assert len(rows) == len(edge_rows()) and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in rows)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.scored(empty, toxicity.learn(empty, labels)).count() == 0
@@ -380,6 +639,34 @@ def test_decontaminate(spark, edge, empty):
     assert decontaminate.contaminated(edge, bench.limit(0)).where(F.size("hits") > 0).count() == 0
 
 
+def test_decontaminate_clash_and_several_passes(spark, clash):
+    rng = np.random.default_rng(6)
+    items = [(k, " ".join(f"item{k}w{int(x)}" for x in rng.integers(0, 1000, 12))) for k in range(9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"start {items[i % 9][1]} between {items[(i * 5 + 1) % 9][1]} end") for i in range(30)] + [(50, None), (51, "clean words"), (None, items[0][1])]
+    docs = table(spark, rows)
+    for most, at_once in ((decontaminate.BLOCK_BYTES, 8), (300, 1), (300, 2)):  # one block, a pass for each of several, two in a pass
+        got = decontaminate.contaminated(docs, bench, most=most, pass_blocks=at_once).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            want = {k for k, t in items if t in (r["text"] or "")}
+            assert sorted(h["item_id"] for h in r["hits"]) == sorted(want)
+            for h in r["hits"]:
+                assert r["text"].encode()[h["start"] : h["stop"]].decode() == items[h["item_id"]][1] and h["edits"] == 0
+    out = decontaminate.contaminated(clash, bench)
+    assert out.columns == [*clash.columns, "hits_"] and out.count() == clash.count()
+
+
+def test_decontaminate_of_frequent_grams_in_bounded_steps(monkeypatch):
+    monkeypatch.setattr(decontaminate, "ENTRIES", 50)
+    items = [(k, f"the same words begin each item of this set and then comes number {k} here") for k in range(40)]
+    known = decontaminate.Items(items)
+    text = " | ".join(t for _, t in items[:7]).encode()
+    found = list(known.found(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+    exact = {i for _, i, _, _, e in found if e == 0}
+    assert exact == set(range(7)) and all(e <= known.edits[i] for _, i, _, _, e in found)
+
+
 def test_decontaminate_in_blocks(spark):
     bench = spark.createDataFrame([(k, f"passage number {k} of the benchmark set with words") for k in range(20)], "item_id long, text string")
     parts = list(decontaminate.item_blocks(bench, most=200))
@@ -414,7 +701,7 @@ def plain_repeats(rows):
 @pytest.mark.parametrize("which", ["edge", "table", "passages"])
 def test_repeats(spark, sf_dir, which):
     if which == "edge":
-        rows = [r[:2] for r in edge_rows() if r[0] not in (10, 11)] + [(20, "ab" * 80), (21, "ab" * 60 + "c"), (22, "x" * 49), (23, "x" * 49), (24, "é" * 60), (25, "y" + "é" * 40)]
+        rows = [(r[0], r[1][:4000] if r[0] in (10, 11) else r[1]) for r in edge_rows()] + [(20, "ab" * 80), (21, "ab" * 60 + "c"), (22, "x" * 49), (23, "x" * 49), (24, "é" * 60), (25, "y" + "é" * 40)]
     elif which == "table":
         rows = [r[:2] for r in docs_of(spark, sf_dir, 100)]
     else:
@@ -430,34 +717,47 @@ def test_repeats(spark, sf_dir, which):
     assert sorted((tuple(r) for r in got), key=str) == plain_repeats(rows)
 
 
-def test_repeats_empty(empty):
+def test_repeats_empty_long_and_clashing(empty, edge, clash):
     assert repeats.repeated_spans(empty).count() == 0
+    got = {r["doc_id"]: tuple(r) for r in repeats.repeated_spans(edge).collect() if r["doc_id"] in (10, 11)}
+    long, tail = (dict((r[0], r[1]) for r in edge_rows())[i].encode() for i in (10, 11))  # 11 is 10 and " tail"
+    assert got[10][1] == len(long) and got[11][1:4] == (len(tail), len(long) + 1, 1)
+    assert got[11][4] == hashlib.sha256(b"tail").hexdigest()  # the text repeats itself, so the blank is covered too
+    assert sorted(map(str, repeats.repeated_spans(clash).collect())) == sorted(map(str, repeats.repeated_spans(edge).collect()))
 
 
 def test_bucket_refinement_equals_strings():
     rng = np.random.default_rng(3)
-    data = rng.choice(np.frombuffer(b"ab", np.uint8), 40 * repeats.AROUND)
-    data[: 4 * repeats.AROUND] = np.tile(data[: repeats.AROUND], 4)
-    start = np.concatenate([r * repeats.AROUND + np.arange(repeats.REACH + 1) for r in range(40)])
-    got = repeats.refine(data, start)
-    strings = [data[s : s + 50].tobytes() for s in start]
-    assert len(set(zip(got.tolist(), strings, strict=True))) == len(set(strings)) == len(set(got.tolist()))
+    piece = rng.choice(np.frombuffer(b"ab", np.uint8), (40, repeats.AROUND))
+    piece[:4] = piece[0]
+    refined = repeats.Refined(piece)
+    for place in range(repeats.REACH + 1):
+        strings = [p[place : place + 50].tobytes() for p in piece]
+        got = refined.at(place).tolist()
+        assert len(set(zip(got, strings, strict=True))) == len(set(strings)) == len(set(got))
 
 
-def test_place_by_place_sharing_equals_all_at_once():
+def test_sharing_within_a_q_gram_of_many_pieces():
+    """10,000 distinct surroundings of one q-gram, sorted at once, against a plain count of strings."""
     rng = np.random.default_rng(11)
-    many, width = 300, repeats.AROUND
+    many, width = 10_000, repeats.AROUND
     piece = np.tile(rng.integers(0, 256, width, dtype=np.uint8), (many, 1))  # equal strings stand at equal places
-    piece ^= rng.choice(np.array([0, 1], np.uint8), (many, width), p=[0.97, 0.03])
+    flip = rng.random((many, width)) < 0.03
+    flip[:, repeats.REACH : repeats.REACH + repeats.Q] = False
+    piece[flip] ^= rng.integers(1, 4, int(flip.sum()), dtype=np.uint8)
     a = rng.integers(0, 10, many).astype(np.uint8)
     n = rng.integers(1, repeats.REACH + 1 - 10, many).astype(np.uint8)
     owner = rng.integers(0, 500, many)
     edge = kind = which = np.arange(many)
-    masks = [np.zeros(many, np.uint64) for _ in "xy"]
-    repeats._share(which, edge, n, a, piece, owner.copy(), kind, owner, masks[0])
-    for start in range(repeats.REACH + 1):
-        repeats._share_at(start, which, edge, n, a, piece, owner.copy(), kind, owner, masks[1])
-    assert (masks[0] == masks[1]).all() and (masks[0] > 0).any()
+    mask = np.zeros(many, np.uint64)
+    repeats._share(which, edge, n, a, piece, owner.copy(), kind, owner, mask)
+    least = {}
+    strings = [[(s, piece[k, s : s + 50].tobytes()) for s in range(a[k], int(a[k]) + int(n[k]))] for k in range(many)]
+    for k, held in enumerate(strings):
+        for x in held:
+            least[x] = min(least.get(x, 10**9), int(owner[k]))
+    want = [sum(1 << j for j, x in enumerate(held) if least[x] < owner[k]) for k, held in enumerate(strings)]
+    assert mask.tolist() == want and any(want)
 
 
 # --- 10
@@ -486,6 +786,11 @@ def test_mixing(spark, sf_dir, edge, empty, clash):
             mine = [r for r in rows if r["source"] == s]
             assert math.isclose(mine[0]["target"], target[s], abs_tol=1e-6)
             assert abs(sum(r["taken"] for r in mine) - target[s]) <= 1
+    null = table(spark, [(None, f"text of {k % 7} words") for k in range(300)] + [(k, "a b c") for k in range(20)] + [(5, "a b c")] * 40)
+    rows = mixing.mix(null).collect()
+    assert len(rows) == 360 and abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 1 and all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(null.repartition(7)).collect()))
+    assert mixing.training_order(null).count() >= 360
     ordered = mixing.training_order(clash)
     assert ordered.columns == clash.columns and ordered.count() > 0
     assert mixing.mix(empty).count() == 0 and mixing.training_order(empty).count() == 0
@@ -547,3 +852,21 @@ def test_lines_search_against_all_documents(spark, sf_dir):
     docs = table(spark, rows).select("doc_id", "text")
     got = lines._search_all(docs, [(d, *at, s.tobytes()) for d, (at, s) in first.items()]).collect()
     assert {r[0] for r in got} == want and want
+
+
+# --- SQL
+
+
+@pytest.mark.parametrize("name", ["op2_media", "op3_lines", "op4_neardup", "op7_sharding", "op9_repeats", "op10_mixing"])
+def test_query_equals_sql(spark, sf_dir, name):
+    import duckdb
+
+    from stowage.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, sf_dir).select(*want.columns)
+    plain = lambda v: round(v, 9) if isinstance(v, float) else bytes(v) if isinstance(v, (bytes, bytearray)) else v
+    rows = lambda rs: sorted((tuple(map(plain, r)) for r in rs), key=str)
+    assert rows(got.collect()) == rows(want.fetchall())
