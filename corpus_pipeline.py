@@ -13,41 +13,45 @@ from pyspark.sql import functions as F
 from stowage.llm import decontaminate, language, mixing, neardup, sharding
 from stowage.llm.common import Scratch, fresh, read
 
-#: Texts whose language is less certain than this go, with those without a letter.  A text in two languages in equal
-#: parts has 0.5, so only what is close to none of the languages is under it.
-LEAST_SCORE = 0.34
 SHARDS = 24
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language, which fills in where lang is null."""
-    pred, score = fresh(docs, "lang_pred", "score")
-    found = language.identify(docs).where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE))
+    """Documents in a recognised language, which fills in where lang is null.
+
+    Texts that are null, empty or without a letter go, as do those that no
+    learned language codes as it codes its own; rows are judged one by one, so
+    null ids and repeated rows change nothing.
+    """
+    pred, known = fresh(docs, "lang_pred", "recognised")
+    found = language.identify(docs).where(F.col(known) & (F.col(pred) != "und"))
     return found.select(*[F.coalesce(c, pred).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that near-duplicate search keeps, one of each group."""
-    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    # rows of one id are copies of each other here; the pipeline keeps one
-    return rows.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """The documents that near-duplicate search keeps, one of each group.
+
+    Of rows of one id and one set of shingles the first by text stays; rows of
+    one id and different sets are documents of their own.  Rows of null id and
+    texts without words stay.
+    """
+    return neardup.distinct_documents(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts stay, each row is judged by itself."""
     (hits,) = fresh(docs, "_hits")
     found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"), out=hits)
     return found.where(F.size(hits) == 0).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it, in training order."""
+    """Each document as often as the mixture takes it, in training order; texts without words stay, once, at the end."""
     return mixing.training_order(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and its place in the shard."""
+    """Every row with its shard and its place in the shard; null texts count as no bytes, equal rows take places in turn."""
     return sharding.shard_documents(docs, SHARDS)
 
 
