@@ -60,7 +60,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, fold, held_out, read
 
-ROWS, SAMPLE_BYTES, SUPPORT, STEM = 2500, 64 << 20, 6, 4
+ROWS, SAMPLE_BYTES, SUPPORT, STEM = 2500, 32 << 20, 6, 4
 #: Chance of one learned word (stem) or more where labels say nothing; least ratio of a form's rates.
 ERROR, RATIO = 0.05, 10
 FOLDS, HELD_OUT = 5, 0
@@ -192,39 +192,84 @@ def surprise(n: int, k: int, p: float) -> float:
 
 
 class Counts:
-    """Of one label's texts: pairs of a word and the one before it (each once a text), and texts, by word."""
+    """Of one label's texts: the distinct pairs of a word and the one before it in each text, as numbers of a shared vocabulary."""
 
-    def __init__(self, texts: list[str]):
-        self.texts = [self._pairs(t) for t in texts]
-        self.size = len(texts)
-        self.pairs = sum(map(len, self.texts))
+    CHUNK = 256
+
+    def __init__(self, texts: list[str], vocabulary: dict[str, int]):
+        self.texts = [self._pairs(t, vocabulary) for t in texts]
 
     @staticmethod
-    def _pairs(text: str) -> set[tuple[str, str]]:
-        tokens = WORD.findall(text.lower())
-        return set(zip(["", *tokens], tokens, strict=False))
-
-    def of(self, forms, skip=frozenset()) -> tuple[dict, dict, dict]:
-        """How many pairs and texts hold each form that ``forms(word)`` gives, and the words before it."""
-        pairs, texts, before = defaultdict(int), defaultdict(int), defaultdict(set)
-        for held in self.texts:
-            seen = set()
-            for last, w in held:
-                if w not in skip:
-                    for f in forms(w):
-                        pairs[f] += 1
-                        before[f].add(last)
-                        seen.add(f)
-            for f in seen:
-                texts[f] += 1
-        return pairs, texts, before
+    def _pairs(text: str, vocabulary: dict[str, int]) -> np.ndarray:
+        word = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(text.lower())], np.int64)
+        return np.unique((np.concatenate([[0], word[:-1]]) << 32) | word) if len(word) else word
+
+    @property
+    def size(self) -> int:
+        return len(self.texts)
+
+    @property
+    def pairs(self) -> int:
+        return sum(map(len, self.texts))
 
     def half(self, which: int) -> Counts:
-        out = Counts([])
+        out = Counts([], {})
         out.texts = self.texts[which::2]
-        out.size, out.pairs = len(out.texts), sum(map(len, out.texts))
         return out
 
+    def of(self, forms: Forms, before: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """How many pairs hold each form, and how many texts; before: at most as many as there are different words before it."""
+        pairs, docs, seen = np.zeros(forms.n, np.int64), np.zeros(forms.n, np.int64), []
+        for lo in range(0, len(self.texts), self.CHUNK):
+            part = self.texts[lo : lo + self.CHUNK]
+            code = np.concatenate(part)
+            row, f = forms.expand(code & 0xFFFFFFFF)
+            pairs += np.bincount(f, minlength=forms.n)
+            text = np.repeat(np.arange(len(part)), [len(x) for x in part])[row]
+            docs += np.bincount(np.unique(text * forms.n + f) % forms.n, minlength=forms.n)
+            if before:
+                seen = [np.unique(np.concatenate([*seen, (code[row] >> 32) * forms.n + f]))]
+        if before and seen:
+            docs = np.minimum(docs, np.bincount(seen[0] % forms.n, minlength=forms.n))
+        return pairs, docs
+
+
+class Forms:
+    """The forms (words or stems) of each word of the vocabulary, by number."""
+
+    def __init__(self, names: list[str], word: np.ndarray, form: np.ndarray, words: int):
+        order = np.lexsort((form, word))
+        self.names, self.n, self.form = names, max(1, len(names)), form[order]
+        self.at = np.searchsorted(word[order], np.arange(words + 1))
+
+    @classmethod
+    def of_words(cls, vocabulary: list[str]) -> Forms:
+        each = np.arange(len(vocabulary))
+        return cls(vocabulary, each, each, len(vocabulary))
+
+    @classmethod
+    def of_stems(cls, vocabulary: list[str], docs: np.ndarray, skip: np.ndarray) -> Forms:
+        """Stems whose words' texts (docs, by word) add up to SUPPORT at least; words to skip have none."""
+        names, words, forms = [], [], []
+        some = [(k, vocabulary[k]) for k in np.flatnonzero(~skip).tolist()]
+        for length in range(STEM, max((len(w) for _, w in some), default=0)):
+            some = [(k, w) for k, w in some if len(w) > length]
+            held = defaultdict(int)
+            for k, w in some:
+                held[w[:length]] += int(docs[k])
+            number = {f: len(names) + i for i, f in enumerate(sorted(f for f, n in held.items() if n >= SUPPORT))}
+            names += number
+            some = [(k, w) for k, w in some if w[:length] in number]  # a longer stem holds no more texts
+            words += [k for k, _ in some]
+            forms += [number[w[:length]] for _, w in some]
+        return cls(names, np.array(words, np.int64), np.array(forms, np.int64), len(vocabulary))
+
+    def expand(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in word, form) of all forms of the words."""
+        n = self.at[word + 1] - self.at[word]
+        row = np.repeat(np.arange(len(word)), n)
+        return row, self.form[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.at[word][row]]
+
 
 def stems_of(word: str) -> list[str]:
     return [word[:k] for k in range(STEM, len(word))]
@@ -242,7 +287,9 @@ class Model:
         self.functional = {w: c for c, ws in ((T, TARGETS), (N, NEGATIONS), (R, REPORTS), (H, THREATS)) for w in ws} | dict.fromkeys("\"“”«»„", Q)
         self.weights = dict(PRIORS)
         if toxic and clean:
-            self._learn(Counts(toxic), Counts(clean))
+            vocabulary = {"": 0}
+            counts = Counts(toxic, vocabulary), Counts(clean, vocabulary)
+            self._learn(*counts, list(vocabulary))
         self._compile()
         if toxic and clean:
             self._weigh(toxic, clean)
@@ -251,52 +298,53 @@ class Model:
     def _compile(self) -> None:
         self.grammar = negation().compose(reporting()).compose(targeting(self.weights))
         self.pattern = "|".join(re.escape(w) for w in sorted({*self.words, *self.stems, *THREATS}))
+        self.finder = re.compile(self.pattern)
 
-    def _learn(self, toxic: Counts, clean: Counts) -> None:
-        def rate(pairs: int, c: Counts) -> float:
+    def _learn(self, toxic: Counts, clean: Counts, vocabulary: list[str]) -> None:
+        def rate(pairs, c: Counts):
             return (pairs + 0.5) / (c.pairs + 1)
 
-        def learned(forms, clean: Counts, skip=frozenset()) -> dict[str, tuple[float, float]]:
+        def learned(forms: Forms, clean: Counts) -> dict[str, tuple[float, float]]:
             """Form to (weight, surprise)."""
-            n, docs, before = toxic.of(forms, skip)
-            k, clean_docs, _ = clean.of(forms, skip)
-            tests = sum(d + clean_docs.get(f, 0) >= SUPPORT for f, d in docs.items())
+            n, docs = toxic.of(forms, before=True)
+            k, clean_docs = clean.of(forms)
+            ratio = rate(n, toxic) / rate(k, clean)
+            tests = int(np.count_nonzero((n > 0) & (docs + clean_docs >= SUPPORT)))
             share = toxic.size / (toxic.size + clean.size)
             out = {}
-            for f, d in docs.items():
-                d = min(d, len(before[f]))
-                ratio = rate(n[f], toxic) / rate(k.get(f, 0), clean)
-                if d >= SUPPORT and ratio >= RATIO and (much := surprise(d, clean_docs.get(f, 0), share)) >= math.log(tests / ERROR):
-                    out[f] = math.log(ratio), much
+            for f in np.flatnonzero((docs >= SUPPORT) & (ratio >= RATIO)).tolist():
+                if (much := surprise(int(docs[f]), int(clean_docs[f]), share)) >= math.log(tests / ERROR):
+                    out[forms.names[f]] = math.log(ratio[f]), much
             return out
 
-        words = {w: v for w, (v, _) in learned(lambda w: (w,), clean).items() if w not in self.functional}
+        every = Forms.of_words(vocabulary)
+        words = {w: v for w, (v, _) in learned(every, clean).items() if w not in self.functional}
         # exceptions are named by one half of the clean texts and stems tested on the other, so that naming them doesn't favour a stem
-        n, k = toxic.of(lambda w: (w,))[0], clean.half(0).of(lambda w: (w,))
         naming = clean.half(0)
-        common = {w for w, d in k[1].items() if d >= SUPPORT // 2 and w not in words and rate(n.get(w, 0), toxic) <= rate(k[0][w], naming)} | set(self.functional)
-        stems = learned(stems_of, clean.half(1), common)
+        (n, docs), (k, clean_docs) = toxic.of(every), naming.of(every)
+        common = (clean_docs >= SUPPORT // 2) & (rate(n, toxic) <= rate(k, naming))
+        common &= ~np.isin(np.arange(len(vocabulary)), [j for j, w in enumerate(vocabulary) if w in words])
+        common |= np.array([w in self.functional for w in vocabulary])
+        stems = learned(Forms.of_stems(vocabulary, docs, common), clean.half(1))
         held: dict[str, set] = {f: set() for f in stems}
-        for _, w in set().union(*toxic.texts):
-            if w not in common:
-                for f in stems_of(w):
-                    if f in stems:
-                        held[f].add(w)
-        chosen: dict[str, float] = {}
+        for j in np.flatnonzero((n > 0) & ~common).tolist():
+            for f in stems_of(vocabulary[j]):
+                if f in held:
+                    held[f].add(vocabulary[j])
         # of nested stems the one whose labels surprise most
         for f, (v, _) in sorted(stems.items(), key=lambda x: (-x[1][1], -len(x[0]), x[0])):
             after = defaultdict(int)
             for w in held[f]:
                 after[w[: len(f) + 1]] += 1
             # a stem branches: no one next letter holds almost all of its words
-            if len(held[f]) >= 5 and max(after.values()) < 0.9 * len(held[f]) and not any(f.startswith(g) or g.startswith(f) for g in chosen):
-                chosen[f] = v
-        stems = chosen
-        self.stems = stems
-        self.ordinary = {w for w in common if any(f in stems for f in stems_of(w))}
-        self.words = {w: v for w, v in words.items() if w in self.ordinary or not any(f in stems for f in stems_of(w))}
-        matched = [sum(self.classify(w)[0] == I for held in c.texts for _, w in held) for c in (toxic, clean)]
-        self.a_word = max(0.0, rate(matched[0], toxic) - rate(matched[1], clean))
+            if len(held[f]) >= 5 and max(after.values()) < 0.9 * len(held[f]) and not any(f.startswith(g) or g.startswith(f) for g in self.stems):
+                self.stems[f] = v
+        stemmed = lambda w: any(f in self.stems for f in stems_of(w))
+        self.ordinary = {vocabulary[j] for j in np.flatnonzero(common).tolist() if stemmed(vocabulary[j])}
+        self.words = {w: v for w, v in words.items() if not stemmed(w)}
+        insult = np.array([self.classify(w)[0] == I for w in vocabulary])
+        matched = [int(c.of(every)[0][insult].sum()) for c in (toxic, clean)]
+        self.a_word = max(0.0, float(rate(matched[0], toxic) - rate(matched[1], clean)))
 
     def _weigh(self, toxic: list[str], clean: list[str]) -> None:
         """Pattern weights: for each text with a match, its patterns and what the rest of its best path weighs, against its label."""
@@ -364,6 +412,8 @@ class Model:
     def path(self, text: str) -> tuple[float, list[str]]:
         """The weight of the heaviest path of the acceptor over the text's clauses, and the patterns on it."""
         best, inside, clauses = (-math.inf, []), (0.0, []), 0
+        if not self.finder.search(text.lower()):
+            return best
         for words, weight, found in self.clauses(text):
             clauses += 1
             if inside[0] <= 0:
