@@ -6,10 +6,11 @@ block_size, decompressed_length, data_offset, length).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
+from ..plans.stage import filled, lagged
+
 KEY = ["archive_id", "record_index"]
 
 
@@ -21,39 +22,55 @@ def block_table(files: DataFrame) -> DataFrame:
     return out.withColumn("physical_offset", F.col("data_offset") + F.col("logical_offset"))
 
 
+def _neighbour(blocks: DataFrame, back: bool) -> DataFrame:
+    """blocks with struct column ``_near``: the block before (or after) in the same record, null at its ends.
+
+    All blocks are taken in one order, range-partitioned, so the blocks of one
+    large file are many tasks.
+    """
+    sign = 1 if back else -1
+    order = {f"_o{k}": F.col(c) * sign for k, c in enumerate([*KEY, "logical_offset"])}
+    rows = blocks.withColumns(order).withColumn("_this", F.struct(*KEY, "logical_offset", "physical_offset"))
+    out = lagged(rows, list(order), "_this", "_near").drop(*order, "_this")
+    same = (F.col("_near.archive_id") == F.col("archive_id")) & (F.col("_near.record_index") == F.col("record_index"))
+    return out.withColumn("_near", F.when(same, F.col("_near")))
+
+
 def extents(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """Each block's physical end: where the next begins, or the payload's end."""
-    w = W.partitionBy(*KEY).orderBy("logical_offset")
     ends = files.select(*KEY, (F.col("data_offset") + F.col("length")).alias("payload_end"))
-    return (
-        blocks.withColumn("next_physical", F.lead("physical_offset").over(w))
-        .join(ends, KEY)
-        .withColumn("physical_end", F.coalesce("next_physical", "payload_end"))
-        .drop("next_physical", "payload_end")
-    )
+    out = _neighbour(blocks, back=False).join(ends, KEY)
+    return out.withColumn("physical_end", F.coalesce("_near.physical_offset", "payload_end")).drop("_near", "payload_end")
 
 
-def predecessor(blocks: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests(…KEY, offset) with the last block that starts at or before the offset.
+def _carried(blocks: DataFrame, requests: DataFrame, sign: int) -> DataFrame:
+    """requests with the block that comes last before them when both are taken in one order, rising or falling.
 
-    Blocks and requests are merged in one order by record and offset; the last
-    block seen is carried forward.  One shuffle by record, no range join.
+    The order is range-partitioned and the last block handed on from partition
+    to partition; a block of another record is none.  One shuffle, no range
+    join, and no task holds a record's blocks because they are one record's.
     """
-    b = blocks.select(*KEY, F.col("logical_offset").alias("_at"), F.lit(0).alias("_side"), F.struct("logical_offset", "physical_offset").alias("_block"), F.lit(None).alias("_request"))
     rest = [c for c in requests.columns if c not in KEY]
+    b = blocks.select(*KEY, F.col("logical_offset").alias("_at"), F.lit(0).alias("_side"), F.struct(*KEY, "logical_offset", "physical_offset").alias("_block"), F.lit(None).alias("_request"))
     r = requests.select(*KEY, F.col("offset").alias("_at"), F.lit(1).alias("_side"), F.lit(None).alias("_block"), F.struct(*rest).alias("_request"))
-    w = W.partitionBy(*KEY).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-    return b.unionByName(r).withColumn("_block", F.last("_block", ignorenulls=True).over(w)).where("_side = 1 AND _block IS NOT NULL").select(*KEY, "_request.*", "_block.*")
+    order = {f"_o{k}": F.col(c) * sign for k, c in enumerate([*KEY, "_at", "_side"])}
+    found = filled(b.unionByName(r).withColumns(order), list(order), "_block").where("_side = 1")
+    same = (F.col("_block.archive_id") == F.col("archive_id")) & (F.col("_block.record_index") == F.col("record_index"))
+    return found.where(same).select(*KEY, "_request.*", "_block.logical_offset", "_block.physical_offset")
+
+
+def predecessor(blocks: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests(…KEY, offset) with the last block that starts at or before the offset."""
+    return _carried(blocks, requests, 1)
 
 
 def successor(blocks: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests with the first block that starts after the offset; absent where there is none."""
-    b = blocks.select(*KEY, F.col("logical_offset").alias("_at"), F.lit(0).alias("_side"), F.struct("logical_offset", "physical_offset").alias("_block"), F.lit(None).alias("_request"))
-    rest = [c for c in requests.columns if c not in KEY]
-    r = requests.select(*KEY, F.col("offset").alias("_at"), F.lit(1).alias("_side"), F.lit(None).alias("_block"), F.struct(*rest).alias("_request"))
-    w = W.partitionBy(*KEY).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(W.unboundedPreceding, -1)
-    # in descending order a request comes before a block at the same offset, so that block isn't after it
-    return b.unionByName(r).withColumn("_block", F.last("_block", ignorenulls=True).over(w)).where("_side = 1 AND _block IS NOT NULL").select(*KEY, "_request.*", "_block.*")
+    """requests with the first block that starts after the offset; absent where there is none.
+
+    In falling order a request comes before a block at the same offset, so that
+    block isn't after it.
+    """
+    return _carried(blocks, requests, -1)
 
 
 def clamp(requests: DataFrame, files: DataFrame, mode: str = "clamp") -> DataFrame:
@@ -100,11 +117,10 @@ def sequence_faults(blocks: DataFrame, files: DataFrame) -> DataFrame:
     after the one before and further on in the archive, the last is at
     floor((n - 1) / size) * size.
     """
-    w = W.partitionBy(*KEY).orderBy("logical_offset")
     f = files.select(*KEY, F.col("block_size").alias("_bs"), F.col("decompressed_length").alias("_n"), F.col("data_offset").alias("_data"))
-    b = blocks.select(*KEY, "logical_offset", "physical_offset").withColumns(
-        {"_prev": F.lag("logical_offset").over(w), "_prev_physical": F.lag("physical_offset").over(w), "_next": F.lead("logical_offset").over(w)}
-    )
+    b = _neighbour(blocks.select(*KEY, "logical_offset", "physical_offset"), back=True)
+    b = b.withColumns({"_prev": F.col("_near.logical_offset"), "_prev_physical": F.col("_near.physical_offset")}).drop("_near")
+    b = _neighbour(b, back=False).withColumn("_next", F.col("_near.logical_offset")).drop("_near")
     last = F.floor((F.col("_n") - 1) / F.col("_bs")) * F.col("_bs")
     fault = (
         F.when(F.col("_bs").isNull(), "no such file")
@@ -131,13 +147,15 @@ def range_bytes(parts: DataFrame, contents: DataFrame, by: list[str]) -> DataFra
     more than the bytes it asked for.
     """
     cut = parts.join(contents, [*KEY, "logical_offset"]).withColumn("_cut", F.expr("substring(content, CAST(from_byte + 1 AS INT), CAST(to_byte - from_byte AS INT))"))
-    return cut.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("logical_offset", "_cut"))).alias("_all")).select(
-        *by, F.aggregate("_all", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["_cut"])).alias("content")
-    )
+    return _concatenated(cut.groupBy(*by), "_cut", by)
 
 
 def reassemble(contents: DataFrame) -> DataFrame:
     """Whole files from their blocks in order."""
-    return contents.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("logical_offset", "content"))).alias("_all")).select(
-        *KEY, F.aggregate("_all", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["content"])).alias("content")
-    )
+    return _concatenated(contents.groupBy(*KEY), "content", KEY)
+
+
+def _concatenated(groups: GroupedData, column: str, by: list[str]) -> DataFrame:
+    """The column's bytes in order of logical_offset, joined once: no prefix is copied again for each block."""
+    parts = F.array_sort(F.collect_list(F.struct("logical_offset", F.hex(column).alias("h"))))
+    return groups.agg(parts.alias("_all")).select(*by, F.unhex(F.array_join(F.transform("_all", lambda x: x["h"]), "")).alias("content"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SEP, depth, glob_regex, name, parent
-from ..plans.stage import filled, numbered
+from ..plans.stage import filled, numbered, staged
 
 
 def with_path_parts(entries: DataFrame) -> DataFrame:
@@ -68,20 +68,25 @@ def tree_arrays(entries: DataFrame) -> DataFrame:
     return e.groupBy("parent").agg(F.array_sort(F.collect_list("name")).alias("children"))
 
 
-def tree_paths(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """id, path of nodes(id, parent_id, name), level by level from the roots.
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """id, path of nodes(id, parent_id, name) that a root reaches, whatever the depth.
 
-    A node met twice or not at all is an error that ``tree_faults`` reports.
+    Each node holds the path from an ancestor that doubles its distance in each
+    round, so a tree of depth d takes log2 d rounds, each a staged table.  A
+    round that brings no node to a root ends it: what is left hangs on a cycle
+    or a missing parent, which ``tree_faults`` reports.
     """
-    level = nodes.where("parent_id IS NULL").select("id", F.col("name").alias("path"))
-    out = level
-    for _ in range(most):
-        n, up = nodes.alias("n"), level.alias("u")
-        level = n.join(up, F.col("n.parent_id") == F.col("u.id")).select(F.col("n.id"), F.concat_ws(SEP, "u.path", "n.name").alias("path"))
-        if level.isEmpty():
-            return out
-        out = out.unionAll(level)
-    raise ValueError(f"the tree is deeper than {most} levels or has a cycle")
+    state, before = nodes.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path")), None
+    for _ in range(64):  # a depth of 2 ** 64
+        state = staged(state)
+        hanging = state.where("up IS NOT NULL").count()
+        if hanging in (0, before):
+            return state.where("up IS NULL").select("id", "path")
+        before = hanging
+        o, a = state.where("up IS NOT NULL").alias("o"), state.alias("a")
+        further = o.join(a, F.col("o.up") == F.col("a.id")).select("o.id", "a.up", F.concat_ws(SEP, "a.path", "o.path").alias("path"))
+        state = state.where("up IS NULL").unionByName(further)
+    raise ValueError("the nodes' ids are ambiguous")
 
 
 def tree_faults(nodes: DataFrame, paths: DataFrame) -> DataFrame:

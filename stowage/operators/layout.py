@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SEP, align_up, name, parent
@@ -33,8 +32,9 @@ def trailer_offset(files: DataFrame, alignment: int, start: int = HEADER) -> Dat
 
 def block_offsets(blocks: DataFrame) -> DataFrame:
     """blocks(…KEY, logical_offset, compressed, data_offset): running physical offsets inside each file."""
-    w = W.partitionBy(*KEY).orderBy("logical_offset").rowsBetween(W.unboundedPreceding, -1)
-    return blocks.withColumn("physical_offset", F.col("data_offset") + F.coalesce(F.sum("compressed").over(w), F.lit(0)))
+    summed = running_sums(blocks, [*KEY, "logical_offset"], {"_upto": "compressed"}).withColumn("_before", F.col("_upto") - F.col("compressed"))
+    first = summed.groupBy(*KEY).agg(F.min("_before").alias("_first"))
+    return summed.join(first, KEY).withColumn("physical_offset", F.col("data_offset") + F.col("_before") - F.col("_first")).drop("_upto", "_before", "_first")
 
 
 def append_cursor(records: DataFrame) -> DataFrame:

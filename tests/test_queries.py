@@ -52,7 +52,7 @@ def test_lru_simulation_equals_replay(spark, sf_dir):
             used -= cache.popitem(last=False)[1]
 
 
-@pytest.mark.parametrize("name", ["path_lookup_all", "child_by_name_all"])
+@pytest.mark.parametrize("name", ["path_exact_lookup", "child_by_name"])
 def test_lookups_ask_for_every_file(spark, sf_dir, name):
     files = {r["path"] for r in catalog.V.files(spark, sf_dir).select("path").collect()}
     got = [r["path"] for r in catalog.QUERIES[name](spark, sf_dir).collect()]
@@ -68,6 +68,52 @@ def test_names_are_sorted_whole(spark):
     assert [r["place"] for r in got] == list(range(1, 121))
 
 
+def test_trees_of_any_depth(spark):
+    from stowage.operators.entries import tree_faults, tree_paths
+
+    chain = [(k, k - 1 if k else None, f"n{k}") for k in range(200)]
+    broken = [(1000, 1000, "self"), (1001, 1002, "a"), (1002, 1001, "b"), (1003, 9999, "lost"), (1004, 1003, "below")]
+    nodes = spark.createDataFrame(chain + broken, "id long, parent_id long, name string")
+    got = {r["id"]: r["path"] for r in tree_paths(nodes).collect()}
+    assert got == {k: "\x1f".join(f"n{j}" for j in range(k + 1)) for k in range(200)}
+    assert {r["id"] for r in tree_faults(nodes, tree_paths(nodes)).collect()} == {1000, 1001, 1002, 1003, 1004}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from stowage.plans import stage
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext = Context  # noqa: N815
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        stage.shared_dir(Session)
+
+
+def test_entry_without_the_operators(tmp_path):
+    """A copy whose operators can't be imported keeps its archive queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for gone in ("deleted", "broken"):
+        to = tmp_path / gone
+        to.mkdir()
+        shutil.copy(f"{here}/__spark_entry__.py", to)
+        shutil.copytree(f"{here}/stowage", to / "stowage", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        if gone == "broken":
+            (to / "stowage" / "llm").mkdir()
+            (to / "stowage" / "llm" / "__init__.py").write_text("import a_wheel_that_is_not_there\n")
+        code = "import __spark_entry__ as e; assert len(e.queries()) > 90 and set(e.oracle_sql()) <= set(e.queries()); print('ok')"
+        assert subprocess.run([sys.executable, "-c", code], cwd=to, capture_output=True, text=True, check=True).stdout.strip() == "ok"
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
