@@ -5,11 +5,13 @@ spark.read.format("archive").option("table", "records").load(uri)
 Tables: archives, records, attr_keys, attrs, paths, blocks, contents.  Each
 archive is a partition (contents: a partition for every ``SLICE`` bytes of
 it).  Catalog tables read the header and the trailer only.  Filters on uri,
-archive_id, record_index and path (equal, or starting with) are pushed down.
+archive_id, record_index (equal, or one of a list) and path (equal, or starting
+with) are pushed down.
 """
 
 from __future__ import annotations
 
+import functools
 import glob as globs
 import os
 from collections.abc import Iterator
@@ -17,11 +19,11 @@ from dataclasses import dataclass
 
 import pyarrow.fs as fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from .codecs import decompress
 from .errors import ArchiveError, CodecError, OpenError
-from .wire import HEADER, Catalog, Header, Record, decode_number, decode_trailer
+from .wire import HEADER, MAGIC, Catalog, Header, Record, decode_number, decode_trailer
 
 SLICE = 128 << 20
 
@@ -69,6 +71,20 @@ def open_archive(uri: str, base: int = 0, strict: bool = False) -> tuple[Catalog
         return decode_trailer(f.read_at(size - start, start), header, strict), size
 
 
+@functools.lru_cache(maxsize=4)
+def _decoded(uri: str, base: int, strict: bool, size: int, changed: int) -> Catalog:
+    return open_archive(uri, base, strict)[0]
+
+
+def known_archive(uri: str, base: int = 0, strict: bool = False) -> tuple[Catalog, int]:
+    """``open_archive``, where a worker that reads several slices of a file decodes its catalog once."""
+    system, inner = open_file(uri)
+    info = system.get_file_info(inner)
+    if info.type != fs.FileType.File or info.mtime_ns is None:
+        return open_archive(uri, base, strict)
+    return _decoded(uri, base, strict, info.size, info.mtime_ns), info.size
+
+
 def signed(value: int | None) -> int | None:
     """Checked: what Spark's long can't hold is an error, never another number."""
     if value is not None and value >= 1 << 63:
@@ -113,6 +129,7 @@ class Reader(DataSourceReader):
         self.path, self.table = options["path"], table
         self.base, self.strict = int(options.get("base_offset", 0)), options.get("strict", "false").lower() == "true"
         self.equal: dict[str, object] = {}
+        self.among: set[int] | None = None
         self.prefix: str | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -120,6 +137,8 @@ class Reader(DataSourceReader):
             column = ".".join(f.attribute) if hasattr(f, "attribute") else ""
             if isinstance(f, EqualTo) and column in ("uri", "archive_id", "record_index", "path") and column not in self.equal:
                 self.equal[column] = f.value
+            elif isinstance(f, In) and column == "record_index" and self.among is None:
+                self.among = set(f.value)
             elif isinstance(f, StringStartsWith) and column == "path" and self.prefix is None:
                 self.prefix = f.value
             # pushed filters only save work; Spark applies them again
@@ -141,12 +160,15 @@ class Reader(DataSourceReader):
     def read(self, part: Part) -> Iterator[tuple]:
         if part.archive_id < 0:
             return
-        catalog, size = open_archive(part.uri, self.base, self.strict)
+        catalog, size = known_archive(part.uri, self.base, self.strict)
         yield from getattr(self, f"_{self.table}")(part, catalog, size)
 
+    def _asked(self, index: int) -> bool:
+        return self.equal.get("record_index", index) == index and (self.among is None or index in self.among)
+
     def _wanted(self, path: str | None, index: int) -> bool:
         return (
-            self.equal.get("record_index", index) == index
+            self._asked(index)
             and ("path" not in self.equal or self.equal["path"] == path)
             and (self.prefix is None or (path is not None and path.startswith(self.prefix)))
         )
@@ -195,7 +217,7 @@ class Reader(DataSourceReader):
         import json
 
         epoch = datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc)
-        maps = [(None, c.attrs)] + [(k, r.attrs) for k, r in enumerate(c.records, 1) if self.equal.get("record_index", k) == k]
+        maps = [(None, c.attrs)] + [(k, r.attrs) for k, r in enumerate(c.records, 1) if self._asked(k)]
         for index, attrs in maps:
             for key, raw in attrs.items():
                 if key >= len(c.keys):
@@ -234,19 +256,16 @@ class Reader(DataSourceReader):
 
     def _blocks(self, part: Part, c: Catalog, size: int):
         for index, logical, physical in c.block_items():
-            if self.equal.get("record_index", index) == index:
+            if self._asked(index):
                 yield part.archive_id, signed(index), signed(logical), signed(physical)
 
     def _contents(self, part: Part, c: Catalog, size: int):
-        blocks: dict[int, list[tuple[int, int]]] = {}
-        for index, logical, physical in c.block_items():
-            blocks.setdefault(index, []).append((logical, physical))
         system, inner = open_file(part.uri)
         with system.open_input_file(inner) as f:
             for k, r in enumerate(c.records, 1):
-                if r.kind not in ("file", "chunked_file") or not part.low <= self.base + r.data < part.high or self.equal.get("record_index", k) != k:
+                if r.kind not in ("file", "chunked_file") or not part.low <= self.base + r.data < part.high or not self._asked(k):
                     continue
-                yield part.archive_id, k, payload(f, self.base, r, c.dictionary, blocks.get(k, []))
+                yield part.archive_id, k, payload(f, self.base, r, c.dictionary, c.blocks_of(k) if r.kind == "chunked_file" else ())
 
 
 class ArchiveSource(DataSource):
@@ -282,10 +301,18 @@ def load(spark: SparkSession, path: str, table: str = "records", **options):
     return spark.read.format("archive").option("table", table).options(**options).load(path)
 
 
-def probe(spark: SparkSession, path: str):
-    """path, is_archive of the files under path, told by their first bytes."""
-    from pyspark.sql import functions as F
+def probe(spark: SparkSession, path: str, base_offset: int = 0):
+    """path, length, is_archive of the files under path, told by their first four bytes; no more of them is read."""
+    import pyarrow as pa
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", (F.substring("content", 1, 4) == F.lit(bytes.fromhex("ff424f58"))).alias("is_archive"))
+    def run(batches):
+        for b in batches:
+            found = []
+            for uri in b.column(0).to_pylist():
+                system, inner = open_file(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
+                with system.open_input_file(inner) as f:
+                    found.append(base_offset + 4 <= f.size() and f.read_at(4, base_offset) == MAGIC)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.bool_())], names=["path", "length", "is_archive"])
 
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length").mapInArrow(run, "path string, length long, is_archive boolean")

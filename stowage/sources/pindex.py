@@ -65,18 +65,43 @@ class Index:
             stop = max(stop, p + 4)
         return edges, decode_vu64(data, stop)[0] if flags & FINAL else None
 
+    def _edge(self, number: int, byte: int) -> tuple[bytes, int, int] | None:
+        """The one edge of a node that starts with the byte, found by its table or its list of first bytes."""
+        if number >= self.nodes:
+            raise ParseError(f"index node {number} of {self.nodes}")
+        data = self.data
+        hot, cold = ENTRY.unpack_from(data, HEADER.size + 8 * number)
+        at, base = self.hot + hot, self.cold + cold
+        if at >= len(data) or base > len(data):
+            raise ParseError("index node lies outside the index")
+        indexed = data[at] & INDEXED
+        count, at = decode_vu64(data, at + 1)
+        wide = 256 if indexed else count
+        if count > 256 or at + wide + 2 * count > len(data):
+            raise ParseError("index node is cut off")
+        nth = data[at + byte] if indexed else data.find(byte, at, at + count) - at
+        if nth < 0 or nth >= count or (indexed and nth == 255 and count < 256):
+            return None
+        p = base + int.from_bytes(data[at + wide + 2 * nth : at + wide + 2 * nth + 2], "little")
+        n, p = decode_vu64(data, p)
+        if n == 0 or p + n > len(data):
+            raise ParseError("index label is cut off", p)
+        label = bytes(data[p : p + n])
+        output, p = decode_vu64(data, p + n)
+        if p + 4 > len(data):
+            raise ParseError("index edge is cut off", p)
+        return label, output, int.from_bytes(data[p : p + 4], "little")
+
     def get(self, key: bytes) -> int | None:
         node, at, total = 0, 0, 0
-        for _ in range(len(key) + 1):
-            edges, final = self._node(node)
-            if at == len(key):
-                return None if final is None else (total + final) & U64
-            step = next((e for e in edges if key.startswith(e[0], at)), None)
-            if step is None:
+        while at < len(key):
+            step = self._edge(node, key[at])
+            if step is None or not key.startswith(step[0], at):
                 return None
             label, output, node = step
             at, total = at + len(label), total + output
-        return None
+        final = self._node(node)[1]
+        return None if final is None else (total + final) & U64
 
     def __contains__(self, key: bytes) -> bool:
         return self.get(key) is not None

@@ -11,6 +11,8 @@ is visible before that, and an abort leaves nothing.
 from __future__ import annotations
 
 import base64
+import contextlib
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -23,11 +25,11 @@ from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
 
 from ..functions.digest import PORTION, blake3_many
 from ..functions.paths import check_extractable
-from ..functions.scalars import BLOCK_SIZE, MIN_COMPRESSIBLE, SEP
+from ..functions.scalars import BLOCK_SIZE, DEFAULT_MODES, MIN_COMPRESSIBLE, SEP
 from .archive import load, open_archive, open_file
 from .codecs import compress
 from .errors import ExtractError, PathError, WriteError
-from .wire import HEADER, STANDARD, Catalog, Header, Record, encode_trailer
+from .wire import HEADER, STANDARD, XATTR, Catalog, Header, Record, decode_number, encode_trailer
 
 U32 = (1 << 32) - 1
 
@@ -55,6 +57,7 @@ class Entry:
 class Prepared(WriterCommitMessage):
     entries: list[Entry]
     part: str | None
+    dictionaries: set[bytes] = field(default_factory=set)
 
 
 def prepare(content: bytes, codec: str, chunked: bool, block: int, level: int | None, dictionary: bytes | None) -> tuple[bytes, str, list[tuple[int, int]]]:
@@ -74,7 +77,10 @@ def prepare(content: bytes, codec: str, chunked: bool, block: int, level: int |
 
 
 class Writer(DataSourceWriter):
-    """Options: path, alignment (0), codec (zstd), level, chunked (false), block_size, checksum (true), allow_escapes, allow_external_symlinks, dictionary (base64, for whole zstd files), create (false: replace or append by mode)."""
+    """Options: path, alignment (0), codec (zstd), level, chunked (false), block_size, checksum (true), allow_escapes,
+    allow_external_symlinks, dictionary (base64, for whole zstd files), create (false: replace or append by mode), walked
+    (false; true: with chunked, files of at most a block stay whole), factor_owners (false; true: the first file's owner
+    becomes the archive's, and equal ones are dropped), archive_attrs (JSON, name to type and base64)."""
 
     def __init__(self, options: dict[str, str], schema, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
@@ -86,6 +92,8 @@ class Writer(DataSourceWriter):
         system, inner = open_file(self.path)
         self.exists = system.get_file_info(inner).type == fs.FileType.File
         self.dictionary = base64.b64decode(options["dictionary"]) if options.get("dictionary") else None
+        self.walked, self.factor = flag("walked", "false"), flag("factor_owners", "false")
+        self.attrs = {n: (t, base64.b64decode(v)) for n, (t, v) in json.loads(options.get("archive_attrs", "{}")).items()}
         if flag("create", "false") and self.exists:
             raise WriteError("the archive exists already", path=self.path)
         if not 0 <= self.alignment <= U32:
@@ -96,7 +104,7 @@ class Writer(DataSourceWriter):
         system, _ = open_file(self.path)
         system.create_dir(self.work)
         part = f"{self.work}/{uuid.uuid4().hex}"
-        entries, at = [], 0
+        entries, at, dictionaries = [], 0, set()
         waiting, held = [], 0
         with system.open_output_stream(part) as out:
             for row in rows:
@@ -107,7 +115,12 @@ class Writer(DataSourceWriter):
                 if e.kind == "file":
                     content = bytes(r.get("content") or b"")
                     wanted = r.get("chunked")
-                    cut = bool(content) and (kind == "chunked_file" or (self.chunked if wanted is None else wanted))
+                    if wanted is None:
+                        wanted = self.chunked and (len(content) > self.block or not self.walked)
+                    # a row that says chunked_file must have bytes; others without any are stored whole
+                    cut = kind == "chunked_file" or (bool(content) and wanted)
+                    if r.get("dictionary") is not None:
+                        dictionaries.add(bytes(r["dictionary"]))
                     body, e.codec, e.blocks = prepare(content, r.get("codec") or self.codec, cut, self.block, self.level, self.dictionary)
                     if cut:
                         e.kind, e.block_size = "chunked_file", self.block
@@ -122,7 +135,7 @@ class Writer(DataSourceWriter):
                     at += len(body)
                 entries.append(e)
         self._hash(waiting)
-        return Prepared(entries, part)
+        return Prepared(entries, part, dictionaries)
 
     @staticmethod
     def _hash(waiting: list[tuple[Entry, bytes]]) -> None:
@@ -138,11 +151,16 @@ class Writer(DataSourceWriter):
             old, _ = open_archive(self.path)
             if self.dictionary != old.dictionary:
                 raise WriteError("an archive has one dictionary; append with the one it has", path=self.path)
+        found = set().union(*(m.dictionaries for m in messages if m))
+        if len(found | ({self.dictionary} if self.dictionary else set())) > 1 or (found and not self.dictionary):
+            raise WriteError("all files of an archive must share its one dictionary", path=self.path)
         old.dictionary = self.dictionary
+        if self.factor and not old.records:
+            self.attrs = owners(entries) | self.attrs
         draft = f"{inner}.draft-{uuid.uuid4().hex}"
         try:
             with system.open_output_stream(draft) as out:
-                layout(out, system, inner if old.records else None, old, entries, self.alignment, self.escapes, self.external)
+                layout(out, system, inner if old.records else None, old, entries, self.alignment, self.escapes, self.external, self.attrs)
             # the header is written last: its trailer offset makes the rest valid
             finish(system, draft, inner)
         finally:
@@ -166,10 +184,36 @@ def _pad(at: int, alignment: int) -> int:
     return -at % alignment if alignment else 0
 
 
-def layout(out, system, existing: str | None, old: Catalog, entries: list[Entry], alignment: int, escapes: bool, external: bool) -> None:
+def owners(entries: list[Entry]) -> dict[str, tuple[str, bytes]]:
+    """The first file's owner as the archive's attributes; entries with an equal one lose theirs."""
+    out = {}
+    for name in ("unix.uid", "unix.gid"):
+        first = next((e.attrs[name] for e in entries if e.kind in ("file", "chunked_file") and name in e.attrs), None)
+        if first is not None:
+            out[name] = (STANDARD[name], first)
+            for e in entries:
+                if e.attrs.get(name) == first:
+                    del e.attrs[name]
+    return out
+
+
+def upserted(catalog: Catalog, attrs: dict[str, tuple[str, bytes]]) -> None:
+    """Sets the archive's own attributes; a name keeps its type."""
+    names = {n: (k, t) for k, (n, t) in enumerate(catalog.keys)}
+    for name, (kind, raw) in attrs.items():
+        if name in names and names[name][1] != kind:
+            raise WriteError(f"attribute {name} has type {names[name][1]}, not {kind}")
+        if name not in names:
+            names[name] = len(catalog.keys), kind
+            catalog.keys.append((name, kind))
+        catalog.attrs[names[name][0]] = raw
+
+
+def layout(out, system, existing: str | None, old: Catalog, entries: list[Entry], alignment: int, escapes: bool, external: bool, attrs: dict | None = None) -> None:
     """Writes a whole archive: header space, payloads in order, trailer; then its header as the last 32 bytes (see ``finish``)."""
     catalog = Catalog(Header(1, old.header.external or external, old.header.escapes or escapes, alignment if not old.records else old.header.alignment), list(old.records), list(old.keys), dict(old.attrs), old.dictionary)
     alignment = catalog.header.alignment
+    upserted(catalog, attrs or {})
     paths = dict(old.items())
     blocks = {(i, logical): physical for i, logical, physical in old.block_items()}
     at = HEADER.size
@@ -265,20 +309,23 @@ def finish(system: fs.FileSystem, draft: str, final: str) -> None:
 
 
 def write(entries: DataFrame, path: str, append: bool = False, **options) -> None:
+    if "archive_attrs" in options:
+        options["archive_attrs"] = json.dumps({n: (t, base64.b64encode(v).decode()) for n, (t, v) in options["archive_attrs"].items()})
     entries.write.format("archive").options(**{k: str(v) for k, v in options.items()}).mode("append" if append else "overwrite").save(path)
 
 
-def set_attributes(path: str, attrs: dict[str, tuple[str, bytes]]) -> None:
-    """Upserts archive-level attributes (name to type and raw bytes) by rewriting the trailer."""
+def set_attributes(path: str, attrs: dict[str, tuple[str, bytes]], member: str | None = None) -> None:
+    """Upserts attributes (name to type and raw bytes) of the archive, or of one member, by rewriting the trailer."""
     catalog, _ = open_archive(path)
-    names = {n: (k, t) for k, (n, t) in enumerate(catalog.keys)}
-    for name, (kind, raw) in attrs.items():
-        if name in names and names[name][1] != kind:
-            raise WriteError(f"attribute {name} has type {names[name][1]}, not {kind}")
-        if name not in names:
-            names[name] = len(catalog.keys), kind
-            catalog.keys.append((name, kind))
-        catalog.attrs[names[name][0]] = raw
+    if member is None:
+        upserted(catalog, attrs)
+    else:
+        index = catalog.find(member)
+        if index is None:
+            raise WriteError("no such member", path=member)
+        own, catalog.attrs = catalog.attrs, catalog.records[index - 1].attrs
+        upserted(catalog, attrs)
+        catalog.attrs = own
     rewrite_trailer(path, catalog)
 
 
@@ -317,24 +364,15 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return actual.join(attrs, ["archive_id", "record_index"], "left")
 
 
-def extract(spark: SparkSession, path: str, to: str, members: list[str] | None = None, verify: bool = True, allow_escapes: bool = False, allow_external: bool = False) -> dict[str, int]:
-    """Writes an archive's entries below a shared folder: directories, then files in parallel, then links.
-
-    members: archive paths, each with all below it.  A checksum that differs is
-    counted and doesn't stop the extraction.
-    """
-    catalog, _ = open_archive(path)
-    if catalog.header.escapes and not allow_escapes:
-        raise ExtractError("the archive has escaped paths", path=path)
-    if catalog.header.external and not allow_external:
-        raise ExtractError("the archive has external links", path=path)
+def _chosen(catalog: Catalog, members: list[str] | None, path: str) -> list[tuple[str, int]]:
+    """The entries to extract, checked: valid paths that agree with their records, each record once."""
     items = catalog.items()
     if members is not None:
-        chosen = [(p, i) for p, i in items if any(p == m or p.startswith(m + SEP) for m in members)]
+        there = {p for p, _ in items}
         for m in members:
-            if not any(p == m for p, _ in items):
+            if m not in there:
                 raise ExtractError("no such member", path=m)
-        items = chosen
+        items = [(p, i) for p, i in items if any(p == m or p.startswith(m + SEP) for m in members)]
     seen: dict[int, str] = {}
     for p, i in items:
         try:
@@ -346,20 +384,55 @@ def extract(spark: SparkSession, path: str, to: str, members: list[str] | None =
         if i in seen:
             raise ExtractError(f"the record is {seen[i]!r} too", path=p)
         seen[i] = p
+    return items
+
+
+def extract(
+    spark: SparkSession, path: str, to: str, members: list[str] | None = None, verify: bool = True, allow_escapes: bool = False, allow_external: bool = False, xattrs: bool = False
+) -> dict[str, int]:
+    """Writes an archive's entries below a shared folder: directories, then files in parallel, then links.
+
+    members: archive paths, each with all below it; only their payloads are
+    read.  Files and directories get their mode, the record's, else the
+    archive's, else the default of their kind; xattrs: extended attributes too,
+    where the file system takes them.  A checksum that differs is counted and
+    doesn't stop the extraction.
+    """
+    catalog, _ = open_archive(path)
+    if catalog.header.escapes and not allow_escapes:
+        raise ExtractError("the archive has escaped paths", path=path)
+    if catalog.header.external and not allow_external:
+        raise ExtractError("the archive has external links", path=path)
+    items = _chosen(catalog, members, path)
     os.makedirs(to, exist_ok=True)
     stats = {"directories": 0, "files": 0, "links": 0, "bytes": 0, "checksum_failures": 0}
     where = lambda p: os.path.join(to, *p.split(SEP))
-    names = {n: k for k, (n, _) in enumerate(catalog.keys)}
-    for p, i in items:
-        if catalog.records[i - 1].kind == "directory":
-            os.makedirs(where(p), exist_ok=True)
-            stats["directories"] += 1
-    files = [(i, where(p)) for p, i in items if catalog.records[i - 1].kind in ("file", "chunked_file")]
+    names = {n: (k, t) for k, (n, t) in enumerate(catalog.keys)}
+
+    def number(index: int, name: str) -> int | None:
+        key, kind = names.get(name, (None, ""))
+        for attrs in (catalog.records[index - 1].attrs, catalog.attrs):
+            if key in attrs and (value := decode_number(kind, attrs[key])) is not None:
+                return value
+        return None
+
+    def mode(index: int) -> int:
+        found = number(index, "unix.mode")
+        return (DEFAULT_MODES[catalog.records[index - 1].kind] if found is None else found) & 0o7777
+
+    def extended(index: int) -> list[tuple[str, bytes]]:
+        attrs = catalog.records[index - 1].attrs
+        return [(n.removeprefix(XATTR), attrs[k]) for n, (k, _) in names.items() if n.startswith(XATTR) and k in attrs] if xattrs else []
+
+    directories = [(p, i) for p, i in items if catalog.records[i - 1].kind == "directory"]
+    for p, _ in directories:
+        os.makedirs(where(p), exist_ok=True)
+        stats["directories"] += 1
+    key, kind = names.get("blake3", (None, ""))
+    sums = verify and kind == "u256"
+    files = [(i, where(p), mode(i), extended(i), w if sums and (w := catalog.records[i - 1].attrs.get(key)) and len(w) == 32 else None) for p, i in items if catalog.records[i - 1].kind in ("file", "chunked_file")]
     if files:
-        wanted = spark.createDataFrame(files, "record_index long, file string")
-        key = names.get("blake3")
-        expected = {i: catalog.records[i - 1].attrs.get(key) for i, _ in files} if verify and key is not None and catalog.keys[key][1] == "u256" else {}
-        sums = spark.createDataFrame([(i, v) for i, v in expected.items() if v and len(v) == 32], "record_index long, expected binary")
+        wanted = spark.createDataFrame(files, "record_index long, file string, mode int, xattrs array<struct<name:string,value:binary>>, expected binary")
 
         def put(batches):
             import pyarrow as pa
@@ -367,37 +440,111 @@ def extract(spark: SparkSession, path: str, to: str, members: list[str] | None =
             for b in batches:
                 out, bodies, wants = [], b.column("content").to_pylist(), b.column("expected").to_pylist()
                 digests = blake3_many([c for c, w in zip(bodies, wants, strict=True) if w is not None])[::-1]
-                for body, file, want in zip(bodies, b.column("file").to_pylist(), wants, strict=True):
+                for body, file, bits, more, want in zip(bodies, *(b.column(c).to_pylist() for c in ("file", "mode", "xattrs")), wants, strict=True):
                     os.makedirs(os.path.dirname(file), exist_ok=True)
                     with open(file, "wb") as f:
                         f.write(body)
+                    for x in more:
+                        with contextlib.suppress(OSError):
+                            os.setxattr(file, x["name"], x["value"])
+                    os.chmod(file, bits)
                     out.append((len(body), int(want is not None and digests.pop() != want)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["bytes", "failed"])
 
-        rows = load(spark, path, "contents").join(wanted, "record_index").join(sums, "record_index", "left").select("content", "file", "expected")
+        rows = load(spark, path, "contents")
+        if members is not None:  # record numbers are pushed down, so that other payloads aren't read
+            rows = rows.where(F.col("record_index").isin([i for i, *_ in files]))
+        rows = rows.join(wanted, "record_index").select("content", "file", "mode", "xattrs", "expected")
         done = rows.mapInArrow(put, "bytes long, failed long").agg(F.count("*"), F.sum("bytes"), F.sum("failed")).first()
         stats |= {"files": done[0], "bytes": done[1] or 0, "checksum_failures": done[2] or 0}
     path_of = {i: p for p, i in reversed(catalog.items())}
     for p, i in items:
         r = catalog.records[i - 1]
-        if r.kind == "link":
-            if r.target not in path_of:
+        if r.kind in ("link", "external_link"):
+            if r.kind == "link" and r.target not in path_of:
                 raise ExtractError(f"link target {r.target} isn't in the archive", path=p)
-            os.symlink(os.path.relpath(where(path_of[r.target]), os.path.dirname(where(p))), where(p))
-            stats["links"] += 1
-        elif r.kind == "external_link":
-            os.symlink(r.external_target, where(p))
+            os.makedirs(os.path.dirname(where(p)), exist_ok=True)
+            os.symlink(os.path.relpath(where(path_of[r.target]), os.path.dirname(where(p))) if r.kind == "link" else r.external_target, where(p))
             stats["links"] += 1
+    # the deepest first, and after all else, as a directory may be closed to writing
+    for p, i in sorted(directories, key=lambda x: -x[0].count(SEP)):
+        for name, value in extended(i):
+            with contextlib.suppress(OSError):
+                os.setxattr(where(p), name, value)
+        os.chmod(where(p), mode(i))
     return stats
 
 
+def create(
+    spark: SparkSession, folder: str, path: str, recursive: bool = True, include_hidden: bool = False, exclude: list[str] = (), allow_external: bool = False, force: bool = False,
+    alignment: int = 8, timestamps: bool = False, ownership: bool = False, xattrs: bool = False, **options,
+) -> None:
+    """An archive of a folder that executors share: directories, files with their attributes, links.
+
+    exclude: globs on the whole path below the folder.  The archive itself is
+    never taken in.  Not recursive: directories below the folder get no entry
+    of their own; files in them do, with the directories those need.
+    """
+    from ..operators.entries import collect
+    from .files import capture_links, with_attributes
+
+    system, inner = open_file(path)
+    if not force and system.get_file_info(inner).type == fs.FileType.File:
+        raise WriteError("the archive exists already", path=path)
+    root = os.path.abspath(folder)
+    own = os.path.relpath(os.path.abspath(path), root).replace(os.sep, SEP)
+    names, folders = listing(folder)
+    links = {r[0] for r in capture_links(spark, folder, [], allow_external=True).select("path").collect()}
+    operands = spark.createDataFrame([(p, False) for p in names if p not in links] + [(p, True) for p in folders if p not in links], "path string, is_dir boolean")
+    kept = collect(operands.withColumns({"position": F.lit(0), "root": F.lit("")}), include_hidden, exclude, recursive, own)
+    # a file below a hidden or excluded directory is judged by its own path, as a walk that goes on below it does
+    rows = with_attributes(_contents_of(kept.where("NOT is_dir").select("path"), folder), folder, timestamps=timestamps, ownership=ownership, xattrs=xattrs)
+    archived = [r[0] for r in kept.select("path").collect()]
+    made = kept.where("is_dir").select("path", F.lit("directory").alias("record_type"))
+    taken = collect(capture_links(spark, folder, archived, allow_external).withColumns({"position": F.lit(0), "root": F.lit(""), "is_dir": F.lit(False)}), include_hidden, exclude, True, own)
+    entries = rows.unionByName(made, allowMissingColumns=True).unionByName(taken.drop("position", "root", "is_dir"), allowMissingColumns=True)
+    write(entries, path, alignment=alignment, walked=True, factor_owners=ownership, allow_external_symlinks=allow_external, **options)
+
+
+def listing(folder: str) -> tuple[list[str], list[str]]:
+    """The paths below a folder of its files and of its folders, hidden ones too; links aren't followed."""
+    system, inner = open_file(folder)
+    files, folders = [], []
+    if isinstance(system, fs.LocalFileSystem):
+        for top, dirs, names in os.walk(inner):
+            files += [os.path.relpath(os.path.join(top, n), inner) for n in names]
+            folders += [os.path.relpath(os.path.join(top, n), inner) for n in dirs]
+    else:
+        for info in system.get_file_info(fs.FileSelector(inner, recursive=True)):
+            (files if info.type == fs.FileType.File else folders).append(info.path[len(inner) :].strip("/"))
+    return sorted(p.replace("/", SEP) for p in files), sorted(p.replace("/", SEP) for p in folders)
+
+
+def _contents_of(paths: DataFrame, folder: str) -> DataFrame:
+    """paths(path) as rows to write, the files read by the tasks, one at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                system, inner = open_file(folder)
+                with system.open_input_stream(f"{inner}/{p.replace(SEP, '/')}") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array(["file"]), pa.array([f.read()], pa.binary())], names=["path", "record_type", "content"])
+
+    return paths.select("path").mapInArrow(run, "path string, record_type string, content binary")
+
+
 def walk(spark: SparkSession, folder: str, include_hidden: bool = False, pattern: str | None = None) -> DataFrame:
-    """Files below a folder as rows to write."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    """Files below a folder as rows to write; pattern: a glob on the whole path below it, where * and ? also match a slash.
+
+    Names are listed on the driver, and dealt out to the tasks that read them.
+    """
+    from ..functions.scalars import glob_regex
+
+    paths = spark.createDataFrame([(p,) for p in listing(folder)[0]], "path string")
     if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(folder)
-    root = os.path.abspath(folder)
-    path = F.replace(F.regexp_replace("path", "^[a-z]+:/*" + root.lstrip("/") + "/", ""), F.lit("/"), F.lit(SEP))
-    rows = files.select(path.alias("path"), F.lit("file").alias("record_type"), "content")
-    return rows if include_hidden else rows.where(~F.substring_index("path", SEP, -1).startswith("."))
+        paths = paths.where(F.replace("path", F.lit(SEP), F.lit("/")).rlike(glob_regex(pattern)))
+    if not include_hidden:
+        paths = paths.where(~F.substring_index("path", SEP, -1).startswith("."))
+    return _contents_of(paths.repartition("path"), folder)

@@ -2,8 +2,9 @@
 
 New archives arrive file by file; each micro-batch reads the table of the new
 ones only.  The other way, each micro-batch of entries is appended to one
-archive; a batch that was appended before its checkpoint is skipped by the
-number kept in the archive's attributes, so replays don't repeat it.
+archive; the batch's number is an attribute of the archive that the same rename
+publishes, so a replay of what was appended is skipped, and one of what was not
+starts anew.
 """
 
 from __future__ import annotations
@@ -58,8 +59,7 @@ def appender(path: str, **options) -> Callable[[DataFrame, int], None]:
         if number <= last_batch(path) or batch.isEmpty():
             return
         system, inner = open_file(path)
-        sink.write(batch, path, append=system.get_file_info(inner).is_file, **options)
-        sink.set_attributes(path, {BATCH: ("vu64", encode_vu64(number))})
+        sink.write(batch, path, append=system.get_file_info(inner).is_file, archive_attrs={BATCH: ("vu64", encode_vu64(number))}, **options)
 
     return put
 

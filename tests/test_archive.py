@@ -87,6 +87,77 @@ def test_extract(spark, made, tmp_path):
         sink.extract(spark, path, str(tmp_path / "none"), members=["missing"])
 
 
+def test_extract_restores_modes_and_reads_members_only(spark, tmp_path):
+    from stowage.sources.wire import encode_value
+
+    archive.register(spark)
+    path, to = str(tmp_path / "m.arc"), str(tmp_path / "m")
+    mode = lambda m: {"unix.mode": encode_value("vu32", m)}
+    rows = [
+        ("open\x1fa.sh", "file", b"run " * 50, mode(0o100750) | {"linux.xattr.user.note": b"kept"}), ("open\x1fb.txt", "file", b"text " * 50, {}), ("closed", "directory", None, mode(0o40500)), ("closed\x1fc", "file", b"c", mode(0o100400)),
+    ]
+    sink.write(spark.createDataFrame(rows, "path string, record_type string, content binary, attrs map<string,binary>"), path, archive_attrs={"unix.mode": ("vu32", encode_value("vu32", 0o100604))})
+    stats = sink.extract(spark, path, to, xattrs=True)
+    bits = lambda *p: os.stat(os.path.join(to, *p)).st_mode & 0o7777
+    # the record's mode, else the archive's
+    assert (bits("open", "a.sh"), bits("open", "b.txt"), bits("closed"), bits("closed", "c")) == (0o750, 0o604, 0o500, 0o400) and stats["files"] == 3
+    try:
+        assert os.getxattr(os.path.join(to, "open", "a.sh"), "user.note") == b"kept"
+    except OSError:
+        pass  # a file system without extended attributes
+    os.chmod(os.path.join(to, "closed"), 0o700)
+    # one member: the payloads of others may be damaged
+    at = archive.load(spark, path, "records").where("name = 'b.txt'").first()["data_offset"]
+    raw = bytearray(open(path, "rb").read())
+    raw[at : at + 8] = b"\0" * 8
+    open(path, "wb").write(raw)
+    only = sink.extract(spark, path, str(tmp_path / "one"), members=["open\x1fa.sh"])
+    assert only["files"] == 1 and os.path.exists(tmp_path / "one" / "open" / "a.sh") and not os.path.exists(tmp_path / "one" / "closed")
+
+
+def test_create_walks_excludes_and_leaves_itself_out(spark, tmp_path):
+    archive.register(spark)
+    src = tmp_path / "src"
+    (src / "a" / "deep").mkdir(parents=True)
+    for name in ("a/x.txt", "a/deep/y.txt", "a/deep/z.log", ".hidden", "top.txt"):
+        (src / name).write_text(f"{name} " * 40)
+    os.chmod(src / "top.txt", 0o600)
+    os.symlink("top.txt", src / "link")
+    path = str(src / "self.arc")
+    sink.create(spark, str(src), path, exclude=["*.log"], ownership=True)
+    shown = lambda: {r["path"].replace("\x1f", "/"): r["record_type"] for r in archive.load(spark, path, "records").collect()}
+    want = {"a": "directory", "a/deep": "directory", "a/x.txt": "file", "a/deep/y.txt": "file", "top.txt": "file", "link": "link"}
+    assert shown() == want and archive.load(spark, path, "archives").first()["alignment"] == 8
+    attrs = archive.load(spark, path, "attrs").collect()
+    uid = {(r["record_index"], r["key"]): r["v_long"] for r in attrs if r["key"] == "unix.uid"}
+    assert uid == {(None, "unix.uid"): os.getuid()}  # all files have one owner: the archive's
+    assert {r["v_long"] for r in attrs if r["key"] == "unix.mode"} >= {0o100600}
+    with pytest.raises(Exception, match="exists already"):
+        sink.create(spark, str(src), path)
+    sink.create(spark, str(src), path, force=True, include_hidden=True, recursive=False)
+    assert shown() == want | {"a/deep/z.log": "file", ".hidden": "file"}
+    assert {r["path"] for r in sink.walk(spark, str(src), pattern="a/*.txt").select("path").collect()} == {"a\x1fx.txt", "a\x1fdeep\x1fy.txt"}
+
+
+def test_writer_rules(spark, tmp_path):
+    archive.register(spark)
+    path, schema = str(tmp_path / "r.arc"), "path string, record_type string, content binary, dictionary binary"
+    one = lambda *rows, **options: sink.write(spark.createDataFrame(list(rows), schema), path, **options)
+    with pytest.raises(Exception, match="needs bytes"):
+        one(("e", "chunked_file", b"", None))
+    one(("small", "file", b"s" * 100, None), ("large", "file", b"l" * 900, None), ("empty", "file", b"", None), chunked=True, walked=True, block_size=512)
+    kinds = {r["path"]: r["record_type"] for r in archive.load(spark, path, "records").collect()}
+    assert kinds == {"small": "file", "large": "chunked_file", "empty": "file"}
+    with pytest.raises(Exception, match="share its one dictionary"):
+        one(("a", "file", b"a", b"first"), ("b", "file", b"b", b"second"))
+    sink.set_attributes(path, {"title": ("string", b"of one")}, member="small")
+    got = {(r["record_index"], r["key"]): r["v_string"] for r in archive.load(spark, path, "attrs").where("key = 'title'").collect()}
+    index = archive.load(spark, path, "paths").where("path = 'small'").first()["record_index"]
+    assert got == {(index, "title"): "of one"}
+    with pytest.raises(ArchiveError):
+        sink.set_attributes(path, {"title": ("u8", b"x")})
+
+
 def test_external_links_need_consent(spark, tmp_path):
     archive.register(spark)
     path = str(tmp_path / "ext.arc")
@@ -121,7 +192,7 @@ def test_sql_functions(spark, made):
     assert (row["a"], int(row["b"]), row["c"], row["d"][:8], bytes(row["e"])) == ("200000", 16511, "b", "AF1349B9", b"\x01\x02")
 
 
-def test_streams(spark, made, tmp_path):
+def test_streams(spark, made, tmp_path, monkeypatch):
     path, _ = made
     q = directory.read_entries(spark, os.path.dirname(path), "*.arc").writeStream.format("memory").queryName("arrived").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
@@ -133,6 +204,24 @@ def test_streams(spark, made, tmp_path):
         put(df, k)
         put(df, k)  # a replay adds nothing
     assert archive.load(spark, target, "paths").count() == 2 and directory.last_batch(target) == 1
+    # killed just before the rename: neither entries nor number are there, and the replay appends the batch once
+    import base64
+    import json
+
+    from pyspark.sql import Row
+
+    whole = open(target, "rb").read()
+    number = json.dumps({directory.BATCH: ("vu64", base64.b64encode(directory.encode_vu64(2)).decode())})
+    writer = sink.Writer({"path": target, "archive_attrs": number}, None, False)
+    done = writer.write(iter([Row(path="f2", record_type="file", content=b"body" * 40)]))
+    with monkeypatch.context() as m, pytest.raises(OSError, match="killed"):
+        m.setattr(sink, "finish", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+        writer.commit([done])
+    assert open(target, "rb").read() == whole and directory.last_batch(target) == 1
+    df = spark.createDataFrame([("f2", "file", b"body" * 40)], "path string, record_type string, content binary")
+    put(df, 2)
+    put(df, 2)
+    assert archive.load(spark, target, "paths").count() == 3 and directory.last_batch(target) == 2
 
 
 def test_walk_and_probe(spark, made, tmp_path):
