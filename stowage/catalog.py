@@ -15,6 +15,7 @@ from .operators import layout as L
 from .operators import namespace as N
 from .operators import summary as M
 from .plans import virtual as V
+from .real import register as _register_real
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -633,86 +634,21 @@ def data_locations(spark, d):
     return b.select("record_index", "logical_offset", S.data_location(F.lit(4096).cast("long"), F.col("physical_offset")).alias("at"))
 
 
-def _real(spark, d, codec: str = "zstd", **options):
-    """The corpus as a real archive in the shared folder; its path."""
-    import uuid
+def _integer_sql() -> str:
+    byte = lambda v: f"lpad(hex(CAST(({v}) & 255 AS BIGINT)), 2, '0')"
+    cases = []
+    for n, start in enumerate(S.BIAS):
+        head = byte(f"((x - {start}) >> {8 * n}) | {0x80 >> n}") if n < 8 else "'00'"
+        cases.append(f"WHEN x >= {start} " + (f"AND x < {S.BIAS[n + 1]} " if n < 8 else "") + "THEN " + " || ".join([head, *(byte(f"(x - {start}) >> {8 * k}") for k in range(n))]))
+    return "CASE " + " ".join(cases) + " END"
 
-    from .plans.stage import shared_dir
-    from .sources import archive, sink
 
-    archive.register(spark)
-    path = f"{shared_dir(spark).removeprefix('file://')}/corpus-{uuid.uuid4().hex}.arc"
-    f = V.files(spark, d, text=True)
-    entries = f.select("path", F.lit("file").alias("record_type"), F.encode("text", "UTF-8").alias("content"), F.col("doc_id").alias("position"), F.lit(codec).alias("codec"))
-    sink.write(entries, path, **options)
-    return path
-
-
-def _loaded(spark, path, table):
-    from .sources import archive
-
-    return archive.load(spark, path, table)
-
-
-@query("SELECT path, CASE WHEN record_type = 'directory' THEN 'directory' ELSE 'file' END AS record_type, compression, decompressed_length FROM entries")
-def real_archive_records(spark, d):
-    """Written as bytes, read back by the data source."""
-    return _loaded(spark, _real(spark, d), "records").select("path", "record_type", "compression", "decompressed_length")
-
-
-@query("SELECT path, CAST(32 + sum(length + (8 - length % 8) % 8) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - (length + (8 - length % 8) % 8) AS BIGINT) AS data_offset FROM files")
-def real_archive_layout(spark, d):
-    path = _real(spark, d, "stored", alignment=8, checksum="false")
-    return _loaded(spark, path, "records").where("record_type = 'file'").select("path", "data_offset")
-
-
-@query("SELECT path, sha256(text) AS digest FROM files")
-def real_archive_contents(spark, d):
-    path = _real(spark, d, "xz")
-    found = _loaded(spark, path, "contents").join(_loaded(spark, path, "paths"), ["archive_id", "record_index"])
-    return found.select("path", F.sha2("content", 256).alias("digest"))
-
-
-@query("SELECT CAST(0 AS BIGINT) AS archive_id, count(*) AS files_checked, CAST(0 AS BIGINT) AS files_without_checksum, CAST(0 AS BIGINT) AS checksum_failures FROM files")
-def real_archive_validation(spark, d):
-    from .sources import sink
-
-    return sink.validate(spark, _real(spark, d))
-
-
-@query("SELECT path, parent, name, depth FROM parts WHERE starts_with(path, 'corpus' || chr(31) || 'en' || chr(31) || 'src1')")
-def real_archive_prefix(spark, d):
-    p = _loaded(spark, _real(spark, d), "paths").where(F.col("path").startswith(S.SEP.join(("corpus", "en", "src1"))))
-    return p.select("path", "parent", "name", "depth")
-
-
-@query("SELECT doc_id + 1 AS record, CAST(1 + (decompressed_length - 1) // 512 AS BIGINT) AS blocks, CAST((decompressed_length - 1) // 512 * 512 AS BIGINT) AS last FROM files WHERE decompressed_length > 0")
-def real_archive_blocks(spark, d):
-    path = _real(spark, d, chunked="true", block_size=512)
-    f = V.files(spark, d).select("path", "doc_id")
-    b = _loaded(spark, path, "blocks").join(_loaded(spark, path, "paths").select("record_index", "path"), "record_index").join(f, "path")
-    return b.groupBy((F.col("doc_id") + 1).alias("record")).agg(F.count("*").alias("blocks"), F.max("logical_offset").alias("last"))
-
-
-@query("""SELECT q.request, substr(hex(encode(f.text)), 2 * q."offset" + 1, 2 * greatest(0, least(q.n, f.decompressed_length - q."offset"))) AS bytes FROM requests q JOIN files f ON q.record_index = f.doc_id + 1""")
-def real_archive_ranges(spark, d):
-    from .sources.ranges import read_ranges
-
-    path = _real(spark, d, chunked="true", block_size=512)
-    f = V.files(spark, d).select("path", (F.col("doc_id") + 1).alias("record_index"))
-    asked = V.requests(spark, d).join(f, "record_index").select("path", "request", "offset", "n")
-    p = _loaded(spark, path, "paths").select("path", "record_index")
-    out = read_ranges(asked.join(p, "path").select(F.lit(path).alias("uri"), "record_index", "offset", "n", "request"))
-    return out.select("request", F.hex("content").alias("bytes"))
-
-
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN x < 128 THEN printf('%02X', 128 + x) ELSE printf('%02X%02X', 64 + (x - 128) // 256, (x - 128) % 256) END AS raw, x AS back FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 16000 AS BIGINT) AS x FROM lineitem)")
+@query(f"""SELECT l_orderkey, l_linenumber, {_integer_sql()} AS raw, x AS back FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_partkey % 300 ELSE (l_partkey * 7919) << CAST(6 * (l_linenumber - 2) AS INT) END AS x FROM lineitem)""")
 def integer_encoding(spark, d):
-    from .functions.udfs import vu64_decode, vu64_encode
-
-    x = F.col("l_partkey") % 16000
-    rows = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", vu64_encode(x.cast("decimal(20,0)")).alias("raw"))
-    return rows.select("l_orderkey", "l_linenumber", F.hex("raw").alias("raw"), vu64_decode(F.col("raw")).cast("long").alias("back"))
+    """Integers of every length, as bytes and back, in built-in functions."""
+    x = F.when(F.col("l_linenumber") == 1, F.col("l_partkey") % 300).otherwise(F.expr("shiftleft(l_partkey * 7919, CAST(6 * (l_linenumber - 2) AS INT))"))
+    rows = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.vu64_encode(x).alias("raw"))
+    return rows.select("l_orderkey", "l_linenumber", F.hex("raw").alias("raw"), S.vu64_decode(F.col("raw")).cast("long").alias("back"))
 
 
 @query("SELECT path, sha256(text) AS zstd, sha256(text) AS xz FROM files")
@@ -737,3 +673,6 @@ def blake3_digests(spark, d):
     from .functions.udfs import blake3_256
 
     return V.files(spark, d, text=True).select("path", F.hex(blake3_256(F.encode("text", "UTF-8"))).alias("digest"))
+
+
+_register_real(query)

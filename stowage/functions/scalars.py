@@ -192,3 +192,80 @@ def data_location(base: Column, offset: Column) -> Column:
     """base + offset; an overflow is an error."""
     total = F.try_add(base, offset)
     return F.when(total.isNull() & base.isNotNull() & offset.isNotNull(), F.raise_error(F.lit("data location overflows")).cast("long")).otherwise(total)
+
+
+#: Where the values of each length of a variable-length integer start: 0, 2^7, 2^7 + 2^14, and so on.
+BIAS = [sum(1 << (7 * j) for j in range(1, n + 1)) for n in range(9)]
+
+
+def vu64_encode(x: Column) -> Column:
+    """The bytes of a variable-length unsigned integer (a long that isn't negative)."""
+    out = F.lit(None).cast("string")
+    byte = lambda v: F.lpad(F.hex(v.bitwiseAND(255)), 2, "0")
+    for n in range(8, -1, -1):
+        raw = x - BIAS[n]
+        head = byte(F.shiftright(raw, 8 * n).bitwiseOR(0x80 >> n)) if n < 8 else F.lit("00")
+        out = F.when((x >= BIAS[n]) & (x < BIAS[n + 1] if n < 8 else F.lit(True)), F.concat(head, *[byte(F.shiftright(raw, 8 * k)) for k in range(n)])).otherwise(out)
+    return F.unhex(out)
+
+
+def vi64_encode(x: Column) -> Column:
+    """The bytes of a variable-length signed integer below 2^62 either way."""
+    return vu64_encode(F.when(x >= 0, x * 2).otherwise(-x * 2 - 1))
+
+
+def vu64_decode(raw: Column) -> Column:
+    """The DECIMAL(20,0) in bytes that hold exactly one variable-length integer; null otherwise."""
+    digits = F.hex(raw)
+    byte = lambda k: F.conv(F.substring(digits, 2 * k + 1, 2), 16, 10).cast("decimal(20,0)")
+    head = F.conv(F.substring(digits, 1, 2), 16, 10).cast("int")
+    out = F.lit(None).cast("decimal(20,0)")
+    for n in range(9):
+        low, high = 0x80 >> n, (0x100 >> n) - 1
+        total = F.lit(BIAS[n]).cast("decimal(20,0)")
+        for k in range(n):
+            total = (total + byte(k + 1) * F.lit(str(1 << (8 * k))).cast("decimal(20,0)")).cast("decimal(38,0)")
+        if n < 8:
+            total = (total + (head - low).cast("decimal(20,0)") * F.lit(str(1 << (8 * n))).cast("decimal(20,0)")).cast("decimal(38,0)")
+        fits = (F.octet_length(raw) == n + 1) & (head.between(low, high) if n < 8 else head == 0) & (total < F.lit(str(1 << 64)).cast("decimal(38,0)"))
+        out = F.when(fits, total.cast("decimal(20,0)")).otherwise(out)
+    return out
+
+
+#: Fixed value: 100 ns steps from 1601-01-01 to 1970-01-01.
+UNIX_AS_FILETIME = 116_444_736_000_000_000
+
+
+def filetime(minutes: Column) -> Column:
+    """Minutes after the epoch as 100 ns steps after 1601, held at the ends of a long."""
+    wide = minutes.cast("decimal(20,0)") * 600_000_000 + F.lit(str(EPOCH * 10_000_000 + UNIX_AS_FILETIME)).cast("decimal(20,0)")
+    return F.greatest(F.least(wide, F.lit(str((1 << 63) - 1)).cast("decimal(38,0)")), F.lit(str(-(1 << 63))).cast("decimal(38,0)")).cast("long")
+
+
+def attr_json(effective: Column, long_value: Column, decimal_value: Column, text: Column, raw: Column, when: Column) -> Column:
+    """An attribute's value as JSON text: numbers and JSON as they are, times in RFC 3339, bytes in hex."""
+    quoted = lambda c: F.get_json_object(F.to_json(F.array(c)), "$").substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    return (
+        F.when(effective == "json", text)
+        .when(effective == "string", quoted(text))
+        .when(effective == "datetime", quoted(format_time(when)))
+        .when(effective == "vu64", decimal_value.cast("string"))
+        .when(long_value.isNotNull(), long_value.cast("string"))
+        .otherwise(quoted(F.lower(F.hex(raw))))
+    )
+
+
+def attr_line(key: Column, effective: Column, long_value: Column, decimal_value: Column, text: Column, raw: Column, when: Column) -> Column:
+    """An attribute as a line of an inspection: name, type and value; the mode in octal, bytes spaced in hex."""
+    spaced = F.rtrim(F.regexp_replace(F.lower(F.hex(raw)), "(..)", "$1 "))
+    line = lambda kind, value: F.concat(key, F.lit(f"[{kind}]: "), value)
+    return (
+        F.when((effective == "bytes") & (F.octet_length(raw) == 0), line("bytes", F.lit("(empty)")))
+        .when(effective == "bytes", F.concat(key, F.lit("["), F.octet_length(raw).cast("string"), F.lit(" bytes]: "), spaced))
+        .when(effective == "string", line("str", F.when(text == "", "(empty)").otherwise(text)))
+        .when(effective == "json", line("json", text))
+        .when((effective == "vu32") & (key == "unix.mode"), line("vu32 oct", F.conv(long_value.cast("string"), 10, 8)))
+        .when(effective == "datetime", line("datetime", format_time(when)))
+        .when(effective.isin("u128", "u256"), F.concat(key, F.lit("["), effective, F.lit("]: "), F.lower(F.hex(raw))))
+        .otherwise(F.concat(key, F.lit("["), effective, F.lit("]: "), F.coalesce(decimal_value.cast("string"), long_value.cast("string"))))
+    )

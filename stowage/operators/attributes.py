@@ -8,7 +8,6 @@ decode as expressions; variable-length integers by ``functions.udfs``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DEFAULT_MODES
@@ -84,6 +83,14 @@ def timestamps(wide: DataFrame) -> DataFrame:
     return wide.withColumns({"mtime": mtime, "atime": F.coalesce("accessed", mtime), "crtime": F.coalesce("created", epoch)})
 
 
+def archive_times(records: DataFrame, attrs: DataFrame, keys: tuple[str, ...] = ("created", "modified", "accessed")) -> DataFrame:
+    """records with the minutes of each time: the record's, else the archive's; only values that are times count."""
+    times = attrs.where("effective_type = 'datetime'")
+    for key in keys:
+        records = with_default(records, times, key, "v_long", F.lit(None).cast("long"))
+    return records
+
+
 def factored(records: DataFrame, column: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(archive default: the first file's value; records with equal values dropped)."""
     first = records.where(F.col(column).isNotNull()).groupBy("archive_id").agg(F.min_by(column, order).alias("_default"))
@@ -100,22 +107,7 @@ def xattrs(attrs: DataFrame) -> DataFrame:
     return attrs.where(F.col("key").startswith(XATTR)).withColumn("xattr", F.expr(f"substring(key, {len(XATTR) + 1})"))
 
 
-def pivoted(attrs: DataFrame, keys: list[str], value: str = "v_long") -> DataFrame:
-    """One row a record with a column for each of the keys."""
-    aggs = [F.max(F.when(F.col("key") == k, F.col(value))).alias(k) for k in keys]
-    return attrs.groupBy("archive_id", "record_index").agg(*aggs)
-
-
 def upsert_attr(records: DataFrame, key: str, raw: Column) -> DataFrame:
     """records with map column attrs: key set to raw."""
     others = F.map_filter("attrs", lambda k, _: k != key)
     return records.withColumn("attrs", F.map_concat(others, F.create_map(F.lit(key), raw)))
-
-
-def retyped(attr_keys: DataFrame) -> DataFrame:
-    """Names that were given more than one type, which a writer must refuse."""
-    return attr_keys.groupBy("archive_id", "name").agg(F.countDistinct("attr_type").alias("n")).where("n > 1")
-
-
-def insertion_rank(records: DataFrame) -> DataFrame:
-    return records.withColumn("rank", F.row_number().over(W.partitionBy("archive_id").orderBy("record_index")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SEP, align_up, name, parent
+from ..functions.scalars import align_up, parent
 from ..plans.stage import lagged, running_sums
 from .blocks import KEY
 
@@ -96,7 +96,3 @@ def upserted(entries: DataFrame, order: str) -> DataFrame:
     """One entry for each path, the last inserted."""
     rest = [c for c in entries.columns if c not in ("path", order)]
     return entries.groupBy("path").agg(F.max_by(F.struct(*rest), order).alias("_b")).select("path", "_b.*")
-
-
-def with_names(paths: DataFrame) -> DataFrame:
-    return paths.withColumn("name", name(F.col("path"))).withColumn("depth", (F.length("path") - F.length(F.replace("path", F.lit(SEP), F.lit("")))).cast("int"))

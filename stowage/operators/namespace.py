@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SEP, parent
-from .entries import children
+from .entries import children, tree_paths
 
 
 def merged(entries: DataFrame) -> DataFrame:
@@ -73,3 +73,34 @@ def reported_size(record_type: Column, size: Column, target_name: Column, relati
     fuse = F.when(record_type == "directory", F.lit(4096).cast("long")).when(record_type == "link", F.octet_length(target_name).cast("long")).when(record_type == "external_link", F.octet_length(external).cast("long")).otherwise(size)
     kernel = F.when(record_type == "directory", F.lit(4096).cast("long")).when(record_type == "link", F.octet_length(relative).cast("long")).when(record_type == "external_link", F.octet_length(external).cast("long")).otherwise(size)
     return {"size_by_name": fuse, "size_by_path": kernel}
+
+
+def by_composite(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys(composite_key, DECIMAL(38,0) of archive and record) with the entry each names; absent where there is none.
+
+    Record 0 names nothing.
+    """
+    wide = F.lit(str(1 << 64)).cast("decimal(38,0)")
+    archive = F.expr(f"CAST(composite_key DIV CAST('{1 << 64}' AS DECIMAL(38,0)) AS LONG)")
+    parts = keys.withColumn("archive_id", archive)
+    parts = parts.withColumn("record_index", F.try_subtract(F.col("composite_key"), (F.col("archive_id").cast("decimal(18,0)") * wide).cast("decimal(38,0)")).cast("long"))
+    return parts.where("record_index > 0").join(entries, ["archive_id", "record_index"])
+
+
+def with_pending(indexed: DataFrame, pending: DataFrame) -> DataFrame:
+    """path, record_index of indexed(path, record_index) and of pending(record_index, parent_index, name) below them.
+
+    Entries added to an archive that is open hang on the record above them
+    until the index is made anew: on an indexed directory, on another pending
+    entry, or (null) on the root.  An indexed path wins over a pending one.
+    """
+    above = pending.join(indexed.select(F.col("record_index").alias("parent_index"), F.col("path").alias("_above")), "parent_index", "left")
+    inside = above.select(F.col("record_index").alias("id"), F.when(F.col("_above").isNull(), F.col("parent_index")).alias("parent_id"), F.when(F.col("_above").isNotNull(), F.concat_ws(SEP, "_above", "name")).otherwise(F.col("name")).alias("name"))
+    found = tree_paths(inside).select("path", F.col("id").alias("record_index"), F.lit(1).alias("_age"))
+    both = indexed.select("path", "record_index", F.lit(0).alias("_age")).unionByName(found)
+    return both.groupBy("path").agg(F.min_by("record_index", F.struct("_age", "record_index")).alias("record_index"))
+
+
+def finder_size(record_type: Column, size: Column, children: Column) -> Column:
+    """The size a third kind of mount reports: a directory's is its number of stored children, a link's is 0."""
+    return F.when(record_type == "directory", F.coalesce(children, F.lit(0))).when(record_type.isin("link", "external_link"), F.lit(0)).otherwise(size).cast("long")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import depth, ratio
+from ..functions.scalars import attr_json, attr_line, block_count, checksum_text, depth, display, format_acl, format_path, format_time, ratio
+from .attributes import modes
 
 FILES = ("file", "chunked_file")
 LINKS = ("link", "external_link")
@@ -126,3 +127,75 @@ def lru_hits(log: DataFrame, capacity: int) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields) + ", hit boolean"
     return log.groupBy("archive_id").applyInPandas(replay, schema)
+
+
+_VALUE = ["effective_type", "v_long", "v_decimal", "v_string", "raw", "v_ts"]
+
+
+def _with_targets(records: DataFrame) -> DataFrame:
+    """records with target: the path of a link's record (the least of several), or an external link's text."""
+    to = records.where("path IS NOT NULL").groupBy("archive_id", F.col("record_index").alias("link_target_index")).agg(F.min("path").alias("_to"))
+    return records.join(to, ["archive_id", "link_target_index"], "left").withColumn("target", F.coalesce("external_target", display(F.col("_to")))).drop("_to")
+
+
+def _created(records: DataFrame, attrs: DataFrame) -> DataFrame:
+    times = attrs.where("key = 'created' AND record_index IS NOT NULL AND v_ts IS NOT NULL").select("archive_id", "record_index", format_time(F.col("v_ts")).alias("created"))
+    return records.join(times, ["archive_id", "record_index"], "left")
+
+
+def entries_json(records: DataFrame, attrs: DataFrame) -> DataFrame:
+    """archive_id, path, json of each entry as data: type, sizes, codec, time, whole checksum, target; absent fields are left out."""
+    file = F.col("record_type").isin(*FILES)
+    rows = _created(_with_targets(records.where("path IS NOT NULL")), attrs)
+    fields = F.struct(
+        display(F.col("path")).alias("path"),
+        F.col("record_type").alias("type"),
+        F.when(file, F.col("decompressed_length")).alias("size"),
+        F.when(file, F.col("length")).alias("compressed_size"),
+        F.when(file, F.col("compression")).alias("compression"),
+        "created",
+        F.when(file, checksum_text(F.col("attrs")["blake3"], F.col("attrs")["crc32"])).alias("checksum"),
+        "target",
+    )
+    return rows.select("archive_id", "path", F.to_json(fields).alias("json"))
+
+
+def archives_json(archives: DataFrame, attrs: DataFrame) -> DataFrame:
+    """uri, json of each archive: its alignment and own attributes by name, each value with its type."""
+    own = attrs.where("record_index IS NULL").select("archive_id", "key", attr_json(*map(F.col, _VALUE)).alias("_v"))
+    pairs = own.groupBy("archive_id").agg(F.array_sort(F.collect_list(F.struct("key", "_v"))).alias("_all"))
+    inner = F.array_join(F.transform(F.coalesce("_all", F.array().cast("array<struct<key:string,_v:string>>")), lambda x: F.concat(F.to_json(F.struct(x["key"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(x["key"].alias("k")))) - 6), F.lit(":"), x["_v"])), ",")
+    return archives.join(pairs, "archive_id", "left").select("uri", F.concat(F.lit('{"alignment":'), "alignment", F.lit(',"attributes":{'), inner, F.lit("}}")).alias("json"))
+
+
+def archives_info(archives: DataFrame, records: DataFrame) -> DataFrame:
+    """The inspection of each archive: header fields, counts, sizes and saved share."""
+    return archives.select("archive_id", "uri", "version", "alignment", "trailer_size").join(archive_summary(records), "archive_id", "left")
+
+
+def members_info(records: DataFrame) -> DataFrame:
+    """The inspection of each entry: kind, place, sizes, saved share, blocks, target."""
+    file, n = F.col("record_type").isin(*FILES), F.col("decompressed_length")
+    return _with_targets(records.where("path IS NOT NULL")).select(
+        "archive_id", "path", "record_index", "record_type", F.when(file, F.col("compression")).alias("compression"), F.when(file, n).alias("size"), F.when(file, F.col("length")).alias("compressed"),
+        F.when(file, ratio(F.col("length"), n)).alias("ratio"), F.when(file, F.col("data_offset")).alias("data_offset"), F.when(F.col("record_type") == "chunked_file", block_count(n, F.col("block_size"))).alias("blocks"), "target",
+    )
+
+
+def attribute_lines(attrs: DataFrame) -> DataFrame:
+    """archive_id, record_index (null: the archive's own), key, place (from 1, by name), line."""
+    listed = attrs.select("archive_id", "record_index", "key", attr_line(F.col("key"), *map(F.col, _VALUE)).alias("line"))
+    # an entry's attributes are few: one row holds them, and no window is needed
+    one = listed.groupBy("archive_id", "record_index").agg(F.array_sort(F.collect_list(F.struct("key", "line"))).alias("_all"))
+    return one.select("archive_id", "record_index", F.posexplode("_all").alias("place", "_a")).select("archive_id", "record_index", "_a.key", (F.col("place") + 1).alias("place"), "_a.line")
+
+
+def long_listing(records: DataFrame, attrs: DataFrame) -> DataFrame:
+    """archive_id, path, acl, compressed, size, created, shown, target of each entry; the mode is the record's, the archive's, or its kind's."""
+    numbers = attrs.where("key = 'unix.mode' AND v_long IS NOT NULL")
+    rows = _created(modes(_with_targets(records.where("path IS NOT NULL")), numbers), attrs)
+    kind = F.when(F.col("record_type") == "directory", "d").when(F.col("record_type").isin(*LINKS), "l").otherwise("-")
+    return rows.select(
+        "archive_id", "path", F.concat(kind, format_acl(F.col("`unix.mode`"))).alias("acl"), F.col("length").alias("compressed"), F.col("decompressed_length").alias("size"), F.coalesce("created", F.lit("-")).alias("created"),
+        format_path(F.col("path"), F.col("record_type") == "directory").alias("shown"), "target",
+    )

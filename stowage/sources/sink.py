@@ -498,7 +498,7 @@ def create(
     operands = spark.createDataFrame([(p, False) for p in names if p not in links] + [(p, True) for p in folders if p not in links], "path string, is_dir boolean")
     kept = collect(operands.withColumns({"position": F.lit(0), "root": F.lit("")}), include_hidden, exclude, recursive, own)
     # a file below a hidden or excluded directory is judged by its own path, as a walk that goes on below it does
-    rows = with_attributes(_contents_of(kept.where("NOT is_dir").select("path"), folder), folder, timestamps=timestamps, ownership=ownership, xattrs=xattrs)
+    rows = with_attributes(contents_of(kept.where("NOT is_dir").select("path"), folder), folder, timestamps=timestamps, ownership=ownership, xattrs=xattrs)
     archived = [r[0] for r in kept.select("path").collect()]
     made = kept.where("is_dir").select("path", F.lit("directory").alias("record_type"))
     taken = collect(capture_links(spark, folder, archived, allow_external).withColumns({"position": F.lit(0), "root": F.lit(""), "is_dir": F.lit(False)}), include_hidden, exclude, True, own)
@@ -520,7 +520,7 @@ def listing(folder: str) -> tuple[list[str], list[str]]:
     return sorted(p.replace("/", SEP) for p in files), sorted(p.replace("/", SEP) for p in folders)
 
 
-def _contents_of(paths: DataFrame, folder: str) -> DataFrame:
+def contents_of(paths: DataFrame, folder: str) -> DataFrame:
     """paths(path) as rows to write, the files read by the tasks, one at a time."""
 
     def run(batches):
@@ -547,4 +547,4 @@ def walk(spark: SparkSession, folder: str, include_hidden: bool = False, pattern
         paths = paths.where(F.replace("path", F.lit(SEP), F.lit("/")).rlike(glob_regex(pattern)))
     if not include_hidden:
         paths = paths.where(~F.substring_index("path", SEP, -1).startswith("."))
-    return _contents_of(paths.repartition("path"), folder)
+    return contents_of(paths.repartition("path"), folder)

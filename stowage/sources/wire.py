@@ -284,6 +284,31 @@ def encode_trailer(catalog: Catalog, paths: dict[str, int], blocks: dict[tuple[i
     return out
 
 
+def encode_old(catalog: Catalog, padded: bool = False) -> bytes:
+    """Version 0 bytes: the stored tree, untyped keys; padded: the sizes of records' attribute maps count their own eight bytes."""
+
+    def attrs(values: dict[int, bytes]) -> bytes:
+        body = encode_attrs(values)[8:]
+        return (len(body) + (8 if padded else 0)).to_bytes(8, "little") + body
+
+    numbers = {v: k for k, v in OLD_KINDS.items()}
+    listed = lambda xs: encode_vu64(len(xs)) + b"".join(map(encode_vu64, xs))
+    out = listed(catalog.root) + encode_vu64(len(catalog.records))
+    for r in catalog.records:
+        out += bytes([numbers[r.kind]])
+        if r.kind == "file":
+            out += bytes([NUMBERS[r.compression]]) + struct.pack("<QQQ", r.length, r.decompressed_length, r.data)
+        out += _text(r.name)
+        if r.kind == "directory":
+            out += listed(r.entries)
+        elif r.kind == "link":
+            out += encode_vu64(r.target)
+        elif r.kind == "external_link":
+            out += _text(r.external_target)
+        out += attrs(r.attrs)
+    return out + encode_vu64(len(catalog.keys)) + b"".join(_text(n) for n, _ in catalog.keys) + encode_attrs(catalog.attrs)
+
+
 def encode_value(kind: str, value) -> bytes:
     """An attribute's raw bytes."""
     if kind in ("bytes", "u128", "u256"):
