@@ -75,14 +75,16 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as byte requests: archive_id, record_index, request, offset, n."""
-    e = table(spark, sf_dir, "events")
-    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("_docs"))
-    return e.crossJoin(F.broadcast(n)).select(
+    """Events as byte requests anywhere in a document, some past its end: archive_id, record_index, request, offset, n."""
+    e, docs = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
+    record = F.pmod(F.col("user_id") * 7919 + F.col("event_id"), docs.agg(F.count("*")).scalar()) + 1
+    sizes = docs.select((F.col("doc_id") + 1).alias("record_index"), F.octet_length("text").cast("long").alias("_size"))
+    asked = e.select("event_id", "value", record.cast("long").alias("record_index")).join(sizes, "record_index")
+    return asked.select(
         F.lit(0).cast("long").alias("archive_id"),
-        (F.pmod(F.col("user_id") * 7919 + F.col("event_id"), F.col("_docs")) + 1).cast("long").alias("record_index"),
+        "record_index",
         F.col("event_id").alias("request"),
-        F.floor(F.pmod(F.abs(F.col("value")) * 100, F.lit(4000.0))).cast("long").alias("offset"),
+        F.pmod(F.floor(F.abs(F.col("value")) * 100).cast("long") * 6151 + F.col("event_id"), F.col("_size") + 100).alias("offset"),
         (F.pmod(F.col("event_id") * 37, F.lit(3000)) + 1).cast("long").alias("n"),
     )
 
@@ -98,9 +100,9 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as links; those of toxic 1 point past the last document."""
-    top = table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("_top"))
-    rows = table(spark, sf_dir, "labels").crossJoin(F.broadcast(top))
-    target = F.col("doc_id") + F.when(F.col("toxic") == 1, F.col("_top") + 1).otherwise(0) + 1
+    top = table(spark, sf_dir, "documents").agg(F.max("doc_id")).scalar()
+    rows = table(spark, sf_dir, "labels")
+    target = F.col("doc_id") + F.when(F.col("toxic") == 1, top + 1).otherwise(0) + 1
     return rows.select(
         F.lit(0).cast("long").alias("archive_id"),
         join_path("corpus", "links", F.concat(F.lit("q"), F.col("quality")), F.concat(F.lit("link_"), F.col("doc_id"))).alias("path"),
@@ -144,10 +146,11 @@ chunked AS (
 blocks AS (
   SELECT archive_id, record_index, block_size, decompressed_length, data_offset, length, unnest(range(0, decompressed_length, 1024)) AS logical_offset FROM chunked),
 placed AS (SELECT *, data_offset + logical_offset AS physical_offset FROM blocks),
+asked AS (SELECT event_id, value, CAST((user_id * 7919 + event_id) % (SELECT count(*) FROM documents) + 1 AS BIGINT) AS record_index FROM events),
 requests AS (
-  SELECT CAST(0 AS BIGINT) AS archive_id, CAST((user_id * 7919 + event_id) % (SELECT count(*) FROM documents) + 1 AS BIGINT) AS record_index,
-         event_id AS request, CAST(floor((abs(value) * 100) % 4000.0) AS BIGINT) AS "offset", CAST(event_id * 37 % 3000 + 1 AS BIGINT) AS n
-  FROM events),
+  SELECT CAST(0 AS BIGINT) AS archive_id, record_index, event_id AS request,
+         (CAST(floor(abs(value) * 100) AS BIGINT) * 6151 + event_id) % (decompressed_length + 100) AS "offset", CAST(event_id * 37 % 3000 + 1 AS BIGINT) AS n
+  FROM asked JOIN files ON record_index = doc_id + 1),
 overlay AS (
   SELECT archive_id, path, min(doc_id) AS record_index, CAST(sum(n) AS BIGINT) AS decompressed_length, min(doc_id) % 7 = 0 AS is_dir
   FROM (SELECT CAST(CAST(substr(source, 4) AS INT) % 3 AS BIGINT) AS archive_id, concat_ws(chr(31), 'corpus', lang, 'doc_' || (doc_id % 300) || '.txt') AS path, doc_id, strlen(text) AS n FROM documents)
