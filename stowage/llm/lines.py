@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, read
 from .kernels import LOWER, blocks, mix, span_hashes, text_bytes, words
-from .packing import pack, planes, release, unpack, unplaned
+from .packing import Deal, pack, planes, release, unpack, unplaned
 from .rarity import slot_counts, slot_of
 
 NEED = 75
@@ -158,7 +158,7 @@ def _place_columns(digest, doc, number) -> list[np.ndarray]:
     return [digest, unplaned(doc).view(np.int64), unplaned(number).astype(np.int32)]
 
 
-def _send(parts: int, counts):
+def _send(deal: Deal, counts):
     """Kind 0: entries of each distinct set of a batch, by prefix token. Kind 1: where every set stands, by its hash.
 
     An entry has token, digest, id and number of the earliest line, size,
@@ -188,9 +188,9 @@ def _send(parts: int, counts):
             columns = [np.concatenate(c) for c in zip(*entries, strict=True)]
             keep = _earliest(*columns[:4])
             columns = [c[keep] for c in columns]
-            yield _rows(0, (mix(columns[0]) % _U(parts)).astype(np.int32), columns, _entry_block)
+            yield _rows(0, deal.by_kind(mix(columns[0])), columns, _entry_block)
             columns = [np.concatenate(c) for c in zip(*places, strict=True)]
-            yield _rows(1, (columns[0] % _U(parts)).astype(np.int32), columns, _place_block)
+            yield _rows(1, deal.by_part(columns[0]), columns, _place_block)
         release()
 
     return run
@@ -449,18 +449,18 @@ def _overlap(token: np.ndarray, begin: np.ndarray, size: np.ndarray, x: np.ndarr
     return np.bincount(pair[order][1:][same], minlength=len(x))
 
 
-def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(ids.view(_U)) % _U(parts)).astype(np.int32)
+def _part_of(ids: np.ndarray, deal: Deal) -> np.ndarray:
+    return deal.by_part(mix(ids.view(_U)))
 
 
-def send_texts(docs: DataFrame, parts: int) -> DataFrame:
+def send_texts(docs: DataFrame, deal: Deal) -> DataFrame:
     """The texts of docs (doc_id, text), as blocks by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).fill_null(NO_ID).to_numpy()
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            part = _part_of(np.ascontiguousarray(ids), parts)
+            part = _part_of(np.ascontiguousarray(ids), deal)
             order = np.argsort(part, kind="stable")
             cut = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else np.zeros(0, np.int64)
             bodies = [pack(ids[order[a:e]], [texts[i] for i in order[a:e]]) for a, e in zip(cut, np.append(cut[1:], len(order)), strict=True)] if len(cut) else []
@@ -469,13 +469,13 @@ def send_texts(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, body binary")
 
 
-def _by_part(rows: DataFrame, parts: int) -> DataFrame:
+def _by_part(rows: DataFrame, deal: Deal) -> DataFrame:
     """rows with the part of their column doc, as the texts are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc = b.column(b.schema.get_field_index("doc")).to_numpy()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_part_of(np.ascontiguousarray(doc), parts))], names=[*b.schema.names, "part"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_part_of(np.ascontiguousarray(doc), deal))], names=[*b.schema.names, "part"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())]))
 
@@ -525,15 +525,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y").select("x", "x_tokens", "y_tokens").mapInArrow(run, "digest long").distinct()
 
 
-def removals(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+def removals(docs: DataFrame, deal: Deal, scratch: Scratch) -> DataFrame:
     """part (of the document), body: doc, line, digest of the lines to remove; docs has doc_id and text."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(slot_counts(docs, _tokens))
-    sent = docs.mapInArrow(_send(parts, counts), _ROW_DDL)
-    texts = send_texts(docs, parts)
+    sent = docs.mapInArrow(_send(deal, counts), _ROW_DDL)
+    texts = send_texts(docs, deal)
 
     def token_sets(ends: DataFrame) -> DataFrame:
-        return scratch.keep(texts.groupBy("part").cogroup(_by_part(ends.distinct(), parts).groupBy("part")).applyInArrow(_fetch, "digest long, tokens binary"))
+        return scratch.keep(texts.groupBy("part").cogroup(_by_part(ends.distinct(), deal).groupBy("part")).applyInArrow(_fetch, "digest long, tokens binary"))
 
     met = scratch.keep(sent.groupBy("kind", "part").applyInArrow(_meet, _ROW_DDL))
     pairs = _pairs(met)
@@ -551,7 +551,7 @@ def removals(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
             found, block = found.unionAll(scratch.keep(_search_all(docs, block))), []
     if block:
         found = found.unionAll(scratch.keep(_search_all(docs, block)))
-    later = found.withColumn("part", F.pmod(F.col("digest").cast("decimal(20,0)") + F.when(F.col("digest") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(0), F.lit(parts)).cast("int"))
+    later = found.withColumn("part", deal.column(F.pmod(F.col("digest").cast("decimal(20,0)") + F.when(F.col("digest") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(0), F.lit(deal.parts)).cast("int")))
 
     def settle(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """Of the lines of a part's sets: all but the earliest of each, and all of the sets that match an earlier one."""
@@ -565,7 +565,7 @@ def removals(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
         of = np.cumsum(np.r_[True, digest[1:] != digest[:-1]]) - 1
         behind = (doc > doc[head][of]) | ((doc == doc[head][of]) & (number > number[head][of]))
         gone = behind | np.isin(digest, right.column("digest").to_numpy().view(_U))
-        rows = _rows(2, _part_of(np.ascontiguousarray(doc[gone]), parts), [digest[gone], doc[gone], number[gone]], _place_block)
+        rows = _rows(2, _part_of(np.ascontiguousarray(doc[gone]), deal), [digest[gone], doc[gone], number[gone]], _place_block)
         return pa.Table.from_batches([rows.select(["part", "body"])])
 
     return met.where("kind = 1").groupBy("part").cogroup(later.groupBy("part")).applyInArrow(settle, "part int, body binary")
@@ -605,15 +605,15 @@ def _line_key(digest: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.nda
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 and, if asked for, the kept text (as UTF-8) of each row."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    deal = Deal(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = removals(source, parts, Scratch(docs.sparkSession, "lines"))
+    gone = removals(source, deal, Scratch(docs.sparkSession, "lines"))
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return _cut(key, left, right, texts)
 
     ddl = "doc_id long, n_lines long, n_removed long, kept_sha256 string" + (", kept binary" if texts else "")
-    return send_texts(source, parts).groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(cut, ddl)
+    return send_texts(source, deal).groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(cut, ddl)
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

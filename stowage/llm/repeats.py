@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .kernels import blocks, gram_hashes, mix, span_hashes, text_bytes
-from .packing import pack, planes, release, unpack, unplaned
+from .packing import Deal, pack, planes, release, unpack, unplaned
 
 LENGTH, Q = 50, 20
 REACH = LENGTH - Q  # strings of an anchor start at most this far before it
@@ -143,10 +143,6 @@ def _tabled(f, schema: pa.Schema):
     return run
 
 
-def _parts_of(words: np.ndarray, parts: int) -> np.ndarray:
-    return (words % _U(parts)).astype(np.int32)
-
-
 def _anchor_block(text, place, gram, shared, part_of_text, name) -> bytes:
     """Anchors in order of their q-gram: 32 bits of it (besides what the bucket tells) as steps, the texts as a table."""
     table, number = np.unique(text, return_inverse=True)
@@ -154,7 +150,7 @@ def _anchor_block(text, place, gram, shared, part_of_text, name) -> bytes:
     return pack(planes(part_of_text[table], 4), planes(name[table], 7), planes(number, 4), planes(place, 4), planes(step, 4), np.packbits(shared))
 
 
-def _send_anchors(parts: int):
+def _send_anchors(deal: Deal):
     """Kind 0: anchors by q-gram, each q-gram once for a portion. Kind 1: the others of q-grams that repeat in it, by content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +160,7 @@ def _send_anchors(parts: int):
             if not texts:
                 continue
             content = content_ids(texts)
-            dealt, name = _parts_of(content[:, 0], parts), _name(content)
+            dealt, name = deal.by_part(content[:, 0]), _name(content)
             data, offsets = text_bytes(pa.array(texts, pa.large_binary()))
             got = []
             for first, part, at in blocks(data, offsets):
@@ -179,7 +175,7 @@ def _send_anchors(parts: int):
             shared = (text[edge] != text[last])[np.cumsum(new) - 1]  # texts ascend inside a run
             send = new | ~shared
             k = np.flatnonzero(send)
-            rows = _deal(_parts_of(gram[k], parts), 0, [text[k], place[k], gram[k], shared[k]], lambda *c: _anchor_block(*c, dealt, name))  # noqa: B023
+            rows = _deal(deal.by_kind(gram[k]), 0, [text[k], place[k], gram[k], shared[k]], lambda *c: _anchor_block(*c, dealt, name))  # noqa: B023
             k = np.flatnonzero(~send)
             rows += _deal(dealt[text[k]], 1, [name[text[k]], place[k]], lambda n, p: pack(planes(n, 7), planes(p, 4)))
             yield _rows(rows)
@@ -188,7 +184,7 @@ def _send_anchors(parts: int):
     return run
 
 
-def _shared_anchors(parts: int):
+def _shared_anchors():
     """Of a q-gram bucket, the anchors of q-grams in more than one text, by content."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,14 +221,14 @@ def _shared_anchors(parts: int):
     return run
 
 
-def _send_texts(parts: int):
+def _send_texts(deal: Deal):
     """Each distinct text of a batch once, with its ids, by content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _portions(batches):
             texts, ids = _distinct(b)
             content = content_ids(texts)
-            dealt = _parts_of(content[:, 0], parts)
+            dealt = deal.by_part(content[:, 0])
             rows = []
             for p in np.unique(dealt):
                 k = np.flatnonzero(dealt == p).tolist()
@@ -278,7 +274,7 @@ def _mask_block(number, place, a, mask) -> bytes:
     return pack(planes(number, 4), planes(place, 4), a, mask)
 
 
-def _send_pieces(parts: int):
+def _send_pieces(deal: Deal):
     """Kind 0: the bytes around shared anchors, each distinct piece once, by q-gram. Kind 1: masks of pieces that an earlier text of this part holds."""
 
     def run(key: tuple, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +316,7 @@ def _send_pieces(parts: int):
             rows.append({"kind": 1, "part": here, "body": _mask_block(text[k], place[k], a[k], _full(n[k]))})
         k = np.flatnonzero(~later)
         k = k[np.lexsort((same[k], gram[k]))]
-        rows += _deal(_parts_of(gram[k], parts), 0, [text[k], place[k], owner[k], a[k], n[k], piece[k]], lambda t, p, o, a, n, x: pack(here, planes(t, 4), planes(p, 4), planes(o, 8), a, n, x))
+        rows += _deal(deal.by_kind(gram[k]), 0, [text[k], place[k], owner[k], a[k], n[k], piece[k]], lambda t, p, o, a, n, x: pack(here, planes(t, 4), planes(p, 4), planes(o, 8), a, n, x))
         yield _rows(rows)
         release()
 
@@ -394,7 +390,7 @@ def _share(which, edge, n, a, piece, least, kind, owner, mask) -> None:
         mask[hit] |= _U(1) << (start - a[hit].astype(np.int64)).astype(_U)
 
 
-def _settle(parts: int):
+def _settle():
     """Masks of the strings of each piece that an earlier text holds too, by content."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,12 +493,12 @@ def _cut(key: tuple, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBa
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of each row."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    deal = Deal(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     source = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
-    flagged = source.mapInArrow(_send_anchors(parts), _BLOCK).groupBy("kind", "part").applyInArrow(_shared_anchors(parts), _BLOCK)
-    texts = source.mapInArrow(_send_texts(parts), _BLOCK)
-    pieces = texts.groupBy("part").cogroup(flagged.groupBy("part")).applyInArrow(_tabled(_send_pieces(parts), _BLOCK_SCHEMA), _BLOCK)
-    masks = pieces.groupBy("kind", "part").applyInArrow(_settle(parts), _BLOCK)
+    flagged = source.mapInArrow(_send_anchors(deal), _BLOCK).groupBy("kind", "part").applyInArrow(_shared_anchors(), _BLOCK)
+    texts = source.mapInArrow(_send_texts(deal), _BLOCK)
+    pieces = texts.groupBy("part").cogroup(flagged.groupBy("part")).applyInArrow(_tabled(_send_pieces(deal), _BLOCK_SCHEMA), _BLOCK)
+    masks = pieces.groupBy("kind", "part").applyInArrow(_settle(), _BLOCK)
     return texts.groupBy("part").cogroup(masks.groupBy("part")).applyInArrow(_tabled(_cut, _RESULT), _RESULT_DDL)
 
 

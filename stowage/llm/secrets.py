@@ -243,7 +243,8 @@ def planted(docs: DataFrame, carriers: int = CARRIERS, id_col: str = "doc_id", t
         F.concat_ws(" ", word(1), word(2), "k.value", word(5)).alias("text"),
         F.col("path").alias("source"),
     )
-    return candidates(made).withColumn("label", F.substring_index("doc_id", "/", -1).cast("double"))
+    # few rows with long expressions: dealt out before they are evaluated
+    return candidates(made.repartition(32, "doc_id")).withColumn("label", F.substring_index("doc_id", "/", -1).cast("double"))
 
 
 def _tree(node, features: list[str]) -> Column:

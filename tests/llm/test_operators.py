@@ -854,6 +854,16 @@ def test_lines_search_against_all_documents(spark, sf_dir):
     assert {r[0] for r in got} == want and want
 
 
+def test_parts_are_dealt_to_a_task_each(spark):
+    from stowage.llm.packing import labels
+
+    for n in (1, 7, 64):
+        for before in ((), (0,)):
+            key = F.hash(*map(F.lit, before), F.col("k"))
+            rows = spark.createDataFrame([(int(k),) for k in labels(n, *before)], "k int").select(F.pmod(key, F.lit(n)).alias("to")).collect()
+            assert [r["to"] for r in rows] == list(range(n))
+
+
 # --- SQL
 
 
