@@ -819,6 +819,83 @@ def test_pipeline(spark, sf_dir):
     assert out.select("doc_id").distinct().join(good, "doc_id", "left_anti").count() == 0
 
 
+def plain_times(rows):
+    """How often the mixture takes each (id, text, source), by the contract's formulas."""
+    from collections import Counter, defaultdict
+
+    size = {r: len(WORD.findall((r[1] or "").encode())) for r in rows}
+    by = defaultdict(list)
+    for r in rows:
+        by[r[2]].append(r)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    words = {s: sum(size[r] for r in by[s]) for s in order}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, target, free = 1.5 * sum(words.values()), {}, set(order)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > 2 * words[s]}
+        target |= {s: 2.0 * words[s] for s in over} if over else {s: weight[s] * level for s in free}
+        left -= sum(2 * words[s] for s in over)
+        free = free - over if over else set()
+    out = Counter()
+    for s in order:
+        epochs, at = (int(math.floor(target[s] + 0.5)) // words[s] if words[s] else 0), 0
+        for r in sorted(by[s], key=lambda r: hashlib.md5(f"7:{r[0]}".encode()).hexdigest()):
+            rest = max(0, min(size[r], int(math.floor(target[s] + 0.5)) - epochs * words[s] - at))
+            at += size[r]
+            out[r[0]] = 1 if not size[r] else int(math.floor((epochs * size[r] + rest) / size[r] + 0.5))
+    return out
+
+
+def test_pipeline_equals_plain_stages(spark, sf_dir):
+    """Each stage on its own input: near-duplicates, passages, mixture and shards against plain versions."""
+    from collections import Counter
+
+    import corpus_pipeline as c
+
+    stages = dict(c.STAGES)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = stages["language"](spark, docs, sf_dir).cache()
+    # every text with a letter is in one of the four languages there
+    assert {r[0] for r in first.select("doc_id").collect()} == {r["doc_id"] for r in docs.collect() if r["text"] and any(x.isalpha() for x in r["text"])}
+    second = stages["near_duplicates"](spark, first, sf_dir).cache()
+    rows = [(r["doc_id"], r["text"]) for r in first.collect()]
+    assert Counter(r[0] for r in second.select("doc_id").collect()) == Counter(i for i, _, _, kept in plain_neardup(rows) if kept)
+    third = stages["decontamination"](spark, second, sf_dir).cache()
+    items = [decontaminate.trimmed(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    grams = {x[k : k + decontaminate.Q] for x in items for k in range(len(x) - decontaminate.Q + 1)}
+    left, certain, clean = {r[0] for r in third.select("doc_id").collect()}, set(), set()
+    for r in second.collect():
+        text = decontaminate.trimmed(r["text"])
+        if any(x in text for x in items):
+            certain.add(r["doc_id"])
+        shared = sum(text[k : k + decontaminate.Q] in grams for k in range(len(text) - decontaminate.Q + 1))
+        if shared < min(decontaminate.Items([(0, x.decode())]).need[0] for x in items):
+            clean.add(r["doc_id"])
+    assert certain and not certain & left and clean and clean <= left
+    fourth = stages["mixing"](spark, third, sf_dir).cache()
+    want = plain_times([(r["doc_id"], r["text"], r["source"]) for r in third.collect()])
+    assert Counter(r[0] for r in fourth.select("doc_id").collect()) == +want
+    fifth = stages["sharding"](spark, fourth, sf_dir).collect()
+    order = sorted(fifth, key=lambda r: (r["shard"], r["slot"]))
+    hashes = [hashlib.md5(r["text"].encode()).hexdigest() for r in order]
+    assert hashes == sorted(hashes) and Counter(r["doc_id"] for r in fifth) == +want
+    for shard in {r["shard"] for r in fifth}:
+        assert [r["slot"] for r in order if r["shard"] == shard] == list(range(sum(r["shard"] == shard for r in fifth)))
+    total, most = sum(len(r["text"].encode()) + 8 for r in fifth), max(len(r["text"].encode()) + 8 for r in fifth)
+    for shard in range(24):
+        assert sum(len(r["text"].encode()) + 8 for r in fifth if r["shard"] == shard) <= total / 24 * (1 + 2 / sharding.SLACK) + most
+
+
+def test_folds_of_null_ids(spark, tmp_path):
+    docs = table(spark, [(k, f"some english words number {k} here", "en") for k in range(30)] + [(None, "no id here", "en")])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, k % 2) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for op, of, part in ((language.op1_language, 4, 2), (toxicity.op6_toxicity, 5, 0)):
+        for r in op(spark, str(tmp_path)).collect():
+            assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % of == part)
+
+
 def test_pipeline_stages_on_edges(spark, sf_dir, clash, empty):
     import corpus_pipeline as c
 
