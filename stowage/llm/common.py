@@ -75,6 +75,15 @@ def held_out(column: str, parts: int, part: int) -> Column:
     return F.coalesce(fold(column, parts) == part, F.lit(False))
 
 
+def in_front(h: Column, rows: int, of: Column | int) -> Column:
+    """Whether a 64-bit hash lies in the lowest share of all that holds some four times ``rows`` of ``of`` values.
+
+    So that of many tasks' rows only a few go to the one that takes the lowest.
+    """
+    share = 4.0 * rows / F.greatest(F.lit(of) if isinstance(of, int) else of, F.lit(1))
+    return h.cast("double") / 2.0**64 + 0.5 <= share
+
+
 def bounded(some: DataFrame, group: str, rows: int, most: int) -> list:
     """At most ``rows`` rows and ``most`` bytes of text of each group, in order of id hash, id and text: what fits is taken.
 

@@ -47,7 +47,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, fold, fresh, held_out, read
+from .common import bounded, fold, fresh, held_out, in_front, read
 from .kernels import blocks, text_bytes
 
 ORDER = 3
@@ -181,6 +181,8 @@ def sample(docs: DataFrame, rows: int = ROWS) -> dict[str, list[str]]:
     """At most ``rows`` whole texts of each language outside the held-out fold, those of least id hash."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    many = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    ids = ids.join(many, "lang").where(in_front(F.col("h"), rows, F.col("n")))
     top = ids.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= rows).select("doc_id").distinct()
     # at most rows ids a language, so this side is small whatever the table's size
     some = known.select("doc_id", "lang", "text").join(F.broadcast(top), "doc_id", "left_semi")

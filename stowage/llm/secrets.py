@@ -39,7 +39,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, read
+from .common import SPACES, Scratch, in_front, read
 
 SHORTEST, ROWS, WORDS, CARRIERS = 12, 10_000, 2_000, 600
 TREES, DEPTH, SEED = 16, 6, 17
@@ -188,7 +188,8 @@ def planted(docs: DataFrame, carriers: int = CARRIERS, id_col: str = "doc_id", t
 
     doc_id names the carrier and the kind; every carrier gets each kind once.
     """
-    least = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("carrier")).orderBy(F.xxhash64("carrier"), "carrier").limit(carriers).distinct()
+    least = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("carrier"))
+    least = least.where(in_front(F.xxhash64("carrier"), carriers, docs.count())).orderBy(F.xxhash64("carrier"), "carrier").limit(carriers).distinct()
     texts = docs.select(F.col(id_col).alias("carrier"), F.col(text_col).alias("text"), F.coalesce(F.col(path_col), F.lit("")).alias("path")).join(F.broadcast(least), "carrier")
     start = F.pmod(F.xxhash64("carrier"), F.greatest(F.size("w") - 5, F.lit(1))).cast("int") + 1
     # a word that may itself be a candidate is left out

@@ -58,7 +58,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, fold, held_out, read
+from .common import bounded, fold, held_out, in_front, read
 
 ROWS, SAMPLE_BYTES, SUPPORT, STEM = 2500, 32 << 20, 6, 4
 #: Chance of one learned word (stem) or more where labels say nothing; least ratio of a form's rates.
@@ -439,7 +439,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = SAMP
     """A model from at most ``rows`` labelled texts of each label outside the held-out fold, and ``most`` bytes of text."""
     known = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "toxic").distinct()
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    least = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    least = [known.where((F.col("toxic") == y) & in_front(F.xxhash64("doc_id"), rows, int(counts.get(y, 0)))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     # at most 2 * rows ids, so this side is small whatever the table's size
     some = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(least[0].unionAll(least[1])), "doc_id")
     texts: dict[int, list[str]] = {0: [], 1: []}
