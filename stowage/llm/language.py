@@ -52,7 +52,7 @@ from .kernels import blocks, text_bytes
 
 ORDER = 3
 ROWS, BYTES = 300, 4 << 20
-MARGIN, GRACE, LONG = 1.1, 256, 256
+MARGIN, GRACE, LONG = 1.25, 256, 256
 FOLDS, HELD_OUT = 4, 2
 SCALE_BYTES = 64
 
