@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .archive import open_archive, open_file, payload
+from .archive import known_archive, open_archive, open_file, payload
 from .codecs import decompress
 from .errors import ArchiveError, CodecError
 
-#: Decoded blocks kept by a reader, and catalogs kept by a worker.
-BLOCKS, CATALOGS = 8, 4
+#: Decoded blocks kept by a reader, and catalogs kept by a worker; bytes read that are sent on together.
+BLOCKS, CATALOGS, PORTION = 8, 4, 32 << 20
 
 
 def bounds(size: int, offset: int, n: int, mode: str = "clamp") -> tuple[int, int]:
@@ -101,10 +101,10 @@ class FileReader:
 
 
 class SeekReader(io.RawIOBase):
-    """A file object over an archived file, for use on the driver."""
+    """A file object over an archived file; readers of one archive in one process share its catalog."""
 
     def __init__(self, uri: str, index: int, base: int = 0):
-        catalog, _ = open_archive(uri, base)
+        catalog, _ = known_archive(uri, base)
         system, inner = open_file(uri)
         self.handle = system.open_input_file(inner)
         self.file, self.at = FileReader(catalog, self.handle, index, base), 0
@@ -150,8 +150,8 @@ def read_ranges(requests: DataFrame, mode: str = "clamp", base: int = 0) -> Data
         readers: OrderedDict[tuple, FileReader] = OrderedDict()
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
-            out = []
-            for uri, index, offset, n in zip(col("uri"), col("record_index"), col("offset"), col("n"), strict=True):
+            out, held, sent = [], 0, 0
+            for k, (uri, index, offset, n) in enumerate(zip(col("uri"), col("record_index"), col("offset"), col("n"), strict=True)):
                 if (uri, index) not in readers:
                     system, inner = open_file(uri)
                     info = system.get_file_info(inner)
@@ -159,7 +159,11 @@ def read_ranges(requests: DataFrame, mode: str = "clamp", base: int = 0) -> Data
                     while len(readers) > BLOCKS:
                         readers.popitem(last=False)
                 out.append(readers[uri, index].read(offset, n, mode))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "content"])
+                held += len(out[-1])
+                if held >= PORTION or k + 1 == b.num_rows:  # what was asked for may be much more than the requests
+                    done = b.slice(sent, len(out))
+                    yield pa.RecordBatch.from_arrays([*done.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "content"])
+                    sent, out, held = k + 1, [], 0
 
     schema = T.StructType([*requests.schema.fields, T.StructField("content", T.BinaryType())])
     # requests of one file meet in one task, in order, so that a block is decoded once
