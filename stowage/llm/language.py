@@ -182,7 +182,8 @@ def sample(docs: DataFrame, rows: int = ROWS) -> dict[str, list[str]]:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     many = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
-    ids = ids.join(many, "lang").where(in_front(F.col("h"), rows, F.col("n")))
+    # a row a language, of which the model holds a table each: without this, all ids would be dealt by language
+    ids = ids.join(F.broadcast(many), "lang").where(in_front(F.col("h"), rows, F.col("n")))
     top = ids.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= rows).select("doc_id").distinct()
     # at most rows ids a language, so this side is small whatever the table's size
     some = known.select("doc_id", "lang", "text").join(F.broadcast(top), "doc_id", "left_semi")
