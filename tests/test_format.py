@@ -129,6 +129,18 @@ def test_trailer_refuses_damage():
             pass
 
 
+def test_a_prefix_is_reached_edge_by_edge(monkeypatch):
+    rows = sorted((bytes([a, b, c]), a) for a in range(40) for b in range(40) for c in range(3))
+    index = pindex.Index(pindex.build(rows))
+    read, node = [], pindex.Index._node
+    monkeypatch.setattr(pindex.Index, "_node", lambda self, number: read.append(number) or node(self, number))
+    for start in (b"\x05\x07", b"\x05\x07\x01"):
+        read.clear()
+        assert list(index.prefix(start)) == [x for x in rows if x[0].startswith(start)]
+        assert len(read) <= 4  # the node itself and those below it, none above
+    assert list(index.prefix(b"\x05\x07\x01\x00")) == list(index.prefix(b"\x50")) == []
+
+
 class Counted(bytes):
     """Bytes that count how many of them slices copy."""
 
