@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -31,6 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> bool:
+    """Gives back what cut plans held on the driver, where its heap has grown over half of its limit; whether it did.
+
+    Their shuffles, broadcasts and generated classes go only with the driver's
+    garbage, which Java leaves until the heap is full.
+    """
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() <= heap.maxMemory():
+        return False
+    gc.collect()  # plans that Python still names
+    spark._jvm.java.lang.System.gc()
+    return True
+
+
 class Scratch:
     """Tables written to the shared folder; each cuts the lineage before it.
 
@@ -46,6 +61,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        tidy(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stowage_path = path
         return out

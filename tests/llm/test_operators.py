@@ -957,3 +957,17 @@ def test_query_equals_sql(spark, sf_dir, name):
     plain = lambda v: round(v, 9) if isinstance(v, float) else bytes(v) if isinstance(v, (bytes, bytearray)) else v
     rows = lambda rs: sorted((tuple(map(plain, r)) for r in rs), key=str)
     assert rows(got.collect()) == rows(want.fetchall())
+
+
+def test_driver_heap_is_tidied_only_where_it_has_grown():
+    from types import SimpleNamespace as Some
+
+    from stowage.llm.common import tidy
+
+    calls = []
+
+    def session(total):
+        heap = Some(totalMemory=lambda: total, maxMemory=lambda: 750)
+        return Some(_jvm=Some(java=Some(lang=Some(Runtime=Some(getRuntime=lambda: heap), System=Some(gc=lambda: calls.append(total))))))
+
+    assert not tidy(session(375)) and tidy(session(376)) and calls == [376]
