@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..memory import trim
+from .packing import release
+
 #: White space of the contracts as a regular expression; a word is a run of anything else.
 SPACES = r"[ \t\n\x0B\f\r]+"
 WORDS = r"[^ \t\n\x0B\f\r]+"
@@ -62,6 +65,8 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         tidy(self.spark)
+        trim(self.spark)
+        release()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stowage_path = path
         return out

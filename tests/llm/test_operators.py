@@ -971,3 +971,15 @@ def test_driver_heap_is_tidied_only_where_it_has_grown():
         return Some(_jvm=Some(java=Some(lang=Some(Runtime=Some(getRuntime=lambda: heap), System=Some(gc=lambda: calls.append(total))))))
 
     assert not tidy(session(375)) and tidy(session(376)) and calls == [376]
+
+
+def test_driver_gives_back_native_memory_after_each_kept_table(spark, monkeypatch):
+    from stowage.llm import common
+    from stowage.memory import trim
+
+    said = trim(spark)
+    assert said is None or "Trim native heap" in said
+    calls = []
+    monkeypatch.setattr(common, "trim", calls.append)
+    common.Scratch(spark, "trimmed").keep(spark.range(3))
+    assert calls == [spark]
