@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..memory import trim
-from .packing import release
+from .packing import give_back
 
 #: White space of the contracts as a regular expression; a word is a run of anything else.
 SPACES = r"[ \t\n\x0B\f\r]+"
@@ -66,7 +66,7 @@ class Scratch:
         df.write.parquet(path)
         tidy(self.spark)
         trim(self.spark)
-        release()
+        give_back()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stowage_path = path
         return out

@@ -48,13 +48,15 @@ from pyspark.sql import types as T
 from .common import Scratch, read
 from .kernels import LOWER, blocks, mix, span_hashes, text_bytes, words
 from .packing import Deal, pack, planes, release, unpack, unplaned
-from .rarity import slot_counts, slot_of
+from .rarity import ADDERS, slot_counts, slot_of
 
 NEED = 75
 #: Pairs looked at together, and pairs noted before they are sifted.
 SLICE, NOTED = 1 << 18, 1 << 21
 #: Sets searched again at a time.
 QUERY_BLOCK = 1 << 15
+#: A filter of documents has two to this number of bits.
+DOC_BITS = 25
 NO_ID = -(2**63)
 
 _U = np.uint64
@@ -453,20 +455,52 @@ def _part_of(ids: np.ndarray, deal: Deal) -> np.ndarray:
     return deal.by_part(mix(ids.view(_U)))
 
 
-def send_texts(docs: DataFrame, deal: Deal) -> DataFrame:
-    """The texts of docs (doc_id, text), as blocks by id."""
+def _bit_of(ids: np.ndarray) -> np.ndarray:
+    return (mix(np.ascontiguousarray(ids).view(_U)) >> _U(64 - DOC_BITS)).astype(np.int64)
+
+
+def marked(ends: DataFrame) -> np.ndarray:
+    """Bits, packed, of which those of the documents (doc) of ends are set; others may share them."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << DOC_BITS, bool)
+        for b in batches:
+            bits[_bit_of(b.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([pack(np.packbits(bits))], pa.binary())], names=["body"])
+
+    def join(bodies: Iterator[bytes]) -> np.ndarray:
+        bits = np.zeros(1 << (DOC_BITS - 3), np.uint8)
+        for body in bodies:
+            bits |= unpack(body)[0]
+        return bits
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = join(body for b in batches for body in b.column("body").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pack(bits)], pa.binary())], names=["body"])
+
+    return join(r["body"] for r in ends.select("doc").mapInArrow(mark, "body binary").repartition(ADDERS).mapInArrow(add, "body binary").toLocalIterator())
+
+
+def send_texts(docs: DataFrame, deal: Deal, asked=None) -> DataFrame:
+    """The texts of docs (doc_id, text), as blocks by id; asked: a broadcast of ``marked`` bits, other texts stay away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if asked is not None:
+                bit = _bit_of(b.column(0).fill_null(NO_ID).to_numpy())
+                b = b.filter(pa.array((asked.value[bit >> 3] >> (7 - (bit & 7))) & 1 == 1))
             ids = b.column(0).fill_null(NO_ID).to_numpy()
             texts = b.column(1).cast(pa.binary()).to_pylist()
             part = _part_of(np.ascontiguousarray(ids), deal)
             order = np.argsort(part, kind="stable")
             cut = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-            bodies = [pack(ids[order[a:e]], [texts[i] for i in order[a:e]]) for a, e in zip(cut, np.append(cut[1:], len(order)), strict=True)] if len(cut) else []
-            yield pa.RecordBatch.from_arrays([pa.array(part[order][cut] if len(cut) else [], pa.int32()), pa.array(bodies, pa.binary())], names=["part", "body"])
+            runs = [order[a:e] for a, e in zip(cut, np.append(cut[1:], len(order)), strict=True)] if len(cut) else []
+            bodies = [pack([texts[i] for i in k]) for k in runs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[order][cut] if len(cut) else [], pa.int32()), pa.array([ids[k].tobytes() for k in runs], pa.binary()), pa.array(bodies, pa.binary())], names=["part", "ids", "body"]
+            )
 
-    return docs.mapInArrow(run, "part int, body binary")
+    return docs.mapInArrow(run, "part int, ids binary, body binary")
 
 
 def _by_part(rows: DataFrame, deal: Deal) -> DataFrame:
@@ -481,8 +515,8 @@ def _by_part(rows: DataFrame, deal: Deal) -> DataFrame:
 
 
 def _texts(left: pa.Table) -> Iterator[tuple[np.ndarray, list]]:
-    for body in left.column("body").to_pylist():
-        yield unpack(body)
+    for ids, body in zip(left.column("ids").to_pylist(), left.column("body").to_pylist(), strict=True):
+        yield np.frombuffer(ids, np.int64), unpack(body)[0]
 
 
 def _fetch(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -530,10 +564,11 @@ def removals(docs: DataFrame, deal: Deal, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(slot_counts(docs, _tokens))
     sent = docs.mapInArrow(_send(deal, counts), _ROW_DDL)
-    texts = send_texts(docs, deal)
 
     def token_sets(ends: DataFrame) -> DataFrame:
-        return scratch.keep(texts.groupBy("part").cogroup(_by_part(ends.distinct(), deal).groupBy("part")).applyInArrow(_fetch, "digest long, tokens binary"))
+        ends = scratch.keep(ends.distinct())
+        texts = send_texts(docs, deal, spark.sparkContext.broadcast(marked(ends)))
+        return scratch.keep(texts.groupBy("part").cogroup(_by_part(ends, deal).groupBy("part")).applyInArrow(_fetch, "digest long, tokens binary"))
 
     met = scratch.keep(sent.groupBy("kind", "part").applyInArrow(_meet, _ROW_DDL))
     pairs = _pairs(met)
@@ -576,12 +611,18 @@ def _cut(key: tuple, left: pa.Table, right: pa.Table, texts_too: bool) -> pa.Tab
     got = [_place_columns(*unpack(body)) for body in right.column("body").to_pylist()]
     digest, doc, number = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32))
     gone = np.unique(_line_key(digest, doc, number))
-    touched = np.unique(doc)
+    order = np.argsort(doc, kind="stable")
+    touched, number = doc[order], number[order]
+    # the lines of rows that share an id are told apart by their hashes
+    known, rows = np.unique(np.concatenate([np.frombuffer(i, np.int64) for i in left.column("ids").to_pylist()] or [np.zeros(0, np.int64)]), return_counts=True)
+    known = known[rows > 1]
     out: list[list] = [[] for _ in range(5 if texts_too else 4)]
     for ids, texts in _texts(left):
-        some = np.flatnonzero(_among(ids, touched))
+        lo, hi = np.searchsorted(touched, ids), np.searchsorted(touched, ids, "right")
+        shared = _among(ids, known)
+        drop = {k: set(number[lo[k] : hi[k]].tolist()) for k in np.flatnonzero((hi > lo) & ~shared).tolist()}
+        some = np.flatnonzero((hi > lo) & shared)
         data, offsets = text_bytes(pa.array([texts[k] for k in some], pa.binary()))
-        drop: dict[int, set[int]] = {}
         for first, part, at in blocks(data, offsets):
             text, line, _, _, h = line_sets(part, at)
             hit = np.flatnonzero((h != 0) & _among(_line_key(h, ids[some[first + text]], line), gone))

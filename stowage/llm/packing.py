@@ -88,9 +88,25 @@ class Deal:
         return F.element_at(F.array(*[F.lit(int(k)) for k in self._one]), number + 1)
 
 
+_settled = False
+
+
 def release() -> None:
-    """Gives a Python worker's free memory back; workers live on between tasks beside the executor's heap."""
+    """Gives a Python worker's free memory back; workers live on between tasks beside the executor's heap.
+
+    What a worker holds at the first time, mostly its modules, is not looked
+    through again by later collections, which took longer than some tasks.
+    """
+    global _settled
     gc.collect()
+    if not _settled:
+        gc.freeze()
+        _settled = True
+    give_back()
+
+
+def give_back() -> None:
+    """Gives this process's freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)

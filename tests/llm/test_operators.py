@@ -983,3 +983,37 @@ def test_driver_gives_back_native_memory_after_each_kept_table(spark, monkeypatc
     monkeypatch.setattr(common, "trim", calls.append)
     common.Scratch(spark, "trimmed").keep(spark.range(3))
     assert calls == [spark]
+
+
+def test_lines_are_cut_by_number_where_an_id_is_one_row(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from stowage.llm import lines
+    from stowage.llm.packing import Deal, pack
+
+    def cut(ids, texts, digest, doc, number):
+        left = pa.table({"part": pa.array([0], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "body": [pack(texts)]})
+        body = lines._place_block(np.array(digest, np.uint64), np.array(doc, np.int64), np.array(number, np.int64))
+        return lines._cut((), left, pa.table({"part": pa.array([0], pa.int32()), "body": [body]}), True).to_pydict()
+
+    a, b = b"one two\nthree\nfour", b"other\nthree"
+    three = [int(lines.line_sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[4][1]) for t in (a, b)]
+    # two rows of an id: only the line of that hash goes
+    assert cut([7, 7, 8], [a, b"x\ny", None], [three[0]], [7], [1])["kept"] == [b"one two\nfour", b"x\ny", None]
+    monkeypatch.setattr(lines, "line_sets", None)
+    got = cut([7, 8, 9], [a, b, b""], [three[0], 1, three[1]], [7, 7, 8], [1, 0, 1])
+    assert got["kept"] == [b"four", b"other", b""] and got["n_removed"] == [2, 1, 0]
+
+
+def test_only_texts_that_are_asked_for_are_sent_for_their_sets(spark):
+    import numpy as np
+
+    from stowage.llm import lines
+    from stowage.llm.packing import Deal
+
+    docs = spark.createDataFrame([(None, "nobody"), *((k, f"text {k}") for k in range(50))], "doc_id long, text string")
+    ends = spark.createDataFrame([(1, 7), (2, 7), (3, lines.NO_ID)], "digest long, doc long")
+    asked = spark.sparkContext.broadcast(lines.marked(ends))
+    found = {int(i) for r in lines.send_texts(docs, Deal(3), asked).collect() for i in np.frombuffer(r["ids"], np.int64)}
+    assert {7, lines.NO_ID} <= found and len(found) < 10
